@@ -1,7 +1,8 @@
 """Polygon expressions over rings: ARRAY<ARRAY<STRUCT<x, y>>>.
 
 Outer rings run counter-clockwise and holes clockwise (the reader sees to it), so
-signed areas add up over rings and parts.
+signed areas add up over rings and parts. Arguments are column names or SQL
+expressions, which keeps the nested lambdas readable and cheap to build.
 """
 
 from __future__ import annotations
@@ -9,93 +10,78 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EDGE_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
-
-def ring_edges(ring: Column) -> Column:
+def ring_edges_sql(ring: str) -> str:
     """Edges of one ring, closing it if the last vertex is not the first."""
-    return F.transform(
-        ring,
-        lambda v, i: F.struct(
-            v["x"].alias("x1"),
-            v["y"].alias("y1"),
-            F.get(ring, (i + 1) % F.size(ring))["x"].alias("x2"),
-            F.get(ring, (i + 1) % F.size(ring))["y"].alias("y2"),
-        ),
+    nxt = f"get({ring}, (i + 1) % size({ring}))"
+    return (
+        f"transform({ring}, (v, i) -> named_struct('x1', v.x, 'y1', v.y, "
+        f"'x2', {nxt}.x, 'y2', {nxt}.y))"
     )
 
 
-def polygon_edges(rings: Column) -> Column:
+def polygon_edges_sql(rings: str) -> str:
     """Edges of all rings in one array."""
-    return F.flatten(F.transform(rings, ring_edges))
+    return f"flatten(transform({rings}, r -> {ring_edges_sql('r')}))"
 
 
-def _side(e: Column, px: Column, py: Column) -> Column:
+def _side(px: str, py: str) -> str:
     """Twice the signed area of (edge start, edge end, point); 0 on the edge's line."""
-    return (e["x2"] - e["x1"]) * (py - e["y1"]) - (px - e["x1"]) * (e["y2"] - e["y1"])
+    return f"((e.x2 - e.x1) * ({py} - e.y1) - ({px} - e.x1) * (e.y2 - e.y1))"
 
 
-def even_odd(edges: Column, px: Column, py: Column) -> Column:
+def even_odd(edges: str, px: str, py: str) -> Column:
     """Whether a ray from the point to the right crosses an odd number of edges."""
-    crossed = F.filter(
-        edges,
-        lambda e: ((e["y1"] > py) != (e["y2"] > py))
-        & ((_side(e, px, py) > 0) == (e["y2"] > e["y1"])),
+    crossed = (
+        f"filter({edges}, e -> (e.y1 > {py}) != (e.y2 > {py}) "
+        f"and ({_side(px, py)} > 0) = (e.y2 > e.y1))"
     )
-    return F.size(crossed) % 2 == 1
+    return F.expr(f"size({crossed}) % 2 = 1")
 
 
-def on_edge(edges: Column, px: Column, py: Column) -> Column:
+def on_edge(edges: str, px: str, py: str) -> Column:
     """Whether the point lies on some edge."""
-    return F.exists(
-        edges,
-        lambda e: (_side(e, px, py) == 0)
-        & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])),
+    return F.expr(
+        f"exists({edges}, e -> {_side(px, py)} = 0 "
+        f"and {px} between least(e.x1, e.x2) and greatest(e.x1, e.x2) "
+        f"and {py} between least(e.y1, e.y2) and greatest(e.y1, e.y2))"
     )
 
 
-def touches(edges: Column, px: Column, py: Column) -> Column:
+def touches(edges: str, px: str, py: str) -> Column:
     """Point inside the polygon or on its boundary (holes by the even-odd rule)."""
     return even_odd(edges, px, py) | on_edge(edges, px, py)
 
 
-def signed_area2(ring: Column) -> Column:
+def signed_area2_sql(ring: str) -> str:
     """Twice the signed area of a ring; positive when it runs counter-clockwise."""
-    return F.aggregate(
-        ring_edges(ring),
-        F.lit(0.0),
-        lambda acc, e: acc + (e["x1"] * e["y2"] - e["x2"] * e["y1"]),
+    return (
+        f"aggregate({ring_edges_sql(ring)}, 0D, (acc, e) -> acc + (e.x1 * e.y2 - e.x2 * e.y1))"
     )
 
 
-def oriented(ring: Column, hole: Column) -> Column:
+def oriented_sql(ring: str, hole: str) -> str:
     """The ring turned so that outer rings are counter-clockwise and holes clockwise."""
-    return F.when((signed_area2(ring) < 0) == hole, ring).otherwise(F.reverse(ring))
+    return f"if(({signed_area2_sql(ring)} < 0) = ({hole}), {ring}, reverse({ring}))"
 
 
-def centroid(rings: Column) -> tuple[Column, Column]:
+def centroid(rings: str) -> tuple[Column, Column]:
     """Area-weighted centroid over all rings, as an (x, y) pair of columns.
 
     Sums are taken relative to the first vertex, which keeps metre coordinates exact.
     """
-    ox, oy = rings[0][0]["x"], rings[0][0]["y"]
-
-    def step(acc: Column, e: Column) -> Column:
-        x1, y1, x2, y2 = e["x1"] - ox, e["y1"] - oy, e["x2"] - ox, e["y2"] - oy
-        cross = x1 * y2 - x2 * y1
-        return F.struct(
-            (acc["a"] + cross).alias("a"),
-            (acc["sx"] + (x1 + x2) * cross).alias("sx"),
-            (acc["sy"] + (y1 + y2) * cross).alias("sy"),
-        )
-
-    sums = F.aggregate(
-        polygon_edges(rings),
-        F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy")),
-        step,
+    ox, oy = f"{rings}[0][0].x", f"{rings}[0][0].y"
+    moved = (
+        f"transform({polygon_edges_sql(rings)}, e -> named_struct("
+        f"'x1', e.x1 - {ox}, 'y1', e.y1 - {oy}, 'x2', e.x2 - {ox}, 'y2', e.y2 - {oy}))"
+    )
+    cross = "(e.x1 * e.y2 - e.x2 * e.y1)"
+    sums = (
+        f"aggregate({moved}, named_struct('a', 0D, 'sx', 0D, 'sy', 0D), (acc, e) -> named_struct("
+        f"'a', acc.a + {cross}, 'sx', acc.sx + (e.x1 + e.x2) * {cross}, "
+        f"'sy', acc.sy + (e.y1 + e.y2) * {cross}))"
     )
     return (
-        ox + F.try_divide(sums["sx"], sums["a"] * 3),
-        oy + F.try_divide(sums["sy"], sums["a"] * 3),
+        F.expr(f"{ox} + try_divide({sums}.sx, {sums}.a * 3)"),
+        F.expr(f"{oy} + try_divide({sums}.sy, {sums}.a * 3)"),
     )

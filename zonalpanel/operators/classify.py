@@ -15,10 +15,9 @@ _QUARTER_PROBS = (0.0, 0.25, 1 / 3, 0.5, 2 / 3, 0.75, 1.0)
 _EDGES_OF = {1: (0, 6), 2: (0, 3, 6), 3: (0, 2, 4, 6), 4: (0, 1, 3, 5, 6)}
 
 
-def bin_of(x: Column, edges: Column) -> Column:
+def bin_sql(x: str, edges: str) -> str:
     """Right-closed bin of a value; the lowest edge belongs to the first bin."""
-    below = F.size(F.filter(edges, lambda e: e < x)) - 1
-    return F.when(x.isNotNull(), F.greatest(below, F.lit(0)))
+    return f"if({x} is null, null, greatest(size(filter({edges}, edge -> edge < {x})) - 1, 0))"
 
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
@@ -34,53 +33,52 @@ def quantile_bins(
     Repeated edges are merged, which leaves fewer bins; with ``drop_repeated`` off they
     are an error.
     """
-    edges = quantile_edges(df, col, q).select("quantiles").scalar()
-    distinct = F.array_distinct("_q")
+    quantiles = quantile_edges(df, col, q).select("quantiles").scalar()
+    edges = "array_distinct(_q)"
     if not drop_repeated:
-        distinct = F.when(F.size(distinct) == q + 1, F.col("_q")).otherwise(
-            F.raise_error(F.lit("quantile edges repeat")).cast("array<double>")
-        )
+        edges = f"if(size({edges}) = {q + 1}, _q, raise_error('quantile edges repeat'))"
     return (
-        df.withColumn("_q", edges)
-        .withColumn("_e", distinct)
-        .withColumn(out, bin_of(F.col(col).cast("double"), F.col("_e")))
-        .drop("_q", "_e")
+        df.withColumn("_q", quantiles)
+        .withColumn(out, F.expr(bin_sql(f"cast(`{col}` as double)", edges)))
+        .drop("_q")
     )
 
 
-def _edges_for(quantiles: Column, bins: Column) -> Column:
+def _edges_for(quantiles: str, bins: str) -> str:
     """Edges of 1 to 4 bins out of the quantiles at ``_QUARTER_PROBS``."""
-    pick = F.when(F.lit(False), F.array().cast("array<double>"))
-    for n, places in _EDGES_OF.items():
-        pick = pick.when(bins == n, F.array(*[F.get(quantiles, F.lit(i)) for i in places]))
-    return pick
+    cases = " ".join(
+        f"when {n} then array({', '.join(f'{quantiles}[{i}]' for i in places)})"
+        for n, places in _EDGES_OF.items()
+    )
+    return f"case {bins} {cases} end"
+
 
+def _quarter_facts(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Map from column to distinct values ``k`` and quantiles ``q``, as one row."""
+    cells = ", ".join(f"struct('{c}', cast(`{c}` as double))" for c in cols)
+    long = df.select(F.expr(f"inline(array({cells}))").alias("_col", "_x"))
+    spread = exact_quantiles(long, "_x", _QUARTER_PROBS, ["_col"])
+    sizes = long.groupBy("_col").agg(F.count_distinct("_x").alias("k"))
+    pairs = F.expr("map_from_entries(collect_list(struct(_col, struct(k, quantiles as q))))")
+    return sizes.join(spread, "_col").agg(pairs).scalar()
 
-def _quarter_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Code by up to four quantile bins, NULL where the edges still repeat.
+
+def _quarter_code(df: DataFrame, col: str, out: str, fallback: str = "null") -> DataFrame:
+    """Add the code of a column, given the facts about it in ``_facts``.
 
     The number of bins is min(4, distinct values); repeated edges are merged and the
-    values binned again with as many bins as were left.
+    values binned again with as many bins as were left. If edges still repeat, the code
+    is the fallback expression.
     """
-    stats = df.agg(
-        F.count_distinct(F.col(col).cast("double")).alias("distinct")
-    ).scalar()
-    quantiles = exact_quantiles(df, col, _QUARTER_PROBS).select("quantiles").scalar()
-    x = F.col(col).cast("double")
+    k, q = f"_facts['{col}'].k", f"_facts['{col}'].q"
+    merged = f"array_distinct({_edges_for(q, f'least({k}, 4)')})"
+    code = f"""case when {k} = 1 then 0
+        when size(array_distinct(_edges)) = size(_edges) then {bin_sql(f"cast(`{col}` as double)", "_edges")}
+        else {fallback} end"""
     return (
-        df.withColumns({"_k": stats, "_q": quantiles})
-        .withColumn("_first", _edges_for(F.col("_q"), F.least(F.col("_k"), F.lit(4))))
-        .withColumn("_bins", F.size(F.array_distinct("_first")) - 1)
-        .withColumn("_e", _edges_for(F.col("_q"), F.col("_bins")))
-        .withColumn("_repeat", F.size(F.array_distinct("_e")) != F.size("_e"))
-        .withColumn(
-            out,
-            F.when(F.col("_k") == 1, F.lit(0)).when(
-                ~F.col("_repeat"), bin_of(x, F.col("_e"))
-            ),
-        )
-        .withColumn("_fallback", (F.col("_k") > 1) & F.col("_repeat"))
-        .drop("_k", "_q", "_first", "_bins", "_e", "_repeat")
+        df.withColumn("_edges", F.expr(_edges_for(q, f"size({merged}) - 1")))
+        .withColumn(out, F.expr(code))
+        .drop("_edges")
     )
 
 
@@ -89,17 +87,13 @@ def bivariate_class_4x4(df: DataFrame, death: str, infection: str) -> DataFrame:
 
     Deaths whose edges still repeat fall back to 0 / 1 to 10 / anything else.
     """
-    d = F.col(death)
-    manual = F.when(d == 0, F.lit(0)).when(d.between(1, 10), F.lit(1)).otherwise(F.lit(2))
-    coded = _quarter_codes(df, death, "death_code")
-    coded = coded.withColumn(
-        "death_code", F.when(F.col("_fallback"), manual).otherwise(F.col("death_code"))
-    ).drop("_fallback")
-    coded = _quarter_codes(coded, infection, "infection_code").drop("_fallback")
-    both = F.concat(F.col("death_code").cast("string"), F.col("infection_code").cast("string"))
-    return coded.withColumn("bivariate_class", both).withColumn(
-        "color", look_up(COLOURS_4X4, F.col("bivariate_class"))
-    )
+    manual = f"case when `{death}` = 0 then 0 when `{death}` between 1 and 10 then 1 else 2 end"
+    coded = df.withColumn("_facts", _quarter_facts(df, [death, infection]))
+    coded = _quarter_code(coded, death, "death_code", manual)
+    coded = _quarter_code(coded, infection, "infection_code").drop("_facts")
+    return coded.withColumn(
+        "bivariate_class", F.expr("cast(death_code as string) || cast(infection_code as string)")
+    ).withColumn("color", look_up(COLOURS_4X4, F.col("bivariate_class")))
 
 
 def tercile_by_rank(df: DataFrame, col: str, zone: str = "zone_id", out: str = "tercile") -> DataFrame:
@@ -149,6 +143,6 @@ def case_change(counts: DataFrame, first_year: int, last_year: int, zone: str =
 
 
 __all__: Sequence[str] = [
-    "bin_of", "quantile_edges", "quantile_bins", "bivariate_class_4x4", "tercile_by_rank",
+    "quantile_edges", "quantile_bins", "bivariate_class_4x4", "tercile_by_rank",
     "bivariate_class_3x3", "rank_comparison", "case_change",
 ]

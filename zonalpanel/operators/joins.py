@@ -111,7 +111,8 @@ def impute_from_donor(
         .groupBy(F.col(zone).alias("donor_id"), date)
         .agg(F.min(row).alias("_row"))
     )
-    have = panel.select(F.col(zone).alias("missing_id"), date)
+    lacking = donor_map.select("missing_id").distinct()
+    have = panel.select(F.col(zone).alias("missing_id"), date).join(lacking, "missing_id", "left_semi")
     added = (
         donor_rows.join(donor_map.select("missing_id", "donor_id"), "donor_id", "inner")
         .join(have, ["missing_id", date], "left_anti")

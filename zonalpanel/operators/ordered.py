@@ -1,11 +1,11 @@
 """Global order statistics without a single-task sort: ranks, positions, quantiles.
 
-The idea is one prefix sum over value ranges. Rows are first reduced to distinct
-values with counts, so a value shared by a third of the rows is one row. A fixed-size
-sample of distinct values (the ones with the smallest hashes, so it is the same in
-every evaluation) cuts the value axis into at most ``BUCKETS`` ranges. Range totals
-give each range its starting position; inside a range a window finishes the count.
-The ranges only spread the work: results are exact for any cut points.
+The idea is one prefix sum over value ranges. Rows are first reduced to distinct values
+with counts, so a value shared by a third of the rows is one row. The counts are range
+partitioned by (group, value) and written with their partition number, which fixes the
+ranges for everything that follows. Totals per range give each range its starting
+position; inside a range a window finishes the count. A group or a value range of any
+size is spread over as many ranges as its share of the distinct values.
 """
 
 from __future__ import annotations
@@ -15,87 +15,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cut points come in FAN blocks of FAN, so placing a value costs 2 * FAN comparisons.
-FAN = 32
-BUCKETS = FAN * FAN
-
+from ..session import written
 
 def _value_counts(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
-    return (
+    """Rows ``_n`` per group and distinct value ``_v``, and the range ``_b`` they are in.
+
+    Ranges ascend with (group, value). A group's NULLs are one row with count 0; rows
+    with a missing group key are left out. Written once, because range totals and
+    positions both read the counts and must see the same ranges.
+    """
+    counts = (
         df.select(*by, value.alias("_v"))
-        .where(F.col("_v").isNotNull())
+        .na.drop(subset=list(by))
         .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-
-
-def _cut_points(counts: DataFrame, by: Sequence[str]) -> Column:
-    """At most BUCKETS sorted values, as a one-row scalar subquery."""
-    sample = (
-        counts.where("_n > 0")
-        .select("_v", F.xxhash64(*by, "_v").alias("_h"))
-        .orderBy("_h", "_v")
-        .limit(BUCKETS)
-    )
-    return sample.agg(F.sort_array(F.collect_set("_v")).alias("cuts")).scalar()
-
-
-def _with_bucket(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add ``_b``, the number of cut points not above the value, found in two steps."""
-    cuts = F.col("_cuts")
-    heads = F.transform(
-        F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.get(cuts, i * FAN)
-    )
-    block = F.greatest(
-        F.size(F.filter(heads, lambda h: h <= F.col("_v"))) - 1, F.lit(0)
-    )
-    inside = F.size(
-        F.filter(
-            F.slice(cuts, block * FAN + 1, F.lit(FAN)), lambda c: c <= F.col("_v")
-        )
-    )
-    # The coalesce only tells the optimizer the bucket is never NULL: otherwise the
-    # joins below would push a NULL test on it down to the raw rows.
-    bucket = F.coalesce(block * FAN + inside, F.lit(0))
-    return (
-        counts.withColumn("_cuts", _cut_points(counts, by))
-        .withColumn("_b", bucket)
-        .drop("_cuts")
+        .agg(F.count("_v").alias("_n"))
     )
+    ranged = counts.repartitionByRange(*by, "_v").select("*", F.spark_partition_id().alias("_b"))
+    return written(ranged, "value-counts")
 
 
-def _bucket_totals(bucketed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows before each bucket (``_base``) and in its group (``_total``).
+def _range_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows before each range (``_base``) and in its group (``_total``).
 
-    A group has at most BUCKETS + 1 rows here, so the windows are small.
+    A group has at most one row per shuffle partition here, so the windows are small.
     """
-    group = Window.partitionBy(*by) if by else Window.partitionBy()
+    group = Window.partitionBy(*by)
     earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        bucketed.groupBy(*by, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_base", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)))
-        .withColumn("_total", F.sum("_bn").over(group))
+    sums = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+    return sums.select(
+        "*",
+        F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_base"),
+        F.sum("_bn").over(group).alias("_total"),
     )
 
 
-def _counted_before(bucketed: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+def _counted_before(counts: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add ``_before``; the join and the window share one shuffle on (by, range)."""
     keys = [*by, "_b"]
-    renamed = totals.withColumnsRenamed({k: f"_t_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & bucketed[k].eqNullSafe(renamed[f"_t_{k}"])
     running = (
         Window.partitionBy(*keys)
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        bucketed.join(renamed, cond, "inner")
-        .withColumn(
-            "_before", F.col("_base") + F.sum("_n").over(running) - F.col("_n")
-        )
-    )
+    before = F.col("_base") + F.sum("_n").over(running) - F.col("_n")
+    return counts.join(totals, keys).select(*by, "_v", "_n", "_total", before.alias("_before"))
 
 
 def value_positions(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -103,9 +66,8 @@ def value_positions(df: DataFrame, value: Column, by: Sequence[str] = ()) -> Dat
 
     Columns: ``by``, ``_v`` (value), ``_n`` (count), ``_before``, ``_total``.
     """
-    bucketed = _with_bucket(_value_counts(df, value, by), by)
-    placed = _counted_before(bucketed, _bucket_totals(bucketed, by), by)
-    return placed.select(*by, "_v", "_n", "_before", "_total")
+    counts = _value_counts(df.where(value.isNotNull()), value, by)
+    return _counted_before(counts, _range_totals(counts, by), by)
 
 
 def exact_quantiles(
@@ -113,38 +75,28 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per group: ``by`` + ``quantiles`` array.
 
-    Only the value ranges that hold a wanted position reach the second shuffle.
+    Missing values are skipped; a group of nothing else has NULL quantiles. Only the
+    value ranges that hold a wanted position reach the second shuffle.
     """
     by = list(by)
-    bucketed = _with_bucket(_value_counts(df, F.col(value).cast("double"), by), by)
-    totals = _bucket_totals(bucketed, by)
-    spots = []
-    for p in probs:
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        spots.append((F.floor(at), F.ceil(at), at))
-    wanted = F.lit(False)
-    for low, high, _ in spots:
-        for t in (low, high):
-            wanted = wanted | ((t >= F.col("_base")) & (t < F.col("_base") + F.col("_bn")))
-    placed = _counted_before(bucketed, totals.where(wanted), by)
-
-    def value_at(t: Column) -> Column:
-        hit = (t >= F.col("_before")) & (t < F.col("_before") + F.col("_n"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    picks = []
-    for i, (low, high, at) in enumerate(spots):
-        picks += [
-            value_at(low).alias(f"_lo{i}"),
-            value_at(high).alias(f"_hi{i}"),
-            F.max(at - low).alias(f"_w{i}"),
-        ]
-    found = placed.groupBy(*by).agg(*picks)
-    values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")
-        for i in range(len(spots))
+    counts = _value_counts(df, F.col(value).cast("double"), by)
+    # Wanted positions, 0-based and fractional; a quantile lies between the values at
+    # the whole positions to either side.
+    at = [f"((_total - 1) * {float(p)!r}D)" for p in probs]
+    spots = {f"_{end}{i}": f"{f}({a})" for i, a in enumerate(at) for end, f in (("lo", "floor"), ("hi", "ceil"))}
+    wanted = " or ".join(f"({t} >= _base and {t} < _base + _bn)" for t in spots.values())
+    totals = _range_totals(counts, by).where(F.expr(f"_total = 0 or {wanted}"))
+    picks = [
+        F.expr(f"max(if({t} >= _before and {t} < _before + _n, _v, null)) as {name}")
+        for name, t in spots.items()
     ]
-    return found.select(*by, F.array(*values).alias("quantiles"))
+    found = (
+        _counted_before(counts, totals, by)
+        .groupBy(*by)
+        .agg(*picks, F.max("_total").alias("_total"))
+    )
+    between = [f"_lo{i} + (_hi{i} - _lo{i}) * ({a} - floor({a}))" for i, a in enumerate(at)]
+    return found.select(*by, F.expr(f"array({', '.join(between)})").alias("quantiles"))
 
 
 def _average_rank(descending: bool) -> Column:

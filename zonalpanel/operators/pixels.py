@@ -7,8 +7,6 @@ quality words.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +97,7 @@ def zone_image_statistics(
     if stat not in STATISTICS:
         raise ValueError(f"unknown statistic {stat}")
     keys = list(keys)
+    pixels = pixels.na.drop(subset=keys)
     if stat != "MEDIAN":
         return pixels.groupBy(*keys).agg(
             *[_aggregate(stat, b).alias(f"{b}_{stat}") for b in bands]
@@ -108,16 +107,12 @@ def zone_image_statistics(
     )
     long = pixels.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
     medians = exact_quantiles(long, "value", [0.5], [*keys, "band"])
-    wide = medians.groupBy(*keys).agg(
+    return medians.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("band") == b, F.get("quantiles", F.lit(0)))).alias(f"{b}_MEDIAN")
             for b in bands
         ]
     )
-    only = reduce(and_, [F.col(b).isNull() for b in bands])
-    # Zones whose pixels are all missing still get their row.
-    empty = pixels.where(only).select(*keys).distinct().join(wide, keys, "left_anti")
-    return wide.unionByName(empty, allowMissingColumns=True)
 
 
 def zonal_statistics(

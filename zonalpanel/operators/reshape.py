@@ -46,20 +46,18 @@ def wide_zonal_to_long(
         raise ValueError("no <date>_<band> columns found")
 
     def cell(token: str, names: dict[str, str]):
+        # The token is a literal, so both date columns fold to constants.
+        day = parse_date(F.lit(token))
         values = [
             (F.col(f"`{names[b]}`") if b in names else F.lit(None)).cast("double").alias(b)
             for b in bands
         ]
-        return F.struct(F.lit(token).alias("_token"), *values)
+        return F.struct(
+            F.date_format(day, layout).alias("Date"), F.date_format(day, "DDD").alias("Doy"), *values
+        )
 
     cells = F.array(*[cell(t, by_date[t]) for t in sorted(by_date)])
-    day = parse_date(F.col("_token"))
-    return wide.select(zone, F.inline(cells)).select(
-        F.date_format(day, layout).alias("Date"),
-        F.date_format(day, "DDD").alias("Doy"),
-        *bands,
-        zone,
-    )
+    return wide.select(zone, F.inline(cells)).select("Date", "Doy", *bands, zone)
 
 
 def sort_by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,104 +22,84 @@ SALTS = 8
 DONOR_LEVELS = 16
 
 
-def _index(v: Column, cell: Column) -> Column:
-    return F.floor(v / cell)
+def mean_box_cell(zones: DataFrame, parts: int = 16) -> float:
+    """A cell side: the mean side of the zones' boxes over ``parts``.
 
-
-def mean_box_cell(zones: DataFrame, parts: int = 4) -> Column:
-    """Cell side as a scalar: the mean side of the zones' boxes over ``parts``."""
-    xs = F.transform(F.flatten("rings"), lambda v: v["x"])
-    ys = F.transform(F.flatten("rings"), lambda v: v["y"])
-    side = F.greatest(
-        F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)
-    )
-    return zones.agg(F.avg(side) / parts).scalar()
+    One number, fetched when the join is built, so that both sides use it as a literal.
+    """
+    sides = [
+        f"array_max(transform(flatten(rings), v -> v.{c})) - array_min(transform(flatten(rings), v -> v.{c}))"
+        for c in "xy"
+    ]
+    side = zones.agg(F.expr(f"avg(greatest({sides[0]}, {sides[1]}))").alias("side")).first()["side"]
+    return side / parts if side else 1.0
 
 
 def zone_cells(
     zones: DataFrame, cell: float | None = None, zone: str = "zone_id"
 ) -> DataFrame:
-    """Cells touched by each zone: ``zone, _side, _cx, _cy, _inside, _edges``."""
-    side = F.lit(float(cell)) if cell is not None else mean_box_cell(zones)
-    size = F.col("_side")
-    edges = zones.select(
-        zone, side.alias("_side"), geometry.polygon_edges(F.col("rings")).alias("_all")
-    )
-    boxes = edges.withColumns(
-        {
-            "_x0": _index(F.array_min(F.transform("_all", lambda e: e["x1"])), size),
-            "_x1": _index(F.array_max(F.transform("_all", lambda e: e["x1"])), size),
-            "_y0": _index(F.array_min(F.transform("_all", lambda e: e["y1"])), size),
-            "_y1": _index(F.array_max(F.transform("_all", lambda e: e["y1"])), size),
-        }
+    """Cells touched by each zone: ``zone, _cx, _cy, _inside, _edges``.
+
+    ``_edges`` is NULL for a cell that lies inside the zone.
+    """
+    size = f"{float(mean_box_cell(zones) if cell is None else cell)!r}D"
+
+    def index(v: str) -> str:
+        return f"floor(({v}) / {size})"
+
+    edges = zones.select(zone, F.expr(geometry.polygon_edges_sql("rings")).alias("_all"))
+    boxes = edges.select(
+        "*",
+        *[
+            F.expr(index(f"array_{f}(transform(_all, e -> e.{c}1))")).alias(f"_{c}{n}")
+            for c in "xy"
+            for n, f in enumerate(("min", "max"))
+        ],
     )
     # Rows of cells first, with the edges of that row's band; then the cells of the row.
-    bands = boxes.withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).withColumn(
+    bands = boxes.select(zone, "_x0", "_x1", "_all", F.expr("explode(sequence(_y0, _y1))").alias("_cy")).withColumn(
         "_all",
-        F.filter(
-            "_all",
-            lambda e: (_index(F.least(e["y1"], e["y2"]), size) <= F.col("_cy"))
-            & (_index(F.greatest(e["y1"], e["y2"]), size) >= F.col("_cy")),
+        F.expr(
+            f"filter(_all, e -> {index('least(e.y1, e.y2)')} <= _cy "
+            f"and {index('greatest(e.y1, e.y2)')} >= _cy)"
         ),
     )
-    cells = bands.withColumn("_cx", F.explode(F.sequence("_x0", "_x1"))).withColumn(
-        "_all",
-        F.filter(
-            "_all",
-            lambda e: _index(F.greatest(e["x1"], e["x2"]), size) >= F.col("_cx"),
-        ),
-    )
-    crossed = F.exists(
-        "_all", lambda e: _index(F.least(e["x1"], e["x2"]), size) <= F.col("_cx")
-    )
-    middle_in = geometry.even_odd(
-        F.col("_all"), (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size
+    cells = bands.select(zone, "_cy", "_all", F.expr("explode(sequence(_x0, _x1))").alias("_cx")).withColumn(
+        "_all", F.expr(f"filter(_all, e -> {index('greatest(e.x1, e.x2)')} >= _cx)")
     )
+    crossed = F.expr(f"exists(_all, e -> {index('least(e.x1, e.x2)')} <= _cx)")
+    middle_in = geometry.even_odd("_all", f"((_cx + 0.5D) * {size})", f"((_cy + 0.5D) * {size})")
     return (
-        cells.withColumn("_inside", ~crossed & middle_in)
-        .where(crossed | F.col("_inside"))
+        cells.select("*", crossed.alias("_crossed"), middle_in.alias("_middle"))
+        .where("_crossed or _middle")
         .select(
-            zone,
-            "_side",
-            "_cx",
-            "_cy",
-            "_inside",
-            F.when(~F.col("_inside"), F.col("_all")).alias("_edges"),
+            zone, "_cx", "_cy", F.expr("not _crossed").alias("_inside"),
+            F.expr("if(_crossed, _all, null)").alias("_edges"),
         )
     )
 
 
-def _point_cells(
-    points: DataFrame, zones: DataFrame, cell: float | None, x: str, y: str, salts: int
-) -> DataFrame:
-    side = F.lit(float(cell)) if cell is not None else mean_box_cell(zones)
+def _point_cells(points: DataFrame, cell: float, x: str, y: str, salts: int) -> DataFrame:
     part = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
-    return (
-        points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .withColumn("_pside", side)
-        .withColumns(
-            {
-                "_px": _index(F.col(x), F.col("_pside")),
-                "_py": _index(F.col(y), F.col("_pside")),
-                "_salt": part,
-            }
-        )
-        .drop("_pside")
+    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        "*",
+        F.expr(f"floor(`{x}` / {float(cell)!r}D)").alias("_px"),
+        F.expr(f"floor(`{y}` / {float(cell)!r}D)").alias("_py"),
+        part.alias("_salt"),
     )
 
 
-def _salted_cells(zones: DataFrame, cell: float | None, zone: str, salts: int) -> DataFrame:
+def _salted_cells(zones: DataFrame, cell: float, zone: str, salts: int) -> DataFrame:
     copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
     return zone_cells(zones, cell, zone).withColumn("_zsalt", copies)
 
 
 def _match(points: DataFrame, cells: DataFrame, x: str, y: str) -> Column:
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
     return (
         (points["_px"] == cells["_cx"])
         & (points["_py"] == cells["_cy"])
         & (points["_salt"] == cells["_zsalt"])
-        & (cells["_inside"] | geometry.touches(cells["_edges"], px, py))
+        & (cells["_inside"] | geometry.touches("_edges", f"`{x}`", f"`{y}`"))
     )
 
 
@@ -136,7 +116,8 @@ def spatial_join_points(
 
     Points of one crowded cell are spread over ``salts`` parts by a hash of the row.
     """
-    p = _point_cells(points, zones, cell, x, y, salts)
+    cell = mean_box_cell(zones) if cell is None else cell
+    p = _point_cells(points, cell, x, y, salts)
     c = _salted_cells(zones, cell, zone, salts)
     return p.join(c, _match(p, c, x, y), "inner").select(*points.columns, zone)
 
@@ -151,14 +132,15 @@ def clip_to_zones(
     salts: int = SALTS,
 ) -> DataFrame:
     """Pixels whose centre touches some zone, each once."""
-    p = _point_cells(pixels, zones, cell, x, y, salts)
+    cell = mean_box_cell(zones) if cell is None else cell
+    p = _point_cells(pixels, cell, x, y, salts)
     c = _salted_cells(zones, cell, zone, salts)
     return p.join(c, _match(p, c, x, y), "left_semi").select(*pixels.columns)
 
 
 def polygon_centroid(zones: DataFrame, zone: str = "zone_id") -> DataFrame:
     """Area-weighted centroid of each zone: ``zone, cx, cy``."""
-    cx, cy = geometry.centroid(F.col("rings"))
+    cx, cy = geometry.centroid("rings")
     return zones.select(zone, cx.alias("cx"), cy.alias("cy"))
 
 

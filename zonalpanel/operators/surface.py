@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .spatial import layer_bounds
 
 # Grid nodes handled together, and the parts the sites of one year are spread over.
@@ -128,6 +129,9 @@ def idw_surface(
     )
 
 
+# Copies of each block, over which the blocks meeting it in a crowded cell are spread.
+BLOCK_SALTS = 8
+
 # Half of the 3 x 3 cells around a cell: with the cell itself, each pair of cells once.
 _HALF = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
 
@@ -148,11 +152,14 @@ def semivariogram(
     an equi-join and each meeting returns its sums per lag.
     """
     n_lags = int(np.ceil(max_dist / lag))
-    sites = _sites(points, [], x, y, value).withColumns(
-        {
-            "cx": F.floor(F.col("x") / max_dist),
-            "cy": F.floor(F.col("y") / max_dist),
-        }
+    sites = written(
+        _sites(points, [], x, y, value).withColumns(
+            {
+                "cx": F.floor(F.col("x") / max_dist),
+                "cy": F.floor(F.col("y") / max_dist),
+            }
+        ),
+        "sites",
     )
     crowd = sites.groupBy("cx", "cy").agg(
         F.ceil(F.count(F.lit(1)) / SITE_BLOCK).alias("n_blocks")
@@ -171,10 +178,14 @@ def semivariogram(
         (F.col("cy") + F.col("o.j")).alias("cy"),
         ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same_cell"),
         F.col("block").alias("a_block"),
+        F.pmod("block", F.lit(BLOCK_SALTS)).cast("int").alias("salt"),
         *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "n", "m", "ss")],
     )
+    right = blocks.withColumn(
+        "salt", F.explode(F.array(*[F.lit(i) for i in range(BLOCK_SALTS)]))
+    )
     meetings = (
-        left.join(blocks, ["cx", "cy"])
+        left.join(right, ["cx", "cy", "salt"])
         .where(~F.col("same_cell") | (F.col("a_block") <= F.col("block")))
         .select(
             (F.col("same_cell") & (F.col("a_block") == F.col("block"))).alias("same"),

@@ -17,6 +17,7 @@ from ..operators import quality as Q
 from ..operators import reshape as R
 from ..operators import spatial as S
 from ..operators import yearly as Y
+from ..session import written
 from .inputs import Inputs, r, rd, text_date
 from .queries_statistics import _P_VALUE
 from .registry import query
@@ -39,8 +40,8 @@ def zonal_extraction(
 
 def climate_panel(parts: Sequence[DataFrame], zones: DataFrame, lacking: Sequence[int]) -> DataFrame:
     """Period files to one panel, zones without data filled from the nearest zone."""
-    panel = R.union_panels(*parts)
-    donors = S.nearest_donor_zone(S.polygon_centroid(zones), lacking)
+    panel = written(R.union_panels(*parts), "panel")
+    donors = written(S.nearest_donor_zone(S.polygon_centroid(zones), lacking), "donors")
     return J.impute_from_donor(panel, donors)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every operator counts on. Join strategy is left to Catalyst
 # and AQE: no operator hints a broadcast of a table whose size it has not proven.
@@ -55,3 +55,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="zonalpanel-")
     return f"{base.rstrip('/')}/zonalpanel/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df`` as a table in the scratch folder, so they are computed once.
+
+    For a result that several branches of a plan read. The table has a short lineage and
+    survives lost executors; the cluster's cleaning of its shared folder removes it.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import oriented
+from ..functions.geometry import oriented_sql, signed_area2_sql
 
 _POLYGON = "array<array<array<double>>>"
 _MULTI = "array<array<array<array<double>>>>"
@@ -22,21 +22,11 @@ def zones_from_vertices(vertices: DataFrame, zone: str = "zone_id") -> DataFrame
     rings = vertices.groupBy(zone, "part", "ring").agg(
         F.transform(ordered, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("_ring")
     )
-    turned = rings.withColumn("_ring", oriented(F.col("_ring"), F.col("ring") > 0))
+    turned = rings.withColumn("_ring", F.expr(oriented_sql("_ring", "ring > 0")))
     collected = F.sort_array(F.collect_list(F.struct("part", "ring", "_ring")))
     return turned.groupBy(zone).agg(F.transform(collected, lambda r: r["_ring"]).alias("rings"))
 
 
-def _as_rings(polygon: Column) -> Column:
-    """Rings of one GeoJSON polygon, the first being its outline."""
-    return F.transform(
-        polygon,
-        lambda ring, i: oriented(
-            F.transform(ring, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))), i > 0
-        ),
-    )
-
-
 def read_zones(
     spark: SparkSession, path: str, attributes: str, form: str = "geojson", zone: str = "zone_id"
 ) -> DataFrame:
@@ -61,10 +51,20 @@ def read_zones(
     )
     features = spark.read.text(path).select(F.from_json("value", schema).alias("f"))
     text = F.col("f.geometry.coordinates")
-    multi = F.when(
+    parts = F.when(
         F.col("f.geometry.type") == "MultiPolygon", F.from_json(text, _MULTI)
     ).otherwise(F.array(F.from_json(text, _POLYGON)))
-    return features.select("f.properties.*", F.flatten(F.transform(multi, _as_rings)).alias("rings"))
+    # The first ring of a part is its outline, the others are holes.
+    points = "transform(ring, v -> named_struct('x', v[0], 'y', v[1]))"
+    rings = f"flatten(transform(_parts, p -> transform(p, (ring, i) -> {points})))"
+    holes = "flatten(transform(_parts, p -> transform(p, (ring, i) -> i > 0)))"
+    turned = f"transform(arrays_zip(_rings, _holes), z -> {oriented_sql('z._rings', 'z._holes')})"
+    return (
+        features.select("f.properties.*", parts.alias("_parts"))
+        .withColumns({"_rings": F.expr(rings), "_holes": F.expr(holes)})
+        .withColumn("rings", F.expr(turned))
+        .drop("_parts", "_rings", "_holes")
+    )
 
 
 def _colon(field: str) -> str:
@@ -80,27 +80,13 @@ def write_zone_layer(
     A counter-clockwise ring opens a polygon and the clockwise rings after it are its holes.
     """
     names = list(attributes) if attributes is not None else [c for c in zones.columns if c != "rings"]
-    closed = F.transform(
-        "rings",
-        lambda r: F.transform(
-            F.when(r[0] == F.element_at(r, -1), r).otherwise(F.concat(r, F.array(r[0]))),
-            lambda v: F.array(v["x"], v["y"]),
-        ),
-    )
-    empty = F.array().cast(_MULTI)
-    grouped = F.aggregate(
-        F.arrays_zip(F.col("_closed"), F.col("_outer")),
-        empty,
-        lambda acc, r: F.when(r["_outer"] | (F.size(acc) == 0), F.concat(acc, F.array(F.array(r["_closed"]))))
-        .otherwise(
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.concat(F.element_at(acc, -1), F.array(r["_closed"]))),
-            )
-        ),
-    )
-    from ..functions.geometry import signed_area2
-
+    closed = """transform(rings, r -> transform(if(r[0] = element_at(r, -1), r, concat(r, array(r[0]))),
+        v -> array(v.x, v.y)))"""
+    outer = f"transform(rings, r -> {signed_area2_sql('r')} >= 0)"
+    # A new polygon for each outline; a hole joins the last polygon.
+    grouped = f"""aggregate(arrays_zip(_closed, _outer), cast(array() as {_MULTI}), (acc, r) ->
+        if(r._outer or size(acc) = 0, concat(acc, array(array(r._closed))),
+           concat(slice(acc, 1, size(acc) - 1), array(concat(element_at(acc, -1), array(r._closed))))))"""
     feature = F.to_json(
         F.struct(
             F.lit("Feature").alias("type"),
@@ -110,9 +96,8 @@ def write_zone_layer(
         {"ignoreNullFields": "false"},
     )
     (
-        zones.withColumn("_closed", closed)
-        .withColumn("_outer", F.transform("rings", lambda r: signed_area2(r) >= 0))
-        .withColumn("_multi", grouped)
+        zones.withColumns({"_closed": F.expr(closed), "_outer": F.expr(outer)})
+        .withColumn("_multi", F.expr(grouped))
         .select(feature.alias("value"))
         .write.text(path)
     )
