@@ -80,12 +80,28 @@ def test_join_against_brute_force(spark, cell, broadcast):
 
 
 def test_inner_cells_carry_no_edges(spark):
-    cells = S.zone_cells(layer(spark, [(1, [[(0, 0), (10, 0), (10, 10), (0, 10)]])]), 1.0)
+    cells = S.zone_cells(layer(spark, [(1, [[(0, 0), (10, 0), (10, 10), (0, 10)]])]), [1.0])
     inside = cells.where("_inside")
     assert inside.count() == 81  # a cell row or column is left out where the outline runs along it
     assert inside.where("_edges is not null").count() == 0
 
 
+def test_one_huge_zone_does_not_multiply_cells(spark):
+    """Zones of very different size fall into classes; points still meet all of them once."""
+    small = [(i, [[(i, 0), (i + 1, 0), (i + 1, 1), (i, 1)]]) for i in range(20)]
+    huge = (100, [[(-40000, -40000), (40000, -40000), (0, 60000)]])
+    zones = layer(spark, [*small, huge, (101, [[(3, 3), (3, 3), (3, 3)]])])
+    sizes = S.cell_sizes(zones)
+    assert len(sizes) > 2 and sizes == sorted(sizes, reverse=True)
+    assert S.zone_cells(zones, sizes).count() < 22 * 20 * 20
+    points = [(x / 2, y / 2) for x in range(-4, 46) for y in range(-3, 9)] + [(-30000.0, -39000.0), (0.0, 59999.0), (39999.0, 0.0)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i int, x double, y double")
+    every = [*small, huge, (101, [[(3, 3), (3, 3), (3, 3)]])]
+    want = sorted((i, z) for i, (x, y) in enumerate(points) for z, rings in every if touches(rings, x, y))
+    assert sorted((r.i, r.zone_id) for r in S.spatial_join_points(df, zones).collect()) == want
+    assert sorted(r.i for r in S.clip_to_zones(df, zones).collect()) == sorted({i for i, _ in want})
+
+
 def test_centroid_with_hole_and_parts(spark):
     outer, hole = [(0, 0), (4, 0), (4, 4), (0, 4)], [(2, 2), (2, 4), (4, 4), (4, 2)]
     rows = [(1, 0, 0, i, float(x), float(y)) for i, (x, y) in enumerate(reversed(outer))]

@@ -9,6 +9,7 @@ followed by a short test.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,36 +19,69 @@ from ..functions import geometry, projection
 # Copies of each cell row, and the number of parts a busy cell's points are spread over.
 SALTS = 8
 
+# A size class of zones spans this factor (a power of two), and so many cells at most lie
+# along a zone.
+CLASS_SPAN = 16
+
 # Halvings of the layer's extent tried by the nearest-donor search.
 DONOR_LEVELS = 16
 
 
-def mean_box_cell(zones: DataFrame, parts: int = 16) -> float:
-    """A cell side: the mean side of the zones' boxes over ``parts``.
-
-    One number, fetched when the join is built, so that both sides use it as a literal.
-    """
-    sides = [
+def _side_sql() -> str:
+    """Longer side of a zone's bounding box."""
+    spans = [
         f"array_max(transform(flatten(rings), v -> v.{c})) - array_min(transform(flatten(rings), v -> v.{c}))"
         for c in "xy"
     ]
-    side = zones.agg(F.expr(f"avg(greatest({sides[0]}, {sides[1]}))").alias("side")).first()["side"]
-    return side / parts if side else 1.0
+    return f"greatest({spans[0]}, {spans[1]})"
+
+
+def cell_sizes(zones: DataFrame) -> list[float]:
+    """Cell side of each size class of a layer, largest first.
+
+    A class spans a factor of ``CLASS_SPAN`` in zone size and has cells a
+    ``CLASS_SPAN``-th of its upper end, so no zone covers more than about
+    (CLASS_SPAN + 1) squared cells and one huge zone does not dictate the cells of the
+    small ones. Most layers have one class or two. Only the distinct powers of two of
+    the sizes reach the driver.
+    """
+    exponent = F.expr(f"cast(floor(log2({_side_sql()})) as int)").alias("e")
+    found = [r["e"] for r in zones.select(exponent).where("e is not null").distinct().collect()]
+    if not found:
+        return [1.0]
+    step = CLASS_SPAN.bit_length() - 1
+    classes = {(max(found) - e) // step for e in found}
+    return [2.0 ** (max(found) + 1 - step * (k + 1)) for k in sorted(classes)]
+
+
+def _class_sql(sizes: Sequence[float]) -> str:
+    """Size class of a zone: the last one whose span it fits."""
+    cases = " ".join(
+        f"when {_side_sql()} >= {size!r}D then {k}" for k, size in enumerate(sizes[:-1])
+    )
+    return f"case {cases} else {len(sizes) - 1} end" if cases else "0"
+
+
+def _size_of_class(sizes: Sequence[float]) -> str:
+    return f"element_at(array({', '.join(f'{s!r}D' for s in sizes)}), _class + 1)"
 
 
 def zone_cells(
-    zones: DataFrame, cell: float | None = None, zone: str = "zone_id"
+    zones: DataFrame, sizes: Sequence[float], zone: str = "zone_id"
 ) -> DataFrame:
-    """Cells touched by each zone: ``zone, _cx, _cy, _inside, _edges``.
+    """Cells touched by each zone: ``zone, _class, _cx, _cy, _inside, _edges``.
 
     ``_edges`` is NULL for a cell that lies inside the zone.
     """
-    size = f"{float(mean_box_cell(zones) if cell is None else cell)!r}D"
 
     def index(v: str) -> str:
-        return f"floor(({v}) / {size})"
+        return f"floor(({v}) / _size)"
 
-    edges = zones.select(zone, F.expr(geometry.polygon_edges_sql("rings")).alias("_all"))
+    edges = zones.select(
+        zone,
+        F.expr(_class_sql(sizes)).alias("_class"),
+        F.expr(geometry.polygon_edges_sql("rings")).alias("_all"),
+    ).select("*", F.expr(_size_of_class(sizes)).alias("_size"))
     boxes = edges.select(
         "*",
         *[
@@ -57,46 +91,53 @@ def zone_cells(
         ],
     )
     # Rows of cells first, with the edges of that row's band; then the cells of the row.
-    bands = boxes.select(zone, "_x0", "_x1", "_all", F.expr("explode(sequence(_y0, _y1))").alias("_cy")).withColumn(
+    bands = boxes.select(
+        zone, "_class", "_size", "_x0", "_x1", "_all", F.expr("explode(sequence(_y0, _y1))").alias("_cy")
+    ).withColumn(
         "_all",
         F.expr(
             f"filter(_all, e -> {index('least(e.y1, e.y2)')} <= _cy "
             f"and {index('greatest(e.y1, e.y2)')} >= _cy)"
         ),
     )
-    cells = bands.select(zone, "_cy", "_all", F.expr("explode(sequence(_x0, _x1))").alias("_cx")).withColumn(
-        "_all", F.expr(f"filter(_all, e -> {index('greatest(e.x1, e.x2)')} >= _cx)")
-    )
+    cells = bands.select(
+        zone, "_class", "_size", "_cy", "_all", F.expr("explode(sequence(_x0, _x1))").alias("_cx")
+    ).withColumn("_all", F.expr(f"filter(_all, e -> {index('greatest(e.x1, e.x2)')} >= _cx)"))
     crossed = F.expr(f"exists(_all, e -> {index('least(e.x1, e.x2)')} <= _cx)")
-    middle_in = geometry.even_odd("_all", f"((_cx + 0.5D) * {size})", f"((_cy + 0.5D) * {size})")
+    middle_in = geometry.even_odd("_all", "((_cx + 0.5D) * _size)", "((_cy + 0.5D) * _size)")
     return (
         cells.select("*", crossed.alias("_crossed"), middle_in.alias("_middle"))
         .where("_crossed or _middle")
         .select(
-            zone, "_cx", "_cy", F.expr("not _crossed").alias("_inside"),
+            zone, "_class", "_cx", "_cy", F.expr("not _crossed").alias("_inside"),
             F.expr("if(_crossed, _all, null)").alias("_edges"),
         )
     )
 
 
-def _point_cells(points: DataFrame, cell: float, x: str, y: str, salts: int) -> DataFrame:
+def _point_cells(
+    points: DataFrame, sizes: Sequence[float], classes: Sequence[int], x: str, y: str, salts: int
+) -> DataFrame:
+    """Points with their cell in each of the size classes, and their part."""
     part = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
-    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        "*",
-        F.expr(f"floor(`{x}` / {float(cell)!r}D)").alias("_px"),
-        F.expr(f"floor(`{y}` / {float(cell)!r}D)").alias("_py"),
-        part.alias("_salt"),
+    places = ", ".join(
+        f"struct({k}, floor(`{x}` / {sizes[k]!r}D), floor(`{y}` / {sizes[k]!r}D))" for k in classes
+    )
+    located = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        "*", part.alias("_salt"), F.expr(f"inline(array({places}))").alias("_pclass", "_px", "_py")
     )
+    return located
 
 
-def _salted_cells(zones: DataFrame, cell: float, zone: str, salts: int) -> DataFrame:
+def _salted_cells(zones: DataFrame, sizes: Sequence[float], zone: str, salts: int) -> DataFrame:
     copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    return zone_cells(zones, cell, zone).withColumn("_zsalt", copies)
+    return zone_cells(zones, sizes, zone).withColumn("_zsalt", copies)
 
 
 def _match(points: DataFrame, cells: DataFrame, x: str, y: str) -> Column:
     return (
-        (points["_px"] == cells["_cx"])
+        (points["_pclass"] == cells["_class"])
+        & (points["_px"] == cells["_cx"])
         & (points["_py"] == cells["_cy"])
         & (points["_salt"] == cells["_zsalt"])
         & (cells["_inside"] | geometry.touches("_edges", f"`{x}`", f"`{y}`"))
@@ -116,9 +157,9 @@ def spatial_join_points(
 
     Points of one crowded cell are spread over ``salts`` parts by a hash of the row.
     """
-    cell = mean_box_cell(zones) if cell is None else cell
-    p = _point_cells(points, cell, x, y, salts)
-    c = _salted_cells(zones, cell, zone, salts)
+    sizes = cell_sizes(zones) if cell is None else [float(cell)]
+    p = _point_cells(points, sizes, range(len(sizes)), x, y, salts)
+    c = _salted_cells(zones, sizes, zone, salts)
     return p.join(c, _match(p, c, x, y), "inner").select(*points.columns, zone)
 
 
@@ -131,11 +172,19 @@ def clip_to_zones(
     zone: str = "zone_id",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Pixels whose centre touches some zone, each once."""
-    cell = mean_box_cell(zones) if cell is None else cell
-    p = _point_cells(pixels, cell, x, y, salts)
-    c = _salted_cells(zones, cell, zone, salts)
-    return p.join(c, _match(p, c, x, y), "left_semi").select(*pixels.columns)
+    """Pixels whose centre touches some zone, each once.
+
+    One semi join per size class; what a class does not match goes on to the next.
+    """
+    sizes = cell_sizes(zones) if cell is None else [float(cell)]
+    c = _salted_cells(zones, sizes, zone, salts)
+    kept, rest = [], pixels
+    for k in range(len(sizes)):
+        p = _point_cells(rest, sizes, [k], x, y, salts)
+        kept.append(p.join(c, _match(p, c, x, y), "left_semi").select(*pixels.columns))
+        if k + 1 < len(sizes):
+            rest = p.join(c, _match(p, c, x, y), "left_anti").select(*pixels.columns)
+    return reduce(DataFrame.unionByName, kept)
 
 
 def polygon_centroid(zones: DataFrame, zone: str = "zone_id") -> DataFrame:
