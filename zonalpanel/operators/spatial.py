@@ -120,13 +120,19 @@ def _point_cells(
 ) -> DataFrame:
     """Points with their cell in each of the size classes, and their part."""
     part = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
-    places = ", ".join(
-        f"struct({k}, floor(`{x}` / {sizes[k]!r}D), floor(`{y}` / {sizes[k]!r}D))" for k in classes
-    )
     located = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        "*", part.alias("_salt"), F.expr(f"inline(array({places}))").alias("_pclass", "_px", "_py")
+        "*", part.alias("_salt")
     )
-    return located
+
+    def place(k: int) -> list[str]:
+        return [str(k), f"floor(`{x}` / {sizes[k]!r}D)", f"floor(`{y}` / {sizes[k]!r}D)"]
+
+    names = ["_pclass", "_px", "_py"]
+    if len(classes) == 1:
+        only = zip(place(classes[0]), names)
+        return located.select("*", *[F.expr(e).alias(n) for e, n in only])
+    places = ", ".join(f"struct({', '.join(place(k))})" for k in classes)
+    return located.select("*", F.expr(f"inline(array({places}))").alias(*names))
 
 
 def _salted_cells(zones: DataFrame, sizes: Sequence[float], zone: str, salts: int) -> DataFrame:
