@@ -138,3 +138,10 @@ def test_ranges_spread_a_hot_group(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(per_range) == 8 and per_range.max() < 2 * 300000 / 8
     assert hot_ranges >= 3
+
+
+def test_rank_comparison_without_a_rank_is_red(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, None)], "zone_id int, case_rank double")
+    b = spark.createDataFrame([(1, 2.0), (2, 2.0), (4, 1.0)], "zone_id int, egg_rank double")
+    got = {r.zone_id: r.color for r in B.rank_comparison(a, b).collect()}
+    assert got == {1: "blue", 2: "red", 3: "red", 4: "red"}

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, projection
 
-# Copies of each cell row, and the number of parts a busy cell's points are spread over.
+# Copies of each cell row, and the number of parts a busy cell's points are spread over,
+# for layers whose cells with their copies stay below CHEAP_COPIES rows. Larger layers
+# leave crowded cells to AQE, which splits them when the join runs.
 SALTS = 8
+CHEAP_COPIES = 4_000_000
 
 # A size class of zones spans this factor (a power of two), and so many cells at most lie
 # along a zone.
@@ -36,17 +39,21 @@ def _side_sql() -> str:
     return f"greatest({spans[0]}, {spans[1]})"
 
 
-def cell_sizes(zones: DataFrame) -> list[float]:
+def _size_histogram(zones: DataFrame) -> dict[int | None, int]:
+    """Zones by power of two of their size: the one small result that reaches the driver."""
+    exponent = F.expr(f"cast(floor(log2({_side_sql()})) as int)").alias("e")
+    return {r["e"]: r["count"] for r in zones.groupBy(exponent).count().collect()}
+
+
+def cell_sizes(histogram: dict[int | None, int]) -> list[float]:
     """Cell side of each size class of a layer, largest first.
 
     A class spans a factor of ``CLASS_SPAN`` in zone size and has cells a
     ``CLASS_SPAN``-th of its upper end, so no zone covers more than about
     (CLASS_SPAN + 1) squared cells and one huge zone does not dictate the cells of the
-    small ones. Most layers have one class or two. Only the distinct powers of two of
-    the sizes reach the driver.
+    small ones. Most layers have one class or two.
     """
-    exponent = F.expr(f"cast(floor(log2({_side_sql()})) as int)").alias("e")
-    found = [r["e"] for r in zones.select(exponent).where("e is not null").distinct().collect()]
+    found = [e for e in histogram if e is not None]
     if not found:
         return [1.0]
     step = CLASS_SPAN.bit_length() - 1
@@ -54,6 +61,15 @@ def cell_sizes(zones: DataFrame) -> list[float]:
     return [2.0 ** (max(found) + 1 - step * (k + 1)) for k in sorted(classes)]
 
 
+def _layout(zones: DataFrame, cell: float | None, salts: int | None) -> tuple[list[float], int]:
+    """Cell sizes and number of salts for a join with the layer."""
+    if cell is not None:
+        return [float(cell)], salts or SALTS
+    histogram = _size_histogram(zones)
+    most_rows = sum(histogram.values()) * CLASS_SPAN**2 * SALTS
+    return cell_sizes(histogram), salts or (SALTS if most_rows <= CHEAP_COPIES else 1)
+
+
 def _class_sql(sizes: Sequence[float]) -> str:
     """Size class of a zone: the last one whose span it fits."""
     cases = " ".join(
@@ -157,13 +173,14 @@ def spatial_join_points(
     x: str = "x",
     y: str = "y",
     zone: str = "zone_id",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Points with the zone they touch, inner; a shared boundary matches every zone on it.
 
-    Points of one crowded cell are spread over ``salts`` parts by a hash of the row.
+    Points of one crowded cell are spread over ``salts`` parts by a hash of the row. A
+    small job looks at the sizes of the zones first, unless ``cell`` is given.
     """
-    sizes = cell_sizes(zones) if cell is None else [float(cell)]
+    sizes, salts = _layout(zones, cell, salts)
     p = _point_cells(points, sizes, range(len(sizes)), x, y, salts)
     c = _salted_cells(zones, sizes, zone, salts)
     return p.join(c, _match(p, c, x, y), "inner").select(*points.columns, zone)
@@ -176,13 +193,13 @@ def clip_to_zones(
     x: str = "x",
     y: str = "y",
     zone: str = "zone_id",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Pixels whose centre touches some zone, each once.
 
     One semi join per size class; what a class does not match goes on to the next.
     """
-    sizes = cell_sizes(zones) if cell is None else [float(cell)]
+    sizes, salts = _layout(zones, cell, salts)
     c = _salted_cells(zones, sizes, zone, salts)
     kept, rest = [], pixels
     for k in range(len(sizes)):

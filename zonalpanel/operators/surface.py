@@ -24,8 +24,9 @@ SITE_PARTS = 8
 # Sites weighted against a tile at a time, which bounds the matrix in memory.
 SITE_STEP = 256
 
-# Aimed number of sites in one semivariogram block.
-SITE_BLOCK = 512
+# Aimed number of sites in one semivariogram block. A meeting of two blocks is one row
+# with both, and Arrow sends such rows by the thousand, so blocks are kept small.
+SITE_BLOCK = 128
 
 
 def _sites(points: DataFrame, keys: list[str], x: str, y: str, value: str) -> DataFrame:

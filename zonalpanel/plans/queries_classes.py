@@ -38,15 +38,14 @@ def rank_average_asc(t: Inputs):
 @query("local_counts", """
 WITH change AS (SELECT zone_id, sum(CASE WHEN year = 2000 THEN infections ELSE 0 END) - sum(CASE WHEN year = 1996 THEN infections ELSE 0 END) AS change
                 FROM local_counts WHERE year IN (1996, 2000) GROUP BY zone_id),
-     eggs AS (SELECT s_nationkey AS zone_id, sum(l_quantity) AS eggs FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-              WHERE s_nationkey <> 6 GROUP BY 1),
+     eggs AS (SELECT s_nationkey AS zone_id, sum(l_quantity) AS eggs FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
      a AS (SELECT zone_id, rank() OVER (ORDER BY change DESC) + (count(*) OVER (PARTITION BY change) - 1) / 2.0::DOUBLE AS case_rank FROM change),
      b AS (SELECT zone_id, rank() OVER (ORDER BY eggs DESC) + (count(*) OVER (PARTITION BY eggs) - 1) / 2.0::DOUBLE AS egg_rank FROM eggs)
 SELECT a.zone_id, case_rank, egg_rank, CASE WHEN case_rank < egg_rank THEN 'blue' ELSE 'red' END AS color
 FROM a LEFT JOIN b ON a.zone_id = b.zone_id""")
 def rank_comparison(t: Inputs):
     change = B.case_change(count_cases(t.cases), 1996, 2000)
-    eggs = t.traps.where("zone_id <> 6").groupBy("zone_id").agg(F.sum("avg_eggs").alias("eggs"))
+    eggs = t.traps.groupBy("zone_id").agg(F.sum("avg_eggs").alias("eggs"))
     a = O.rank_average_desc(change, "change", "case_rank").select("zone_id", "case_rank")
     b = O.rank_average_desc(eggs, "eggs", "egg_rank").select("zone_id", "egg_rank")
     return B.rank_comparison(a, b)

@@ -335,13 +335,13 @@ def cases_in_area(t: Inputs):
     return kept.select("case_id", "town", "year")
 
 
-_LON = "CASE WHEN point_id % 11 = 0 THEN NULL ELSE x + 118 END"
+_LON = "CASE WHEN value >= -500 THEN x + 118 END"
 
 
 def _lonlat(t: Inputs):
     return t.points.select(
         "point_id", "x", "y",
-        F.when(F.col("point_id") % 11 != 0, F.col("x") + 118).alias("lon"),
+        F.when(F.col("value") >= -500, F.col("x") + 118).alias("lon"),
         (F.col("y") + 19).alias("lat"),
     )
 

@@ -23,14 +23,18 @@ def cases_with_population(t: Inputs):
     return J.cases_with_population(t.local_counts, t.population)
 
 
-@query("zones traps", f"""
-SELECT z.zone_id, z.zone_name, {rd('coalesce(s.eggs, 0)', 2)} AS eggs
-FROM zones z LEFT JOIN (SELECT zone_id, sum(avg_eggs) AS eggs FROM traps WHERE zone_id % 3 <> 0 GROUP BY zone_id) s
+@query("zones", f"""
+SELECT z.zone_id, z.zone_name, {rd('coalesce(s.credit, 0)', 2)} AS credit
+FROM zones z LEFT JOIN (SELECT s_nationkey AS zone_id, sum(CAST(s_acctbal AS DECIMAL(18,2))) AS credit
+                        FROM supplier WHERE s_acctbal > 9000 GROUP BY s_nationkey) s
 ON z.zone_id = s.zone_id""")
 def zones_left_join_stat(t: Inputs):
-    stat = t.traps.where(F.col("zone_id") % 3 != 0).groupBy("zone_id").agg(F.sum("avg_eggs").alias("eggs"))
+    rich = t.table("supplier").where("s_acctbal > 9000")
+    stat = rich.groupBy(F.col("s_nationkey").alias("zone_id")).agg(
+        F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("credit")
+    )
     joined = J.zones_left_join_stat(t.zone_facts.select("zone_id", "zone_name"), stat)
-    return joined.withColumn("eggs", r(F.col("eggs"), 2))
+    return joined.withColumn("credit", r(F.col("credit"), 2))
 
 
 @query("zones panel", f"""
@@ -67,7 +71,7 @@ def zones_left_join_cases(t: Inputs):
     return joined.select("zone_id", "year", "row_no", "january")
 
 
-_A = "SELECT zone_id, date, price_MEAN, CASE WHEN zone_id % 4 <> 1 THEN price_min_MEAN END AS low FROM panel WHERE year(date) <= 1998"
+_A = "SELECT zone_id, date, price_MEAN, CASE WHEN price_min_MEAN > 100 THEN price_min_MEAN END AS low FROM panel WHERE year(date) <= 1998"
 _B = "SELECT zone_id, date, price_min_MEAN AS low, price_max_MEAN AS high FROM panel WHERE year(date) >= 1997"
 
 
@@ -75,7 +79,7 @@ def _two_panels(t: Inputs):
     year = F.year("date")
     a = t.panel.where(year <= 1998).select(
         "zone_id", "date", F.dayofyear("date").alias("doy"), "price_MEAN",
-        F.when(F.col("zone_id") % 4 != 1, F.col("price_min_MEAN")).alias("low"),
+        F.when(F.col("price_min_MEAN") > 100, F.col("price_min_MEAN")).alias("low"),
     )
     b = t.panel.where(year >= 1997).select(
         "zone_id", "date", F.dayofyear("date").alias("doy"),
@@ -101,12 +105,11 @@ def merge_panels_outer(t: Inputs):
 SELECT CAST(y.year AS INTEGER) AS year, z.zone_id, z.zone_name, {rd('coalesce(s.avg_eggs, 0)', 2)} AS avg_eggs
 FROM zones z, (SELECT unnest([1994, 1996, 1998, 2000, 2002]) AS year) y LEFT JOIN
      (SELECT year(start_time) AS year, zone_id, sum(avg_eggs) AS avg_eggs FROM traps
-      WHERE (zone_id + year(start_time)) % 3 <> 0 GROUP BY ALL) s
+      GROUP BY ALL) s
 ON s.year = y.year AND s.zone_id = z.zone_id""")
 def year_zone_template(t: Inputs):
     sums = (
         t.traps.withColumn("year", F.year("start_time"))
-        .where((F.col("zone_id") + F.col("year")) % 3 != 0)
         .groupBy("year", "zone_id")
         .agg(F.sum("avg_eggs").alias("avg_eggs"))
     )
@@ -171,12 +174,12 @@ def weeks_from_first_case(t: Inputs):
 
 @query("customer_counts", """
 SELECT a.zone_id, a.deaths % 3 AS a_code, b.infections % 4 AS b_code
-FROM (SELECT * FROM customer_counts WHERE zone_id % 5 <> 0) a
-JOIN (SELECT * FROM customer_counts WHERE zone_id % 7 <> 0) b ON a.zone_id = b.zone_id""")
+FROM (SELECT * FROM customer_counts WHERE deaths > 0) a
+JOIN (SELECT * FROM customer_counts WHERE infections >= 8) b ON a.zone_id = b.zone_id""")
 def join_classes_on_zone(t: Inputs):
     base = t.customer_counts
-    a = base.where(F.col("zone_id") % 5 != 0).select("zone_id", (F.col("deaths") % 3).alias("a_code"))
-    b = base.where(F.col("zone_id") % 7 != 0).select("zone_id", (F.col("infections") % 4).alias("b_code"))
+    a = base.where("deaths > 0").select("zone_id", (F.col("deaths") % 3).alias("a_code"))
+    b = base.where("infections >= 8").select("zone_id", (F.col("infections") % 4).alias("b_code"))
     return J.join_classes_on_zone(a, b)
 
 

@@ -20,11 +20,11 @@ from .registry import query
 
 @query("panel", f"""
 SELECT CASE WHEN year(date) <= 1997 THEN 'era_1995_1997' ELSE 'era_1998_2001' END AS source_name, zone_id,
-       CAST(date AS VARCHAR) AS date, {rd('CASE WHEN zone_id % 9 <> 2 THEN price_MEAN END', 4)} AS "price_MEAN"
+       CAST(date AS VARCHAR) AS date, {rd('CASE WHEN price_MEAN > 50 THEN price_MEAN END', 4)} AS "price_MEAN"
 FROM panel""")
 def read_table_dir(t: Inputs):
     root = scratch_dir(t.spark, "tables")
-    value = F.when(F.col("zone_id") % 9 != 2, F.col("price_MEAN")).otherwise(F.lit(float("nan")))
+    value = F.when(F.col("price_MEAN") > 50, F.col("price_MEAN")).otherwise(F.lit(float("nan")))
     rows = t.panel.select("zone_id", text_date("date").alias("date"), value.alias("price_MEAN"))
     early = F.year(F.to_date("date")) <= 1997
     W.write_panel(rows.where(early), f"{root}/ERA_1995_1997.csv")
