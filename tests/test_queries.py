@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare, duck
+from zonalpanel.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-CHECKS = contract.oracle_sql()
+QUERIES = registry.queries()
+CHECKS = registry.checks()
 
 
 @pytest.fixture(scope="module")
