@@ -6,21 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+import public_tokenizers
 
-from . import substring_dedup
+from . import bpe, packing, substring_dedup
 from .common import sha256_text, table
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    path = public_tokenizers.path(VOCABULARY)
+    result = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return result.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        sha256_text("decoded_text").alias("decoded_sha256"),
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without word windows seen earlier, as digests."""
     result = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "n_words", "n_removed", sha256_text("kept_text").alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_bpe,
         op4_substring_dedup,
+        op7_best_fit_packing,
     )
 }
 
