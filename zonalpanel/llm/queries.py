@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, packing, substring_dedup
+from . import bpe, line_dedup, packing, quality, substring_dedup
 from .common import sha256_text, table
 
 
@@ -33,18 +33,53 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", "n_words", "n_removed", sha256_text("kept_text").alias("kept_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that a later document holds too, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    result = line_dedup.drop_shared_lines(docs)
+    return result.select("doc_id", "n_lines", "n_dropped", sha256_text("kept_text").alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition figures of every document and whether it is kept."""
+    result = quality.judge(table(spark, sf_dir, "documents"))
+    return result.drop("line_share", "gram_shares")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe,
         op4_substring_dedup,
+        op5_line_dedup,
         op7_best_fit_packing,
+        op9_quality_rules,
     )
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op5_line_dedup": """
+        WITH split AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), lines AS (
+            SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS position FROM split
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), shared AS (
+            SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+        ), marked AS (
+            SELECT k.doc_id, k.position, k.line, s.key IS NOT NULL AND s.keeper <> k.doc_id AS gone
+            FROM keyed k LEFT JOIN shared s USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}

@@ -43,20 +43,20 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts.
 
-    ``data`` holds the bytes of all texts, ``begin`` and ``end`` the place of each word in
+    ``data`` holds the bytes of all texts, which begin at ``offsets``, ``begin`` and ``end`` the place of each word in
     them, and ``starts`` the number of each text's first word, with the word count last.
     """
 
     def __init__(self, texts: pa.Array):
-        self.data, offsets = text_bytes(texts)
+        self.data, self.offsets = text_bytes(texts)
         solid = ~_BLANK[self.data]
         edge = np.zeros(len(solid) + 1, bool)
-        edge[offsets] = True
+        edge[self.offsets] = True
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1] | edge[1:-1]
         ends[:-1] &= ~solid[1:] | edge[1:-1]
         self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.starts = np.searchsorted(self.begin, offsets)
+        self.starts = np.searchsorted(self.begin, self.offsets)
 
     def __len__(self) -> int:
         return len(self.begin)
