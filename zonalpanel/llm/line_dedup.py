@@ -77,6 +77,8 @@ def keep_bitmaps(
         .where(F.col("n_docs") >= min_docs)
         .select("hash", "check", "keeper")
     )
+    # written, so that neither side of the join is an aggregate and Spark can split hot keys
+    shared = settled(shared, "shared-lines")
     gone = lines.join(shared, ["hash", "check"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     word = F.floor(F.col("position") / WORD_BITS).cast("int")
     bit = F.expr(f"shiftleft(1L, position % {WORD_BITS})")
