@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from . import bpe, line_dedup, packing, quality, substring_dedup
-from .common import sha256_text, table
+from zonalpanel.session import scratch_dir
+
+from . import bpe, line_dedup, packing, quality, substring_dedup, warc
+from .common import settled, sha256_text, table
 
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +29,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to web archives and read back."""
+    path = scratch_dir(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = settled(warc.read_archive(spark, path).drop("payload", "target_uri"), "records")
+    return warc.resolved(records).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without word windows seen earlier, as digests."""
     result = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -55,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe,
+        op2_warc,
         op4_substring_dedup,
         op5_line_dedup,
         op7_best_fit_packing,
@@ -63,6 +76,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 CHECKS: dict[str, str] = {
+    "op2_warc": """
+        WITH hashed AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), first AS (
+            SELECT hex, min(page_id) AS first_page FROM hashed GROUP BY hex
+        )
+        SELECT page_id, payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + list_aggregate(list_transform(range(5), lambda j:
+                    (((position(substr(hex, CAST((5 * i + j) // 4 + 1 AS BIGINT), 1) IN '0123456789abcdef') - 1)
+                        >> CAST(3 - (5 * i + j) % 4 AS BIGINT)) & 1) << CAST(4 - j AS BIGINT)), 'sum')::BIGINT, 1)),
+                'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_page THEN first_page END AS refers_to,
+            CAST(NULL AS VARCHAR) AS problem
+        FROM hashed JOIN first USING (hex)
+    """,
     "op5_line_dedup": """
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
