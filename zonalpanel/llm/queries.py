@@ -10,7 +10,7 @@ import public_tokenizers
 
 from zonalpanel.session import scratch_dir
 
-from . import bpe, line_dedup, packing, quality, substring_dedup, warc
+from . import bpe, embedding_dedup, line_dedup, packing, quality, substring_dedup, warc
 from .common import settled, sha256_text, table
 
 
@@ -63,6 +63,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.drop("line_share", "gram_shares")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_line_dedup,
         op7_best_fit_packing,
         op9_quality_rules,
+        op10_embedding_dedup,
     )
 }
 
