@@ -10,7 +10,7 @@ import public_tokenizers
 
 from zonalpanel.session import scratch_dir
 
-from . import bpe, embedding_dedup, line_dedup, packing, quality, substring_dedup, warc
+from . import bpe, embedding_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, warc
 from .common import settled, sha256_text, table
 
 
@@ -57,6 +57,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-equal documents of every document."""
+    result = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return result.select("doc_id", "class_id", F.col("keeper").alias("kept"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition figures of every document and whether it is kept."""
     result = quality.judge(table(spark, sf_dir, "documents"))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_substring_dedup,
         op5_line_dedup,
         op7_best_fit_packing,
+        op8_near_dedup,
         op9_quality_rules,
         op10_embedding_dedup,
     )
