@@ -42,17 +42,6 @@ _LEVELS = 32
 _SIGNATURES = "row_a long, row_b long, doc_id long, words_a long, words_b long, samples array<int>"
 
 
-def _lower(data: np.ndarray) -> np.ndarray:
-    """ASCII letters in lower case."""
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-
-
-def _words(texts: pa.Array) -> Words:
-    words = Words(texts)
-    words.data = _lower(words.data)
-    return words
-
-
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.int64) % WORD_BUCKETS
 
@@ -62,7 +51,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, docs = np.zeros(WORD_BUCKETS, np.int64), 0
     for batch in batches:
         for rows in slices(batch):
-            words = _words(rows.column("text"))
+            words = Words(rows.column("text"), lower=True)
             text = np.repeat(np.arange(rows.num_rows), np.diff(words.starts))
             pairs = np.unique(text * WORD_BUCKETS + _bucket(words.hashes()))
             total += np.bincount(pairs % WORD_BUCKETS, minlength=WORD_BUCKETS)
@@ -162,7 +151,7 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Rec
     """A digest of all words and the samples of each text; no digest for texts without words."""
     for batch in batches:
         for rows in slices(batch):
-            words = _words(rows.column("text"))
+            words = Words(rows.column("text"), lower=True)
             hashes = words.hashes()
             counts = np.diff(words.starts)
             samples = _samples(*_features(words, hashes, idf), rows.num_rows)
@@ -185,7 +174,7 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Rec
 
 
 def _weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words = _words(pa.array([text]))
+    words = Words(pa.array([text]), lower=True)
     _, shingle, level = _features(words, words.hashes(), idf)
     return shingle, np.exp2(level / 2)
 

@@ -10,7 +10,7 @@ import public_tokenizers
 
 from zonalpanel.session import scratch_dir
 
-from . import bpe, embedding_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, warc
+from . import bpe, embedding_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, warc
 from .common import settled, sha256_text, table
 
 
@@ -39,6 +39,19 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (toxicity.remainder() == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without word windows seen earlier, as digests."""
     result = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -79,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_bpe,
         op2_warc,
+        op3_toxicity,
         op4_substring_dedup,
         op5_line_dedup,
         op7_best_fit_packing,

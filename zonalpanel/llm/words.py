@@ -17,6 +17,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Besides all ASCII characters that are neither letters nor digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
@@ -45,11 +47,12 @@ class Words:
 
     ``data`` holds the bytes of all texts, which begin at ``offsets``, ``begin`` and ``end`` the place of each word in
     them, and ``starts`` the number of each text's first word, with the word count last.
+    ``blanks`` tells which bytes separate words; ``lower`` puts A-Z in lower case.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, blanks: np.ndarray = _BLANK, lower: bool = False):
         self.data, self.offsets = text_bytes(texts)
-        solid = ~_BLANK[self.data]
+        solid = ~blanks[self.data]
         edge = np.zeros(len(solid) + 1, bool)
         edge[self.offsets] = True
         begins, ends = solid.copy(), solid.copy()
@@ -57,6 +60,8 @@ class Words:
         ends[:-1] &= ~solid[1:] | edge[1:-1]
         self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.starts = np.searchsorted(self.begin, self.offsets)
+        if lower:
+            self.data = np.where((self.data >= 65) & (self.data <= 90), self.data + 32, self.data).astype(np.uint8)
 
     def __len__(self) -> int:
         return len(self.begin)
