@@ -10,7 +10,7 @@ import public_tokenizers
 
 from zonalpanel.session import scratch_dir
 
-from . import bpe, embedding_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import bpe, embedding_dedup, licenses, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, warc
 from .common import settled, sha256_text, table
 
 
@@ -65,6 +65,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_dropped", sha256_text("kept_text").alias("kept_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_toxicity,
         op4_substring_dedup,
         op5_line_dedup,
+        op6_license_scan,
         op7_best_fit_packing,
         op8_near_dedup,
         op9_quality_rules,
