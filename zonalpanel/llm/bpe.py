@@ -24,6 +24,8 @@ from tokenizers import Tokenizer
 
 from .words import slices
 
+#: Texts of about so many bytes share one pair index.
+INDEX_BYTES = 12 << 20
 #: Bytes of the characters that the byte-level alphabet shows as themselves (fixed values).
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Words of these characters alone have the same form in every Unicode version.
@@ -191,15 +193,16 @@ class Encoder:
     def encode_texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text (null: none) as little-endian unsigned 32-bit integers, in order."""
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        distinct: set[bytes] = set()
-        for part in slices(batch):
-            for text in part.column(0).cast(pa.binary()).to_pylist():
-                if text:
-                    distinct.update(text.split())
-        ids = self.encode_words(list(distinct))
-        for part in slices(batch):
-            for text in part.column(0).cast(pa.binary()).to_pylist():
-                yield b"".join(map(ids.__getitem__, text.split())) if text else b""
+        for part in slices(batch, limit=INDEX_BYTES):
+            distinct: set[bytes] = set()
+            for small in slices(part):
+                for text in small.column(0).cast(pa.binary()).to_pylist():
+                    if text:
+                        distinct.update(text.split())
+            ids = self.encode_words(list(distinct))
+            for small in slices(part):
+                for text in small.column(0).cast(pa.binary()).to_pylist():
+                    yield b"".join(map(ids.__getitem__, text.split())) if text else b""
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens of the ids with a blank between any two, special tokens included."""
