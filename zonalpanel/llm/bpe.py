@@ -20,8 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .common import without
 from .words import slices
 
 #: Texts of about so many bytes share one pair index.
@@ -251,10 +253,9 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (with an ``ids`` column) and ``decoded_text``: its tokens, with blanks between them.
 
-    Null or empty ids decode to the empty text. ``encoded`` must not have a column named
-    ``decoded_text``. Ids that are not in the vocabulary raise an IndexError.
+    Null or empty ids decode to the empty text. A column named ``decoded_text`` is replaced. Ids
+    that are not in the vocabulary raise an IndexError.
     """
-    if "decoded_text" in encoded.columns:
-        raise ValueError("there is a column named decoded_text already")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(partial(_decode, path=path), f"{fields}, decoded_text string")
+    encoded = without(encoded, "decoded_text")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded_text", T.StringType())])
+    return encoded.mapInArrow(partial(_decode, path=path), schema)

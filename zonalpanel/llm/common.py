@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from zonalpanel.session import prepare, written
 
-ROW_BYTES = 8 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
     prepare(spark)
@@ -32,6 +29,28 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return result
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column in ``taken`` has it (in any case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without columns of these names, which an operator is about to add."""
+    drop = {n.lower() for n in names}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in drop])
+
+
+def with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """``columns`` of ``docs`` with another text, and n_chars (if there is one) counted anew."""
+    changed = {"text": text}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.when(text.isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast("long")
+    return docs.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in columns])
+
+
 def text_key(text: str | Column = "text") -> Column:
     """Tells rows that share an id but not a text apart."""
     return F.crc32(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"))

@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_key
+from .common import free_name, settled, text_key, with_text, without
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -90,34 +90,44 @@ def keep_bitmaps(
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All rows of ``docs`` with n_lines, n_dropped and kept_text (the lines that stay).
+def apply_bitmaps(
+    docs: DataFrame, bitmaps: DataFrame, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")
+) -> DataFrame:
+    """All rows of ``docs`` with the lines they had, those dropped, and the text that stays.
 
-    A null text counts as one empty line. ``docs`` must not have columns of these names.
+    A null text counts as one empty line. Columns that have one of ``names`` are replaced.
     """
-    taken = {"n_lines", "n_dropped", "kept_text"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"there are columns named {sorted(taken)} already")
+    docs = without(docs, *names)
     other = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("holes").alias("_holes"))
     same = docs["doc_id"].cast("long").eqNullSafe(other["_id"]) & (text_key(docs["text"]) == other["_key"])
-    lines = _lines(F.col("text"))
-    by_word = F.map_from_entries("_holes")
+    lines, holes = _lines(docs["text"]), other["_holes"]
+    by_word = F.map_from_entries(holes)
 
     def stays(_: Column, i: Column) -> Column:
         bits = F.coalesce(F.try_element_at(by_word, F.floor(i / WORD_BITS).cast("int")), F.lit(0))
         return F.getbit(bits, (i % WORD_BITS).cast("int")) == 0
 
-    counts = F.aggregate("_holes", F.lit(0).cast("bigint"), lambda total, x: total + F.bit_count(x["bits"]))
+    counts = F.aggregate(holes, F.lit(0).cast("bigint"), lambda total, x: total + F.bit_count(x["bits"]))
     return docs.join(other, same, "left").select(
         *[docs[f"`{c}`"] for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(counts, F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_holes").isNull(), F.coalesce(docs["text"], F.lit("")))
+        F.size(lines).cast("long").alias(names[0]),
+        F.coalesce(counts, F.lit(0)).cast("long").alias(names[1]),
+        F.when(holes.isNull(), F.coalesce(docs["text"], F.lit("")))
         .otherwise(F.array_join(F.filter(lines, stays), "\n"))
-        .alias("kept_text"),
+        .alias(names[2]),
     )
 
 
 def drop_shared_lines(docs: DataFrame, **rules) -> DataFrame:
     """``apply_bitmaps`` with the bitmaps of ``keep_bitmaps(docs, **rules)``."""
     return apply_bitmaps(docs, keep_bitmaps(docs, **rules))
+
+
+def without_shared_lines(docs: DataFrame, **rules) -> DataFrame:
+    """``docs`` with the texts of ``drop_shared_lines`` where lines go; all else is unchanged.
+
+    A column ``n_chars`` is counted anew.
+    """
+    names = tuple(free_name(n, docs.columns) for n in ("n_lines", "n_dropped", "kept_text"))
+    found = apply_bitmaps(docs, keep_bitmaps(docs, **rules), names)
+    return with_text(found, docs.columns, F.when(F.col(names[1]) > 0, F.col(names[2])).otherwise(F.col("text")))

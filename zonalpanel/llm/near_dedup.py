@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import free_name, settled
 from .components import components
 from .words import MULTIPLIER, Words, mixed, run_hashes, slices
 
@@ -340,15 +340,13 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     Documents without words all stay. Of equal rows in a class one stays.
     """
-    taken = {"row_a", "row_b", "_nth"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"there are columns named {sorted(taken)} already")
+    a, b, nth = (free_name(n, docs.columns) for n in ("row_a", "row_b", "nth"))
     keep = settled(
-        near_classes(docs, threshold).where("keeper").select("row_a", "row_b").distinct(),
+        near_classes(docs, threshold).where("keeper").select(F.col("row_a").alias(a), F.col("row_b").alias(b)).distinct(),
         "kept-rows",
     )
-    keyed = docs.select("*", *_row_keys())
-    nth = F.row_number().over(Window.partitionBy("row_a", "row_b").orderBy(F.lit(1)))
+    keyed = docs.withColumns(dict(zip((a, b), _row_keys(), strict=True)))
+    number = F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1)))
     wordless = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\v\f\r")) == ""
-    rows = keyed.join(keep, ["row_a", "row_b"]).withColumn("_nth", nth).where((F.col("_nth") == 1) | wordless)
+    rows = keyed.join(keep, [a, b]).withColumn(nth, number).where((F.col(nth) == 1) | wordless)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

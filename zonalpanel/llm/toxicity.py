@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settled
+from .common import free_name, settled, without
 from .words import slices
 
 PER_CLASS = 8000
@@ -245,22 +246,32 @@ def fit(
     return Model(buckets, weights, bias)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
+    """``text`` is the number of the text column."""
     features = _Features({b: i for i, b in enumerate(model.buckets)})
     for batch in batches:
-        for rows in slices(batch):
-            scores = [model.score(features(text or "")) for text in rows.column("text").to_pylist()]
-            kept = [n for n in rows.schema.names]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], names=[*kept, "score"])
+        scores = [model.score(features(t or "")) for rows in slices(batch, text) for t in rows.column(text).to_pylist()]
+        names = [*batch.schema.names, "score"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` (0 to 1, higher for toxic texts).
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with a score in ``column`` (0 to 1, higher for toxic texts).
 
     Only ``text`` is looked at; null and empty texts get the score of a text without features.
-    ``docs`` must not have a column named ``score``.
+    A column of the score's name is replaced.
     """
-    if "score" in docs.columns:
-        raise ValueError("there is a column named score already")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(partial(_score, model=model), f"{fields}, score double")
+    docs = without(docs, column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    scored = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    found = scored.mapInArrow(
+        partial(_score, model=model, text=docs.columns.index("text")), inner.add("score", T.DoubleType())
+    )
+    return found.toDF(*schema.names)
+
+
+def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score under ``limit``, all columns unchanged."""
+    column = free_name("score", docs.columns)
+    return score(docs, model, column).where(F.col(f"`{column}`") < limit).drop(column)

@@ -22,7 +22,7 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about ``limit`` bytes of text each (at least one row)."""
     if batch.num_rows == 0:
         return
