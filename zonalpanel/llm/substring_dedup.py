@@ -23,10 +23,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_key
+from .common import settled, text_key, with_text
 from .words import Words, mixed, run_hashes, slices
 
 WINDOW = 20
@@ -123,37 +124,47 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             )
 
 
+def _kept(rows: pa.RecordBatch, window: int, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words, removed words and the words that stay (joined by one blank) of each text."""
+    texts = rows.column(text)
+    words = Words(texts)
+    gone = np.zeros(len(words) + 1, np.int32)
+    begin, end = _span_places(rows.column("spans"), words.starts[:-1], window - 1)
+    np.add.at(gone, begin, 1)
+    np.add.at(gone, end, -1)
+    dropped = np.cumsum(gone[:-1]) > 0
+    removed = np.diff(np.append(0, np.cumsum(dropped))[words.starts])
+    kept = []
+    for i, value in enumerate(texts.cast(pa.large_binary()).to_pylist()):
+        parts = value.split() if value else []
+        if removed[i]:
+            stay = ~dropped[words.starts[i] : words.starts[i + 1]]
+            parts = [parts[j] for j in np.flatnonzero(stay).tolist()]
+        kept.append(b" ".join(parts))
+    return np.diff(words.starts), removed, kept
+
+
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Texts without the words of their spans; untouched texts are only counted and rejoined."""
     for batch in batches:
         for rows in slices(batch):
-            texts = rows.column("text")
-            words = Words(texts)
-            gone = np.zeros(len(words) + 1, np.int32)
-            begin, end = _span_places(rows.column("spans"), words.starts[:-1], window - 1)
-            np.add.at(gone, begin, 1)
-            np.add.at(gone, end, -1)
-            dropped = np.cumsum(gone[:-1]) > 0
-            counts = np.diff(words.starts)
-            removed = np.diff(np.append(0, np.cumsum(dropped))[words.starts])
-            kept = []
-            for i, text in enumerate(texts.cast(pa.large_binary()).to_pylist()):
-                parts = text.split() if text else []
-                if removed[i]:
-                    stay = ~dropped[words.starts[i] : words.starts[i + 1]]
-                    parts = [parts[j] for j in np.flatnonzero(stay).tolist()]
-                kept.append(b" ".join(parts))
+            counts, removed, kept = _kept(rows, window, "text")
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[rows.column(name) for name in rows.schema.names if name not in ("text", "spans", "text_key")],
-                    pa.array(counts, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
-                ],
-                names=[*[n for n in rows.schema.names if n not in ("text", "spans", "text_key")], "n_words", "n_removed", "kept_text"],
+                [rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept_text"],
             )
 
 
+def _replace(batches: Iterator[pa.RecordBatch], window: int, text: str) -> Iterator[pa.RecordBatch]:
+    """The rows without ``spans``, and with other texts where words go."""
+    for batch in batches:
+        for rows in slices(batch, text):
+            _, removed, kept = _kept(rows, window, text)
+            old = rows.column(text)
+            new = pc.if_else(pa.array(removed > 0), pa.array(kept, pa.binary()).cast(pa.string()), old.cast(pa.string()))
+            names = [n for n in rows.schema.names if n != "spans"]
+            yield pa.RecordBatch.from_arrays([new if n == text else rows.column(n) for n in names], names=names)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
 
@@ -176,9 +187,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
         .where("n > 1")
         .select("minimizer", (F.col("low") != F.col("high")).alias("branching"))
     )
+    # written, as are the aggregates below, so that Spark can split hot keys of the joins
+    shared = settled(shared, "shared-minimizers")
     hits = settled(paths.join(shared, "minimizer"), "repeated-paths")
 
     first = hits.groupBy("minimizer", "path").agg(F.min(F.struct("doc_id", "start", "digest")).alias("source"))
+    first = settled(first, "first-paths")
     here = F.col("doc_id").eqNullSafe(F.col("source.doc_id")) & (F.col("start") == F.col("source.start"))
     marked = settled(
         hits.join(first, ["minimizer", "path"])
@@ -209,6 +223,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
         .where("n > 1")
         .drop("n")
     )
+    source = settled(source, "repeated-windows")
     single = (
         windows.join(source, ["hash_a", "hash_b"])
         .where(~here)
@@ -230,20 +245,39 @@ def _with_spans(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return texts.join(other, same, how).drop("_id", "_key")
 
 
+def _spans_of_texts(docs: DataFrame, window: int, kmer: int) -> DataFrame:
+    return (
+        repeated_spans(docs, window, kmer)
+        .groupBy("doc_id", "text_key")
+        .agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
+    )
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """Documents without the words of windows that begin earlier elsewhere.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Returns one row per input row:
     (doc_id, n_words, n_removed, kept_text), the kept words joined by one blank. A null or
-    blank text has no words and an empty ``kept_text``; no document has fewer than one row,
-    and an empty table gives an empty result.
+    blank text has no words and an empty ``kept_text``; an empty table gives an empty result.
     """
-    texts = _texts(docs)
-    spans = (
-        repeated_spans(docs, window, kmer)
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
-    )
-    return _with_spans(texts, spans, "left").mapInArrow(
+    return _with_spans(_texts(docs), _spans_of_texts(docs, window, kmer), "left").mapInArrow(
         partial(_cut, window=window), "doc_id long, n_words long, n_removed long, kept_text string"
     )
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """``docs`` with the texts of ``remove_repeats`` where words go; all else is unchanged.
+
+    A text that loses no word keeps its white space. A column ``n_chars`` is counted anew.
+    """
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_name, text_name = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    other = _spans_of_texts(docs, window, kmer).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    same = numbered[id_name].cast("long").eqNullSafe(other["_id"]) & (text_key(numbered[text_name]) == other["_key"])
+    found = (
+        numbered.join(other, same, "left")
+        .drop("_id", "_key")
+        .mapInArrow(partial(_replace, window=window, text=text_name), numbered.schema)
+        .toDF(*docs.columns)
+    )
+    return with_text(found, docs.columns, F.col("text"))
