@@ -12,26 +12,41 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import without
-from .words import slices
+from .words import Words, gathered, slices, span_hashes
 
 #: Texts of about so many bytes share one pair index.
 INDEX_BYTES = 12 << 20
 #: Bytes of the characters that the byte-level alphabet shows as themselves (fixed values).
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-#: Words of these characters alone have the same form in every Unicode version.
-_PLAIN = regex.compile("[!-~À-ɏ]+")
+#: The published pattern for pre-tokens (a fixed value).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a byte is in a plain word: a letter, a digit, a sign, or no byte of plain words.
+#: Plain words have printable ASCII but for the apostrophe, and the letters from U+00C0 to U+00FF.
+_LETTER, _DIGIT, _SIGN, _ODD = range(4)
+_LATIN = 0xC3
+_CHECK = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, _ODD, np.uint8)
+    for byte in range(0x21, 0x7F):
+        shown = chr(byte)
+        kinds[byte] = _LETTER if shown.isalpha() else _DIGIT if shown.isdigit() else _SIGN
+    kinds[ord("'")] = _ODD
+    kinds[_LATIN] = _LETTER
+    return kinds
 
 
 def _alphabet() -> list[str]:
@@ -48,11 +63,12 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
         model = stored["model"]
-        pre = stored["pre_tokenizer"]["pretokenizers"]
-        if model["type"] != "BPE" or pre[0]["type"] != "Split" or pre[0]["behavior"] != "Removed":
-            raise ValueError(f"{path} is not a BPE file that drops white space")
+        steps = (stored["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = steps[0].get("pattern", {}).get("Regex")
+        if model["type"] != "BPE" or pattern != _PATTERN or steps[0]["behavior"] != "Removed":
+            raise ValueError(f"{path} is not a BPE file that splits words by the known pattern and drops white space")
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
-        self.pattern = regex.compile(pre[0]["pattern"]["Regex"] + r"|\n")
+        self.kinds = _byte_kinds()
         letters = _alphabet()
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.inner = np.array([vocabulary[c] for c in letters], np.int64)
@@ -69,21 +85,14 @@ class Encoder:
         if (np.maximum(rank_of[self.left], rank_of[self.right]) >= np.arange(len(merges))).any():
             raise ValueError(f"{path} ranks a merge before one that it needs")
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
-        self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
+        self.split_special = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         self.token = np.array([self.library.id_to_token(i) for i in range(self.library.get_vocab_size())], object)
 
-    def pieces(self, words: list[bytes]) -> tuple[list[str | bytes | int], list[int], list[bytes]]:
-        """Pre-tokens (texts, or bytes) and special tokens (ids), how many each word has, and the words in this order."""
-        texts = b"\n".join(words).decode().split("\n")
-        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        simple = [t for t, p in zip(texts, plain, strict=True) if p]
-        found: list[str | bytes | int] = self.pattern.findall("\n".join(simple).lower() + "\n") if simple else []
-        breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
-        counts = (np.diff(breaks, prepend=-1) - 1).tolist()
-        found = [p for p in found if p != "\n"]
-        for text, p in zip(texts, plain, strict=True):
-            if p:
-                continue
+    def pieces(self, words: list[bytes]) -> tuple[list[bytes | int], list[int]]:
+        """The pre-tokens (bytes) and special tokens (ids) of words, and how many each has, by the library."""
+        found: list[bytes | int] = []
+        counts = []
+        for text in map(bytes.decode, words):
             before = len(found)
             for part in self.split_special.split(text) if self.split_special else [text]:
                 if part in self.special:
@@ -92,8 +101,7 @@ class Encoder:
                     shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
                     found += [bytes(map(self.byte_of.__getitem__, s)) for s, _ in shown]
             counts.append(len(found) - before)
-        order = [w for w, p in zip(words, plain, strict=True) if p] + [w for w, p in zip(words, plain, strict=True) if not p]
-        return found, counts, order
+        return found, counts
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it has none."""
@@ -101,10 +109,13 @@ class Encoder:
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[place] == keys, self.order[place], -1)
 
-    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the pieces and where those of each end, by the pair occurrence index."""
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
+    def merge(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens and how many each has, by the pair occurrence index.
+
+        ``raw`` has their bytes one after the other, ``sizes`` the number of bytes of each.
+        """
+        if not len(sizes):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         symbol = self.inner[raw]
         symbol[ends - 1] = self.final[raw[ends - 1]]
@@ -171,40 +182,84 @@ class Encoder:
                 np.concatenate([at[some], first[prior]]),
             )
         stay = symbol >= 0
-        owner = np.repeat(np.arange(len(pieces)), sizes)[stay]
-        return symbol[stay].astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(pieces)))
-
-    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each distinct word, as little-endian unsigned 32-bit integers."""
-        if not words:
-            return {}
-        pieces, counts, order = self.pieces(words)
-        distinct = [p for p in dict.fromkeys(pieces) if not isinstance(p, int)]
-        known: dict[str | bytes | int, bytes] = {i: np.uint32(i).tobytes() for i in self.special.values()}
-        if distinct:
-            ids, ends = self.merge([p.encode() if isinstance(p, str) else p for p in distinct])
-            flat, ends = ids.tobytes(), (4 * ends).tolist()
-            known |= {p: flat[a:b] for p, a, b in zip(distinct, [0, *ends[:-1]], ends, strict=True)}
-        encoded = list(map(known.__getitem__, pieces))
-        result, low = {}, 0
-        for word, n in zip(order, counts, strict=True):
-            result[word] = encoded[low] if n == 1 else b"".join(encoded[low : low + n])
-            low += n
-        return result
+        owner = np.repeat(np.arange(len(sizes)), sizes)[stay]
+        return symbol[stay].astype("<u4"), np.bincount(owner, minlength=len(sizes))
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of any words and how many each has, with pre-tokens from the library."""
+        pieces, counts = self.pieces(words)
+        distinct = [p for p in dict.fromkeys(pieces) if isinstance(p, bytes)]
+        sizes = np.array([len(p) for p in distinct], np.int64)
+        ids, n = self.merge(np.frombuffer(b"".join(distinct), np.uint8), sizes)
+        known: dict[bytes | int, list[int]] = {i: [i] for i in self.special.values()}
+        known |= {p: part.tolist() for p, part in zip(distinct, np.split(ids, np.cumsum(n)[:-1]), strict=False)}
+        found, lengths, at = [], [], iter(pieces)
+        for count in counts:
+            own = [i for _ in range(count) for i in known[next(at)]]
+            found += own
+            lengths.append(len(own))
+        return np.array(found, "<u4"), np.array(lengths, np.int64)
+
+    def encode_part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), and where those of each text begin, with the end last."""
+        words = Words(texts)
+        data = words.data.copy()
+        kinds = self.kinds[data]
+        after = np.zeros(len(data), bool)
+        after[1:] = data[:-1] == _LATIN  # the second byte of a plain letter, but for the signs 0x97 and 0xB7
+        kinds[after & (data >= 0x80) & (data != 0x97) & (data != 0xB7)] = _LETTER
+        odd_byte = kinds == _ODD
+        odd_byte[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))  # may begin a special token
+        odd_before = np.append(0, np.cumsum(odd_byte))
+        odd = odd_before[words.end] > odd_before[words.begin]
+        capital = (data >= 65) & (data <= 90) | after & (data >= 0x80) & (data <= 0x9E)
+        data[capital] += 32
+
+        inside = np.zeros(len(data) + 1, np.int8)
+        plain = ~odd
+        inside[words.begin[plain]] = 1
+        inside[words.end[plain]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        starts = np.zeros(len(data), bool)
+        starts[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+        starts[words.begin] = True
+        begin = np.flatnonzero(starts & inside)
+        ends = np.zeros(len(data) + 1, bool)
+        ends[begin] = True
+        ends[words.end[plain]] = True
+        end = np.flatnonzero(ends)
+        end = end[np.searchsorted(end, begin, side="right")] if len(begin) else begin
+
+        hashes = span_hashes(data, begin, end)
+        _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        check = span_hashes(data, begin, end, _CHECK)
+        if (check != check[first][code]).any():
+            raise RuntimeError("two different words have the same hash")
+        sizes = (end - begin)[first]
+        ids, n_ids = self.merge(data[gathered(begin[first], sizes)], sizes)
+
+        strange = [words.data[a:b].tobytes() for a, b in zip(words.begin[odd], words.end[odd], strict=True)]
+        numbers = {word: i for i, word in enumerate(dict.fromkeys(strange))}
+        more, n_more = self.encode_words(list(numbers))
+        ids, n_ids = np.concatenate([ids, more]), np.concatenate([n_ids, n_more])
+
+        at = np.concatenate([begin, words.begin[odd]])
+        unit = np.concatenate([code, np.fromiter(map(numbers.__getitem__, strange), np.int64, len(strange)) + len(first)])
+        order = np.argsort(at, kind="stable")
+        at, unit = at[order], unit[order]
+        size = n_ids[unit]
+        total = np.append(0, np.cumsum(size))
+        flat = ids[gathered((np.cumsum(n_ids) - n_ids)[unit], size)]
+        return flat, total[np.searchsorted(at, words.offsets)]
 
     def encode_texts(self, texts: pa.Array) -> Iterator[bytes]:
-        """The ids of each text (null: none) as little-endian unsigned 32-bit integers, in order."""
+        """The ids of each text as little-endian unsigned 32-bit integers, in order."""
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
         for part in slices(batch, limit=INDEX_BYTES):
-            distinct: set[bytes] = set()
-            for small in slices(part):
-                for text in small.column(0).cast(pa.binary()).to_pylist():
-                    if text:
-                        distinct.update(text.split())
-            ids = self.encode_words(list(distinct))
-            for small in slices(part):
-                for text in small.column(0).cast(pa.binary()).to_pylist():
-                    yield b"".join(map(ids.__getitem__, text.split())) if text else b""
+            ids, starts = self.encode_part(part.column(0))
+            data = ids.tobytes()
+            for a, b in zip((4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist(), strict=True):
+                yield data[a:b]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens of the ids with a blank between any two, special tokens included."""

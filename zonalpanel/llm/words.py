@@ -67,22 +67,32 @@ class Words:
         return len(self.begin)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, eight bytes at a time."""
-        size = self.end - self.begin
-        result = mixed(size.astype(np.uint64) + MULTIPLIER)
-        if not len(size):
-            return result
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eights = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
-        active, done = np.arange(len(size)), 0
-        with np.errstate(over="ignore"):
-            while len(active):
-                left = np.minimum(size[active] - done, 8)
-                part = eights[self.begin[active] + done] & _MASKS[left]
-                result[active] = mixed((result[active] ^ part) * MULTIPLIER)
-                done += 8
-                active = active[size[active] > done]
+        """A 64-bit hash of each word."""
+        return span_hashes(self.data, self.begin, self.end)
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: np.uint64 = MULTIPLIER) -> np.ndarray:
+    """A 64-bit hash of the bytes in each span, eight bytes at a time."""
+    size = end - begin
+    result = mixed(size.astype(np.uint64) + seed)
+    if not len(size):
         return result
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    active, done = np.arange(len(size)), 0
+    with np.errstate(over="ignore"):
+        while len(active):
+            left = np.minimum(size[active] - done, 8)
+            part = eights[begin[active] + done] & _MASKS[left]
+            result[active] = mixed((result[active] ^ part) * MULTIPLIER)
+            done += 8
+            active = active[size[active] > done]
+    return result
+
+
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each span, one span after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
