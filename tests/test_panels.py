@@ -1,12 +1,15 @@
 """Joins, imputation, yearly statistics, sources and sinks."""
 
 import datetime as dt
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from zonalpanel import session
 from zonalpanel.operators import counts as K
 from zonalpanel.operators import joins as J
 from zonalpanel.operators import reshape as R
@@ -80,18 +83,21 @@ def test_yearly_statistics_against_pandas(spark):
     trend = Y.stability_trend(yearly, "v").toPandas().set_index("zone_id").sort_index()
     slope = y.groupby("zone_id").apply(lambda g: np.polyfit(g["year"], g["std"], 1)[0], include_groups=False)
     np.testing.assert_allclose(trend["stability_trend"], slope)
+    several = Y.stability_trend(yearly.withColumn("w_std", F.col("v_std") * 2), ["v", "w"]).toPandas()
+    np.testing.assert_allclose(several["w_stability_trend"], several["v_stability_trend"] * 2)
+    assert "v_mean_CV" in Y.stability_stats(yearly, ["v"]).columns
 
 
 def test_trend_edge_cases(spark):
     rows = [(1, 2000 + i, 3.0) for i in range(4)] + [(2, 2000, 1.0), (2, 2001, 2.0), (3, 2000, 1.0)]
     rows += [(4, 2000, 1.0), (4, 2001, None), (4, 2002, 5.0), (4, 2003, 2.0)]
     yearly = spark.createDataFrame(rows, "zone_id int, year int, v_std double")
-    got = {r.zone_id: (r.stability_trend, r.p_value) for r in Y.stability_trend(yearly, "v").collect()}
+    got = {r.zone_id: (r.stability_trend, r.p_value) for r in Y.stability_trend(yearly, "v", strict=False).collect()}
     assert got[1] == (0.0, 1.0)
     assert got[2] == (1.0, 0.0)
     assert got[3] == (None, None)
     assert got[4][0] is not None
-    strict = {r.zone_id: r.stability_trend for r in Y.stability_trend(yearly, "v", strict=True).collect()}
+    strict = {r.zone_id: r.stability_trend for r in Y.stability_trend(yearly, "v").collect()}
     assert strict[4] is None and strict[2] == 1.0
 
 
@@ -116,12 +122,32 @@ def test_table_dir(spark, tmp_path):
     (tmp_path / "ERA_2010.csv").write_text("zone_id,v\n1,NaN\n2,3.5\n")
     (tmp_path / "prec_2011.csv").write_text("zone_id,v\n3,\n")
     (tmp_path / "notes.txt").write_text("x")
+    (tmp_path / "Era+B.csv").write_text("w,v,zone_id\n9,4.5,4\n")
+    (tmp_path / "part-1999.csv").write_text("zone_id\n5\n")
     rows = T.read_table_dir(spark, str(tmp_path), "zone_id int, v double").collect()
     assert sorted(((r.source_name, r.zone_id, r.v) for r in rows), key=str) == sorted(
-        [("era_2010", 1, None), ("era_2010", 2, 3.5), ("prec_2011", 3, None)], key=str
+        [("era_2010", 1, None), ("era_2010", 2, 3.5), ("prec_2011", 3, None), ("era+b", 4, 4.5), ("part-1999", 5, None)],
+        key=str,
     )
 
 
+def test_case_and_trap_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("X,Y,StartTime,District,AvgEggs\n1,2,2020-01-02 03:04:05,d,7\n")
+    (tmp_path / "b.csv").write_text("extra,AvgEggs,StartTime,Y,X,District\n0,NaN,x,4,3,e\n")
+    got = sorted((r.x, r.y, str(r.start_time), r.district, r.avg_eggs) for r in T.read_traps(spark, str(tmp_path)).collect())
+    assert got == [(1.0, 2.0, "2020-01-02 03:04:05", "d", 7.0), (3.0, 4.0, "None", "e", None)]
+    with pytest.raises(ValueError):
+        T.read_cases(spark, str(tmp_path))
+
+
+def test_scratch_is_released(spark):
+    table = session.written(spark.range(3), "some")
+    folder = Path(urlparse(table.inputFiles()[0]).path).parent
+    assert table.count() == 3 and folder.is_dir()
+    assert session.release(spark) >= 1
+    assert not folder.exists() and session.release(spark) == 0
+
+
 def test_population_encodings(spark, tmp_path):
     (tmp_path / "a").mkdir()
     body = "CODEBASE,TOWN,P_CNT,M_CNT,F_CNT\n中西區-1,中西區,10,4,6\n"

@@ -196,3 +196,36 @@ def test_zone_statistics_with_missing_pixels(spark):
     assert got[("MEAN", 1)][0] == pytest.approx(7 / 3)
     assert got[("STD", 1)][0] == pytest.approx(np.std([1, 2, 4]))
     assert got[("SUM", 2)] == (None, 3.0)
+
+
+def _square(x0, y0, side):
+    corners = [(x0, y0), (x0 + side, y0), (x0 + side, y0 + side), (x0, y0 + side)]
+    return [[{"x": float(a), "y": float(b)} for a, b in corners]]
+
+
+def test_many_zones_with_one_crowded_spot(spark):
+    """5,625 zones; 20,000 equal points, in a table with a map column, are spread over parts."""
+    zones = spark.createDataFrame(
+        [(i, _square(i % 75, i // 75, 1)) for i in range(5625)], "zone_id int, rings array<array<struct<x:double,y:double>>>"
+    )
+    grid = spark.range(5625).select((F.col("id") % 75 + 0.5).alias("x"), (F.floor(F.col("id") / 75) + 0.5).alias("y"))
+    spot = spark.range(20_000).select(F.lit(10.25).alias("x"), F.lit(20.25).alias("y"))
+    points = grid.unionByName(spot).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    placed = S.spatial_join_points(points, zones, part_points=500)
+    counts = {r["zone_id"]: r["count"] for r in placed.groupBy("zone_id").count().collect()}
+    assert counts.pop(20 * 75 + 10) == 20_001 and len(counts) == 5624 and set(counts.values()) == {1}
+    cells = S._point_cells(points, [1.0], [0], "x", "y")
+    parts = S._salted_points(cells, S._crowds(cells, 500)).where("_px = 10 and _py = 20").groupBy("_salt").count().collect()
+    assert len(parts) == 41 and max(p["count"] for p in parts) < 1000
+    assert S.clip_to_zones(points, zones, part_points=500).count() == 25_625
+
+
+def test_polygon_with_very_many_vertices(spark):
+    angles = np.linspace(0, 2 * np.pi, 100_001)[:-1]
+    ring = [{"x": float(np.cos(a)), "y": float(np.sin(a))} for a in angles]
+    zones = spark.createDataFrame([(1, [ring])], "zone_id int, rings array<array<struct<x:double,y:double>>>")
+    rng = np.random.default_rng(0)
+    spots = rng.uniform(-1.2, 1.2, (300, 2))
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "i int, x double, y double")
+    inside = {r.i for r in S.spatial_join_points(points, zones).collect()}
+    assert inside == {i for i, (x, y) in enumerate(spots) if np.hypot(x, y) < 1}

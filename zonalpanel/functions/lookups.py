@@ -48,9 +48,6 @@ COLOURS_3X3 = [
 # Land cover class codes.
 LAND_COVER_CLASSES = [10, 20, 30, 40, 50, 60, 70, 80, 90, 95]
 
-# The urban districts of the study area.
-URBAN_DISTRICTS = ["東區", "安南區", "南區", "北區", "中西區", "安平區"]
-
 # What a zonal statistic can be.
 STATISTICS = ["MEAN", "MAXIMUM", "MINIMUM", "MEDIAN", "STD", "VARIANCE", "SUM"]
 

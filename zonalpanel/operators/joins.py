@@ -141,7 +141,9 @@ def wide_incidence_by_year(
 ) -> DataFrame:
     """Zones with ``Inf_<y>, Pop_<y>, IR_<y>, M_<y>, F_<y>`` for each year.
 
-    All years go through one join and one pivot. A zone counts in a year only when it
+    All years go through one join and one pivot. Of several population rows of a zone and
+    year the one with the largest population counts (then that with the largest other
+    values), so that all its numbers come from one row. A zone counts in a year only when it
     has cases then; with ``fill_zero`` its missing population becomes 0 (and its rate,
     a division by zero, NULL).
     """
@@ -150,8 +152,11 @@ def wide_incidence_by_year(
         value = nulls.number_or_null(F.col(c))
         return F.coalesce(value, F.lit(0.0)) if fill_zero else value
 
+    other = [c for c in population.columns if c not in ("year", key)]
+    largest = F.max(F.struct(nulls.number_or_null(F.col("p_cnt")).alias("_n"), *other)).alias("_row")
+    single = population.groupBy("year", key).agg(largest).select("year", key, *[f"_row.{c}" for c in other])
     rates = incidence_rate(
-        cases_with_population(counts, population, ("year", key))
+        cases_with_population(counts, single, ("year", key))
         .where(F.col("year").isin(*[int(y) for y in years]))
         .withColumns({"infections": number("infections"), "p_cnt": number("p_cnt")}),
         population="p_cnt",

@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, projection
+from ..session import written
 
-# Copies of each cell row, and the number of parts a busy cell's points are spread over,
-# for layers whose cells with their copies stay below CHEAP_COPIES rows. Larger layers
-# leave crowded cells to AQE, which splits them when the join runs.
-SALTS = 8
-CHEAP_COPIES = 4_000_000
+# Points of a cell that one part takes. A cell with more is split into as many parts as its
+# points need, and only then are its rows copied.
+PART_POINTS = 100_000
 
 # A size class of zones spans this factor (a power of two), and so many cells at most lie
 # along a zone.
@@ -61,13 +60,9 @@ def cell_sizes(histogram: dict[int | None, int]) -> list[float]:
     return [2.0 ** (max(found) + 1 - step * (k + 1)) for k in sorted(classes)]
 
 
-def _layout(zones: DataFrame, cell: float | None, salts: int | None) -> tuple[list[float], int]:
-    """Cell sizes and number of salts for a join with the layer."""
-    if cell is not None:
-        return [float(cell)], salts or SALTS
-    histogram = _size_histogram(zones)
-    most_rows = sum(histogram.values()) * CLASS_SPAN**2 * SALTS
-    return cell_sizes(histogram), salts or (SALTS if most_rows <= CHEAP_COPIES else 1)
+def _layout(zones: DataFrame, cell: float | None) -> list[float]:
+    """Cell sizes for a join with the layer."""
+    return [float(cell)] if cell is not None else cell_sizes(_size_histogram(zones))
 
 
 def _class_sql(sizes: Sequence[float]) -> str:
@@ -132,12 +127,11 @@ def zone_cells(
 
 
 def _point_cells(
-    points: DataFrame, sizes: Sequence[float], classes: Sequence[int], x: str, y: str, salts: int
+    points: DataFrame, sizes: Sequence[float], classes: Sequence[int], x: str, y: str
 ) -> DataFrame:
-    """Points with their cell in each of the size classes, and their part."""
-    part = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
+    """Points with their cell in each of the size classes, and a number that differs between equal points."""
     located = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        "*", part.alias("_salt")
+        "*", F.xxhash64(F.monotonically_increasing_id(), x, y).alias("_draw")
     )
 
     def place(k: int) -> list[str]:
@@ -151,9 +145,35 @@ def _point_cells(
     return located.select("*", F.expr(f"inline(array({places}))").alias(*names))
 
 
-def _salted_cells(zones: DataFrame, sizes: Sequence[float], zone: str, salts: int) -> DataFrame:
-    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    return zone_cells(zones, sizes, zone).withColumn("_zsalt", copies)
+def _crowds(placed: DataFrame, part_points: int) -> DataFrame:
+    """Cells with more points than a part takes, and how many parts they need.
+
+    Counts are aggregated before they are shuffled; the few rows that remain are written, so
+    that Catalyst knows their size.
+    """
+    counts = placed.groupBy("_pclass", "_px", "_py").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / part_points).cast("int").alias("_parts")
+    crowded = counts.where(F.col("_n") > part_points).select(
+        F.col("_pclass").alias("_gclass"), F.col("_px").alias("_gx"), F.col("_py").alias("_gy"), parts
+    )
+    return written(crowded, "crowded-cells")
+
+
+def _in_crowd(df: DataFrame, crowds: DataFrame, kind: str, cx: str, cy: str) -> DataFrame:
+    same = (df[kind] == crowds["_gclass"]) & (df[cx] == crowds["_gx"]) & (df[cy] == crowds["_gy"])
+    return df.join(crowds, same, "left").drop("_gclass", "_gx", "_gy")
+
+
+def _salted_points(placed: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Points with their part of a crowded cell, 0 in all other cells."""
+    part = F.pmod("_draw", F.coalesce("_parts", F.lit(1))).cast("int")
+    return _in_crowd(placed, crowds, "_pclass", "_px", "_py").withColumn("_salt", part).drop("_draw", "_parts")
+
+
+def _salted_cells(cells: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Cell rows, once for each part of their cell."""
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return _in_crowd(cells, crowds, "_class", "_cx", "_cy").withColumn("_zsalt", copies).drop("_parts")
 
 
 def _match(points: DataFrame, cells: DataFrame, x: str, y: str) -> Column:
@@ -173,16 +193,19 @@ def spatial_join_points(
     x: str = "x",
     y: str = "y",
     zone: str = "zone_id",
-    salts: int | None = None,
+    part_points: int = PART_POINTS,
 ) -> DataFrame:
     """Points with the zone they touch, inner; a shared boundary matches every zone on it.
 
-    Points of one crowded cell are spread over ``salts`` parts by a hash of the row. A
-    small job looks at the sizes of the zones first, unless ``cell`` is given.
+    Points of a cell with more than ``part_points`` of them are spread over parts, equal
+    points too; a small job counts the points of each cell first. Another one looks at the
+    sizes of the zones, unless ``cell`` is given.
     """
-    sizes, salts = _layout(zones, cell, salts)
-    p = _point_cells(points, sizes, range(len(sizes)), x, y, salts)
-    c = _salted_cells(zones, sizes, zone, salts)
+    sizes = _layout(zones, cell)
+    placed = _point_cells(points, sizes, range(len(sizes)), x, y)
+    crowds = _crowds(placed, part_points)
+    p = _salted_points(placed, crowds)
+    c = _salted_cells(zone_cells(zones, sizes, zone), crowds)
     return p.join(c, _match(p, c, x, y), "inner").select(*points.columns, zone)
 
 
@@ -193,17 +216,18 @@ def clip_to_zones(
     x: str = "x",
     y: str = "y",
     zone: str = "zone_id",
-    salts: int | None = None,
+    part_points: int = PART_POINTS,
 ) -> DataFrame:
     """Pixels whose centre touches some zone, each once.
 
     One semi join per size class; what a class does not match goes on to the next.
     """
-    sizes, salts = _layout(zones, cell, salts)
-    c = _salted_cells(zones, sizes, zone, salts)
+    sizes = _layout(zones, cell)
+    crowds = _crowds(_point_cells(pixels, sizes, range(len(sizes)), x, y), part_points)
+    c = _salted_cells(zone_cells(zones, sizes, zone), crowds)
     kept, rest = [], pixels
     for k in range(len(sizes)):
-        p = _point_cells(rest, sizes, [k], x, y, salts)
+        p = _salted_points(_point_cells(rest, sizes, [k], x, y), crowds)
         kept.append(p.join(c, _match(p, c, x, y), "left_semi").select(*pixels.columns))
         if k + 1 < len(sizes):
             rest = p.join(c, _match(p, c, x, y), "left_anti").select(*pixels.columns)

@@ -85,37 +85,53 @@ def region_year_std(panel: DataFrame, zones: DataFrame, cols: Sequence[str], dat
     return centred.groupBy("year", region).agg(*[std(c) for c in cols])
 
 
-def stability_stats(yearly: DataFrame, col: str, zone: str = "zone_id") -> DataFrame:
-    """How steady a zone's yearly means and deviations are over the years."""
-    return (
-        yearly.groupBy(zone)
-        .agg(
-            F.avg(f"{col}_mean").alias("mean_over_years"),
-            F.stddev_samp(f"{col}_mean").alias("std_over_years"),
-            F.avg(f"{col}_std").alias("mean_std_over_years"),
-            F.stddev_samp(f"{col}_std").alias("std_std_over_years"),
-        )
-        .withColumn("mean_CV", F.try_divide("std_over_years", "mean_over_years"))
-    )
+def _named(col: str | Sequence[str]) -> list[tuple[str, str]]:
+    """Each column and the prefix of its results: none for a single column, its name in a list."""
+    return [(col, "")] if isinstance(col, str) else [(c, f"{c}_") for c in col]
+
 
+def stability_stats(yearly: DataFrame, col: str | Sequence[str], zone: str = "zone_id") -> DataFrame:
+    """How steady a zone's yearly means and deviations are over the years.
+
+    A list of columns is done in one aggregation, its results named ``<column>_<statistic>``.
+    """
+    named = _named(col)
+    aggs = []
+    for c, p in named:
+        aggs += [
+            F.avg(f"{c}_mean").alias(f"{p}mean_over_years"),
+            F.stddev_samp(f"{c}_mean").alias(f"{p}std_over_years"),
+            F.avg(f"{c}_std").alias(f"{p}mean_std_over_years"),
+            F.stddev_samp(f"{c}_std").alias(f"{p}std_std_over_years"),
+        ]
+    ratios = {f"{p}mean_CV": F.try_divide(f"{p}std_over_years", f"{p}mean_over_years") for _, p in named}
+    return yearly.groupBy(zone).agg(*aggs).withColumns(ratios)
 
-def stability_trend(yearly: DataFrame, col: str, strict: bool = False, zone: str = "zone_id") -> DataFrame:
+
+def stability_trend(
+    yearly: DataFrame, col: str | Sequence[str], strict: bool = True, zone: str = "zone_id"
+) -> DataFrame:
     """Slope of a zone's yearly deviation over the years, and its two-sided p-value.
 
-    Years without a deviation are skipped; with ``strict`` one of them makes the
-    zone's result NULL.
+    A year without a deviation makes the zone's result NULL; with ``strict=False`` such
+    years are skipped. A list of columns is done in one aggregation, its results named
+    ``<column>_stability_trend`` and ``<column>_p_value``.
     """
-    y, x = F.col(f"{col}_std"), F.col("year").cast("double")
-    flat = F.regr_syy(y, x) == 0
-    fit = yearly.groupBy(zone).agg(
-        F.regr_slope(y, x).alias("_slope"),
-        F.when(flat, F.lit(0.0)).otherwise(F.regr_r2(y, x)).alias("_r2"),
-        F.regr_count(y, x).alias("_n"),
-        F.bool_or(y.isNull()).alias("_gap"),
-    )
-    usable = ~F.col("_gap") if strict else F.lit(True)
-    return fit.select(
-        zone,
-        F.when(usable, F.col("_slope")).alias("stability_trend"),
-        F.when(usable & F.col("_slope").isNotNull(), slope_p_value(F.col("_r2"), F.col("_n"))).alias("p_value"),
-    )
+    x = F.col("year").cast("double")
+    aggs, results = [], []
+    for c, p in _named(col):
+        y = F.col(f"{c}_std")
+        flat = F.regr_syy(y, x) == 0
+        aggs += [
+            F.regr_slope(y, x).alias(f"_{p}slope"),
+            F.when(flat, F.lit(0.0)).otherwise(F.regr_r2(y, x)).alias(f"_{p}r2"),
+            F.regr_count(y, x).alias(f"_{p}n"),
+            F.bool_or(y.isNull()).alias(f"_{p}gap"),
+        ]
+        usable = ~F.col(f"_{p}gap") if strict else F.lit(True)
+        slope = F.col(f"_{p}slope")
+        results += [
+            F.when(usable, slope).alias(f"{p}stability_trend"),
+            F.when(usable & slope.isNotNull(), slope_p_value(F.col(f"_{p}r2"), F.col(f"_{p}n"))).alias(f"{p}p_value"),
+        ]
+    return yearly.groupBy(zone).agg(*aggs).select(zone, *results)

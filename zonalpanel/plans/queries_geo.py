@@ -37,11 +37,20 @@ def spatial_join_many_zones(t: Inputs):
 
 @query("placed_pixels", """
 SELECT dataset, CAST(image_date AS VARCHAR) AS image_date, x, y, NDVI AS ndvi FROM pixels
-WHERE EXISTS (SELECT 1 FROM zones z WHERE z."Region" = 'ASIA'
-              AND x BETWEEN z.x0 AND z.x0 + 1 AND y BETWEEN z.y0 AND z.y0 + 1)""")
+WHERE EXISTS (SELECT 1 FROM zones z WHERE x BETWEEN z.x0 AND z.x0 + 0.5 AND y BETWEEN z.y0 AND z.y0 + 0.5)""")
 def clip_to_zones(t: Inputs):
-    some = t.zones.where(F.col("Region") == "ASIA")
-    return S.clip_to_zones(t.pixels, some).select(
+    """To the lower left quarters of the zones, so that something is cut off."""
+    corner = F.col("rings")[0][0]
+    halved = F.transform(
+        "rings",
+        lambda ring: F.transform(
+            ring,
+            lambda v: F.struct(
+                (corner["x"] + (v["x"] - corner["x"]) / 2).alias("x"), (corner["y"] + (v["y"] - corner["y"]) / 2).alias("y")
+            ),
+        ),
+    )
+    return S.clip_to_zones(t.pixels, t.zones.withColumn("rings", halved)).select(
         "dataset", text_date("image_date").alias("image_date"), "x", "y", F.col("NDVI").alias("ndvi")
     )
 

@@ -26,11 +26,10 @@ def cases_with_population(t: Inputs):
 @query("zones", f"""
 SELECT z.zone_id, z.zone_name, {rd('coalesce(s.credit, 0)', 2)} AS credit
 FROM zones z LEFT JOIN (SELECT s_nationkey AS zone_id, sum(CAST(s_acctbal AS DECIMAL(18,2))) AS credit
-                        FROM supplier WHERE s_acctbal > 9000 GROUP BY s_nationkey) s
+                        FROM supplier GROUP BY s_nationkey) s
 ON z.zone_id = s.zone_id""")
 def zones_left_join_stat(t: Inputs):
-    rich = t.table("supplier").where("s_acctbal > 9000")
-    stat = rich.groupBy(F.col("s_nationkey").alias("zone_id")).agg(
+    stat = t.table("supplier").groupBy(F.col("s_nationkey").alias("zone_id")).agg(
         F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("credit")
     )
     joined = J.zones_left_join_stat(t.zone_facts.select("zone_id", "zone_name"), stat)
@@ -119,32 +118,26 @@ def year_zone_template(t: Inputs):
     return filled.withColumn("avg_eggs", r(F.col("avg_eggs"), 2))
 
 
-_GAPPY = "SELECT zone_id, date, price_MEAN FROM panel WHERE NOT (zone_id IN (3, 8, 14) AND year(date) >= 1997)"
-
-
-@query("panel", f"""
-WITH gappy AS ({_GAPPY}), donors AS (SELECT * FROM (VALUES (3, 4), (8, 9), (14, 19)) v(missing_id, donor_id)),
+@query("panel zones", f"""
+WITH donors AS (SELECT missing_id, donor_id FROM (
+         SELECT m.zone_id AS missing_id, d.zone_id AS donor_id, row_number() OVER (PARTITION BY m.zone_id ORDER BY
+                (m.x0 - d.x0) * (m.x0 - d.x0) + (m.y0 - d.y0) * (m.y0 - d.y0), d.zone_id) AS place
+         FROM zones m JOIN zones d ON m.zone_id IN (3, 8, 14) AND d.zone_id NOT IN (3, 8, 14)) WHERE place = 1),
      added AS (SELECT d.missing_id AS zone_id, g.date, g.price_MEAN
-               FROM donors d JOIN gappy g ON g.zone_id = d.donor_id
-               WHERE NOT EXISTS (SELECT 1 FROM gappy h WHERE h.zone_id = d.missing_id AND h.date = g.date))
+               FROM donors d JOIN panel g ON g.zone_id = d.donor_id
+               WHERE NOT EXISTS (SELECT 1 FROM panel h WHERE h.zone_id = d.missing_id AND h.date = g.date))
 SELECT zone_id, CAST(date AS VARCHAR) AS date, {rd('price_MEAN')} AS price_MEAN
-FROM (SELECT * FROM gappy UNION ALL SELECT * FROM added)""")
+FROM (SELECT zone_id, date, price_MEAN FROM panel UNION ALL SELECT * FROM added)""")
 def impute_from_donor(t: Inputs):
-    gappy = t.panel.where(~(F.col("zone_id").isin(3, 8, 14) & (F.year("date") >= 1997))).select(
-        "zone_id", "date", "price_MEAN"
-    )
-    pairs = F.array(
-        *[F.struct(F.lit(m).alias("missing_id"), F.lit(d).alias("donor_id")) for m, d in ((3, 4), (8, 9), (14, 19))]
-    )
-    donors = t.spark.range(1).select(F.inline(pairs))
-    filled = J.impute_from_donor(gappy, donors)
+    """Days that three zones lack, from the zones nearest to them."""
+    donors = S.nearest_donor_zone(S.polygon_centroid(t.zones), [3, 8, 14])
+    filled = J.impute_from_donor(t.panel.select("zone_id", "date", "price_MEAN"), donors)
     return filled.select("zone_id", text_date("date").alias("date"), r(F.col("price_MEAN")).alias("price_MEAN"))
 
 
 _WEEKS = """
 SELECT coalesce(c.year, e.year) AS year, coalesce(c.week, e.week) AS week, c.cases, e.avg_eggs
-FROM (SELECT year(onset) AS year, weekofyear(onset) AS week, count(*) AS cases FROM cases
-      WHERE month(onset) > 2 GROUP BY ALL) c
+FROM (SELECT year(onset) AS year, weekofyear(onset) AS week, count(*) AS cases FROM cases GROUP BY ALL) c
 FULL OUTER JOIN (SELECT year(start_time) AS year, weekofyear(start_time) AS week, sum(avg_eggs) AS avg_eggs
                  FROM traps GROUP BY ALL) e ON c.year = e.year AND c.week = e.week"""
 
@@ -152,7 +145,7 @@ FULL OUTER JOIN (SELECT year(start_time) AS year, weekofyear(start_time) AS week
 def _aligned(t: Inputs):
     from ..operators.columns import calendar_parts
 
-    weeks = K.weekly_counts(t.cases.drop("year").where(F.month("onset") > 2), "onset")
+    weeks = K.weekly_counts(t.cases.drop("year"), "onset")
     eggs = K.weekly_sum(calendar_parts(t.traps, "start_time"), "avg_eggs")
     return J.align_weekly_series(weeks, eggs)
 
@@ -174,12 +167,11 @@ def weeks_from_first_case(t: Inputs):
 
 @query("customer_counts", """
 SELECT a.zone_id, a.deaths % 3 AS a_code, b.infections % 4 AS b_code
-FROM (SELECT * FROM customer_counts WHERE deaths > 0) a
-JOIN (SELECT * FROM customer_counts WHERE infections >= 8) b ON a.zone_id = b.zone_id""")
+FROM customer_counts a JOIN customer_counts b ON a.zone_id = b.zone_id""")
 def join_classes_on_zone(t: Inputs):
     base = t.customer_counts
-    a = base.where("deaths > 0").select("zone_id", (F.col("deaths") % 3).alias("a_code"))
-    b = base.where("infections >= 8").select("zone_id", (F.col("infections") % 4).alias("b_code"))
+    a = base.select("zone_id", (F.col("deaths") % 3).alias("a_code"))
+    b = base.select("zone_id", (F.col("infections") % 4).alias("b_code"))
     return J.join_classes_on_zone(a, b)
 
 
@@ -229,16 +221,16 @@ def distinct_values(t: Inputs):
 
 @query("", """
 SELECT DISTINCT c_custkey AS zone_id FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1999)""")
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def missing_zone_ids(t: Inputs):
     every = t.table("customer").select(F.col("c_custkey").alias("zone_id"))
-    seen = t.table("orders").where(F.year("o_orderdate") == 1999).select(F.col("o_custkey").alias("zone_id"))
+    seen = t.table("orders").select(F.col("o_custkey").alias("zone_id"))
     return R.missing_zone_ids(every, seen)
 
 
 def _wide_zonal(t: Inputs):
     """Daily sums per customer in the wide export layout, both date spellings."""
-    months = [(y, m) for y in (1996, 1997) for m in MONTHS]
+    months = [(y, m) for y in range(1995, 2002) for m in MONTHS]
     year, month = F.year("o_orderdate"), F.month("o_orderdate")
     aggs = []
     for y, m in months:
@@ -252,7 +244,7 @@ def _wide_zonal(t: Inputs):
 
 @query("", """
 WITH zone_list AS (SELECT DISTINCT o_custkey AS zone_id FROM orders),
-     months AS (SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-01', INTERVAL 1 MONTH)) AS d)),
+     months AS (SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS d)),
      sums AS (SELECT o_custkey AS zone_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS d,
                      max(o_totalprice) AS hi, min(o_totalprice) AS lo FROM orders GROUP BY ALL)
 SELECT strftime(m.d, '%Y/%m/%d') AS "Date", strftime(m.d, '%j') AS "Doy", s.hi AS "NDVI", s.lo AS "EVI", z.zone_id
@@ -321,9 +313,6 @@ def every_nth(t: Inputs):
     return O.every_nth(rows, ["l_quantity", "l_orderkey"], 5)
 
 
-_CENTRES = "SELECT zone_id, x0 + 0.5 AS cx, y0 + 0.5 AS cy FROM zones"
-
-
 @query("points", f"""
 WITH gap AS (SELECT * FROM points WHERE value < 0), known AS (SELECT * FROM points WHERE value >= 0)
 SELECT missing_id, donor_id, {rd('d')} AS distance FROM (

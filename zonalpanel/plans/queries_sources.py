@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters as L
 from ..session import scratch_dir
 from ..sources import pixels as PX
 from ..sources import sinks as W
@@ -28,7 +27,8 @@ def read_table_dir(t: Inputs):
     rows = t.panel.select("zone_id", text_date("date").alias("date"), value.alias("price_MEAN"))
     early = F.year(F.to_date("date")) <= 1997
     W.write_panel(rows.where(early), f"{root}/ERA_1995_1997.csv")
-    W.write_panel(rows.where(~early), f"{root}/ERA_1998_2001.csv")
+    late = rows.where(~early).withColumn("extra", F.lit("x"))
+    W.write_panel(late.select("extra", "price_MEAN", "date", "zone_id"), f"{root}/ERA_1998_2001.csv")
     back = T.read_table_dir(t.spark, root, "zone_id int, date string, price_MEAN double")
     return back.select("source_name", "zone_id", "date", r(F.col("price_MEAN"), 4).alias("price_MEAN"))
 
@@ -38,7 +38,6 @@ SELECT CAST(year AS INTEGER) AS year, '東區-' || zone_id AS zone_id, p_cnt, CA
 FROM population""")
 def read_population_by_year(t: Inputs):
     root = scratch_dir(t.spark, "population")
-    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for i, year in enumerate(POPULATION_YEARS):
         rows = t.population.where(F.col("year") == year).select(
             F.concat(F.lit("東區-"), F.col("zone_id").cast("string")).alias("CODEBASE"),
@@ -55,8 +54,10 @@ FROM cases""")
 def read_cases(t: Inputs):
     root = scratch_dir(t.spark, "cases")
     onset = F.when(F.col("case_id") % 50 == 0, "unknown").otherwise(F.date_format("onset", "yyyy/M/d"))
-    W.write_panel(t.cases.select(onset.alias("onset"), "imported", "county", "town", "zone_id"), root)
-    return T.read_cases(t.spark, root).withColumn("onset", text_date("onset"))
+    rows = t.cases.select("case_id", "zone_id", "town", "county", F.col("imported").alias("是否境外移入"), onset.alias("發病日"))
+    W.write_panel(rows, root)
+    names = {"發病日": "onset", "是否境外移入": "imported", "county": "county", "town": "town", "zone_id": "zone_id"}
+    return T.read_cases(t.spark, root, names).withColumn("onset", text_date("onset"))
 
 
 @query("", """
@@ -66,11 +67,12 @@ FROM lineitem""")
 def read_traps(t: Inputs):
     root = scratch_dir(t.spark, "traps")
     rows = t.table("lineitem").select(
-        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("start_time"),
-        F.col("l_partkey").cast("double").alias("x"),
-        F.col("l_suppkey").cast("double").alias("y"),
-        F.col("l_returnflag").alias("district"),
-        F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("avg_eggs"),
+        F.col("l_linestatus").alias("Status"),
+        F.col("l_suppkey").cast("double").alias("Y"),
+        F.col("l_partkey").cast("double").alias("X"),
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("StartTime"),
+        F.col("l_returnflag").alias("District"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("AvgEggs"),
     )
     W.write_panel(rows, root)
     back = T.read_traps(t.spark, root)
@@ -101,12 +103,6 @@ SELECT zone_id, zone_name, "Region", CAST(i AS INTEGER) AS seq,
 FROM zones, (SELECT unnest([0, 1, 2, 3, 4]) AS i)"""
 
 
-def _vertices(t: Inputs):
-    return t.zones.select(
-        "zone_id", "zone_name", "Region", F.posexplode(F.col("rings")[0]).alias("seq", "v")
-    ).select("zone_id", "zone_name", "Region", "seq", F.col("v.x").alias("x"), F.col("v.y").alias("y"))
-
-
 def _ring_rows(zones):
     return zones.select(
         "zone_id", "zone_name", "Region", F.posexplode(F.col("rings")[0]).alias("seq", "v")
@@ -116,7 +112,7 @@ def _ring_rows(zones):
 @query("zones", _RING)
 def read_zones(t: Inputs):
     root = scratch_dir(t.spark, "vertices")
-    rows = _vertices(t).withColumns({"part": F.lit(0), "ring": F.lit(0)})
+    rows = _ring_rows(t.zones).withColumns({"part": F.lit(0), "ring": F.lit(0)})
     W.write_panel(rows, root, fmt="parquet")
     back = Z.read_zones(t.spark, root, "zone_id int, zone_name string, Region string", form="vertices")
     return _ring_rows(back)
@@ -154,9 +150,9 @@ def first_image(t: Inputs):
 
 @query("panel", f"""
 SELECT zone_id, CAST(date AS VARCHAR) AS date, CAST(year(date) AS INTEGER) AS year, {rd('price_MEAN', 4)} AS price_MEAN
-FROM panel WHERE year(date) >= 1997""")
+FROM panel""")
 def write_panel(t: Inputs):
     root = scratch_dir(t.spark, "panel")
     W.write_panel(t.panel.withColumn("year", F.year("date")), root, fmt="parquet", partition_by=["year"])
-    back = L.year_window(t.spark.read.parquet(root), 1997)
+    back = t.spark.read.parquet(root)
     return back.select("zone_id", text_date("date").alias("date"), "year", r(F.col("price_MEAN"), 4).alias("price_MEAN"))

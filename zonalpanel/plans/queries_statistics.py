@@ -29,9 +29,9 @@ def count_cases(t: Inputs):
 
 @query("", """
 SELECT CAST(year(ts) AS INTEGER) AS year, CAST(weekofyear(ts) AS INTEGER) AS week, count(*) AS cases
-FROM events WHERE event_type = 'error' GROUP BY ALL""")
+FROM events GROUP BY ALL""")
 def weekly_counts(t: Inputs):
-    return K.weekly_counts(t.table("events").where("event_type = 'error'"), "ts")
+    return K.weekly_counts(t.table("events"), "ts")
 
 
 @query("traps", """
@@ -207,16 +207,30 @@ _P_VALUE = """CASE WHEN n < 2 OR slope IS NULL THEN NULL
      WHEN n = 7 THEN 1 - 2 / pi() * (asin(s) + s * c * (1 + 2.0 / 3 * c * c)) END"""
 
 
-@query("panel", f"""
-SELECT zone_id, {rd('slope', 6)} AS stability_trend, {rd(_P_VALUE, 8)} AS p_value
-FROM (SELECT *, sqrt(r2) AS s, sqrt(1 - r2) AS c FROM (
-    SELECT zone_id, regr_slope(price_MEAN_std, CAST(year AS DOUBLE)) AS slope,
+_FIT = f"""
+SELECT *, sqrt(r2) AS s, sqrt(1 - r2) AS c FROM (
+    SELECT zone_id, bool_or(price_MEAN_std IS NULL) AS gap, regr_slope(price_MEAN_std, CAST(year AS DOUBLE)) AS slope,
            regr_count(price_MEAN_std, CAST(year AS DOUBLE)) AS n,
            CASE WHEN regr_syy(price_MEAN_std, CAST(year AS DOUBLE)) = 0 THEN 0
                 ELSE least(regr_r2(price_MEAN_std, CAST(year AS DOUBLE)), 1) END AS r2
-    FROM ({_YEARLY_SQL}) GROUP BY zone_id))""")
+    FROM ({_YEARLY_SQL}) GROUP BY zone_id)"""
+
+
+@query("panel", f"""
+SELECT zone_id, {rd('CASE WHEN NOT gap THEN slope END', 6)} AS stability_trend,
+       {rd('CASE WHEN NOT gap THEN ' + _P_VALUE + ' END', 8)} AS p_value FROM ({_FIT})""")
 def stability_trend(t: Inputs):
-    trend = Y.stability_trend(_yearly(t), "price_MEAN")
+    return _trend(t, strict=True)
+
+
+@query("panel", f"""
+SELECT zone_id, {rd('slope', 6)} AS stability_trend, {rd(_P_VALUE, 8)} AS p_value FROM ({_FIT})""")
+def stability_trend_lenient(t: Inputs):
+    return _trend(t, strict=False)
+
+
+def _trend(t: Inputs, strict: bool):
+    trend = Y.stability_trend(_yearly(t), "price_MEAN", strict)
     return trend.select(
         "zone_id", r(F.col("stability_trend"), 6).alias("stability_trend"), r(F.col("p_value"), 8).alias("p_value")
     )

@@ -41,7 +41,8 @@ def zonal_extraction(
 def climate_panel(parts: Sequence[DataFrame], zones: DataFrame, lacking: Sequence[int]) -> DataFrame:
     """Period files to one panel, zones without data filled from the nearest zone."""
     panel = written(R.union_panels(*parts), "panel")
-    donors = written(S.nearest_donor_zone(S.polygon_centroid(zones), lacking), "donors")
+    metres = S.reproject_layer(zones, 4326, 3857)
+    donors = written(S.nearest_donor_zone(S.polygon_centroid(metres), lacking), "donors")
     return J.impute_from_donor(panel, donors)
 
 
@@ -84,17 +85,19 @@ def study_zonal_extraction(t: Inputs):
     return panel.withColumns({"NDVI_MEAN": r(F.col("NDVI_MEAN"), 9), "EVI_MEAN": r(F.col("EVI_MEAN"), 11)})
 
 
-_FILLED = """
-WITH gappy AS (SELECT zone_id, date, price_MEAN FROM panel WHERE NOT (zone_id IN (3, 14) AND year(date) >= 1999)),
+# Northing of a zone's middle in units of one degree at the equator.
+_NORTH = "(ln(tan(pi() / 4 + radians({0}.y0) / 2)) + ln(tan(pi() / 4 + radians({0}.y0 + 1) / 2))) / 2 * 180 / pi()"
+_FILLED = f"""
+WITH gappy AS (SELECT zone_id, date, price_MEAN FROM panel),
      donors AS (SELECT missing_id, donor_id FROM (
          SELECT m.zone_id AS missing_id, d.zone_id AS donor_id, row_number() OVER (PARTITION BY m.zone_id ORDER BY
-                (m.x0 - d.x0) * (m.x0 - d.x0) + (m.y0 - d.y0) * (m.y0 - d.y0), d.zone_id) AS place
-         FROM zones m JOIN zones d ON m.zone_id IN (3, 14) AND d.zone_id NOT IN (3, 14)) WHERE place = 1),
+                pow(m.x0 - d.x0, 2) + pow({_NORTH.format('m')} - {_NORTH.format('d')}, 2), d.zone_id) AS place
+         FROM zones m JOIN zones d ON m.zone_id IN (0, 24) AND d.zone_id NOT IN (0, 24)) WHERE place = 1),
      filled AS (SELECT * FROM gappy UNION ALL
                 SELECT d.missing_id, g.date, g.price_MEAN FROM donors d JOIN gappy g ON g.zone_id = d.donor_id
                 WHERE NOT EXISTS (SELECT 1 FROM gappy h WHERE h.zone_id = d.missing_id AND h.date = g.date)),
      yearly AS (SELECT year(date) AS year, zone_id, stddev_samp(price_MEAN) AS price_MEAN_std FROM filled GROUP BY 1, 2),
-     fit AS (SELECT zone_id, regr_slope(price_MEAN_std, CAST(year AS DOUBLE)) AS slope,
+     fit AS (SELECT zone_id, bool_or(price_MEAN_std IS NULL) AS gap, regr_slope(price_MEAN_std, CAST(year AS DOUBLE)) AS slope,
                     regr_count(price_MEAN_std, CAST(year AS DOUBLE)) AS n,
                     CASE WHEN regr_syy(price_MEAN_std, CAST(year AS DOUBLE)) = 0 THEN 0
                          ELSE least(regr_r2(price_MEAN_std, CAST(year AS DOUBLE)), 1) END AS r2
@@ -103,16 +106,15 @@ WITH gappy AS (SELECT zone_id, date, price_MEAN FROM panel WHERE NOT (zone_id IN
 
 
 def _filled_panel(t: Inputs) -> DataFrame:
-    kept = t.panel.select("zone_id", "date", "price_MEAN").where(
-        ~(F.col("zone_id").isin(3, 14) & (F.year("date") >= 1999))
-    )
+    kept = t.panel.select("zone_id", "date", "price_MEAN")
     early = L.drop_missing(kept, ["date"]).where(F.year("date") <= 1997)
     late = kept.where(F.year("date") > 1997)
-    return climate_panel([early, late], t.zones, [3, 14])
+    return climate_panel([early, late], t.zones, [0, 24])
 
 
 @query("panel zones", f"""{_FILLED}
-SELECT f.zone_id, z.zone_name, z."Region", {rd('slope', 6)} AS stability_trend, {rd(_P_VALUE, 8)} AS p_value
+SELECT f.zone_id, z.zone_name, z."Region", {rd('CASE WHEN NOT gap THEN slope END', 6)} AS stability_trend,
+       {rd('CASE WHEN NOT gap THEN ' + _P_VALUE + ' END', 8)} AS p_value
 FROM (SELECT *, sqrt(r2) AS s, sqrt(1 - r2) AS c FROM fit) f JOIN zones z ON f.zone_id = z.zone_id""")
 def study_climate_trend(t: Inputs):
     yearly = Y.yearly_zone_stats(_filled_panel(t), ["price_MEAN"])

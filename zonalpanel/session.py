@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # population files in big5
+    "spark.sql.legacy.javaCharsets": "true",
 }
 
 
@@ -45,25 +48,52 @@ def build_session(
     return builder.getOrCreate()
 
 
+# Scratch paths of each application that have not been released.
+_WRITTEN: dict[str, list[str]] = defaultdict(list)
+
+
+def _is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for intermediate tables, under the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` names that folder; a local temporary folder is used
-    only where the setting is missing, as in tests.
+    ``spark.checkpoint.dir`` names that folder, else the context's checkpoint directory. Where
+    neither is set a local temporary folder is used if all runs in one process, as in tests;
+    on a cluster that would scatter the tables over machines, so it raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="zonalpanel-")
-    return f"{base.rstrip('/')}/zonalpanel/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/zonalpanel/{label}-{uuid.uuid4().hex}"
+    _WRITTEN[spark.sparkContext.applicationId].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of ``df`` as a table in the scratch folder, so they are computed once.
 
     For a result that several branches of a plan read. The table has a short lineage and
-    survives lost executors; the cluster's cleaning of its shared folder removes it.
+    survives lost executors; ``release`` removes it.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the scratch tables that this application has written so far; returns how many.
+
+    To be called once the results that read them have been used.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,113 +21,141 @@ SHEET_NAMES = {
     29: "Incidence_Rate",
     31: "Population",
 }
-FIRST_SHEET_YEAR = 2010
 MAX_SHEETS = 14
 
 POPULATION_COLUMNS = ("CODEBASE", "P_CNT", "M_CNT", "F_CNT")
 ROC_OFFSET = 1911
 
+CASE_COLUMNS = {
+    "onset": "onset", "imported": "imported", "county": "county", "town": "town", "zone_id": "zone_id",
+}
+TRAP_COLUMNS = {
+    "StartTime": "start_time", "X": "x", "Y": "y", "District": "district", "AvgEggs": "avg_eggs",
+}
+
+# A file that Spark wrote as part of a table; the table's name is that of its folder.
+_PART_FILE = r"^part-\d{5}-[0-9a-f]{8}-"
+
 
 def _file_name() -> Column:
     """Name of the row's file, or of its folder where Spark wrote the file as one."""
-    path = F.split(F.url_decode(F.col("_metadata.file_path")), "/")
+    plain = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    path = F.split(plain, "/")
     last = F.element_at(path, -1)
-    return F.when(last.startswith("part-"), F.element_at(path, -2)).otherwise(last)
+    return F.when(last.rlike(_PART_FILE), F.element_at(path, -2)).otherwise(last)
 
 
-def read_table_dir(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """All CSV files of a directory, each row tagged with its lower-cased file stem."""
-    files = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
+def _same_headers(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
+    """CSV files below ``path`` in groups of one encoding and header: (encoding, header, paths).
+
+    A file is big5 where some line is not valid UTF-8. One scan looks at all files; only their
+    names and headers reach the driver, which lists them for the scans anyway.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", True)
-        .csv(path)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("value"),
+            F.is_valid_utf8("value").alias("ok"),
+            F.monotonically_increasing_id().alias("place"),
+        )
     )
-    stem = F.lower(F.split(_file_name(), r"\.")[0])
-    return nan_to_null(files.select("*", stem.alias("source_name")))
+    files = lines.groupBy("path").agg(F.bool_and("ok").alias("ok"), F.min_by("value", "place").alias("header"))
+    groups = files.groupBy("ok", F.hex("header").alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [
+        ("utf-8" if g["ok"] else "big5", g["header"], g["paths"])
+        for g in groups.orderBy(F.desc("ok"), "header").collect()
+    ]
 
 
-def _typed_scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
+def _scans(spark: SparkSession, path: str) -> list[DataFrame]:
+    """One scan for each encoding and header below ``path``, all columns as text under their own names."""
+    found = _same_headers(spark, path)
+    if not found:
+        raise ValueError(f"no CSV files below {path}")
+    return [spark.read.option("header", True).option("encoding", e).csv(paths) for e, _, paths in found]
 
 
-def read_cases(
-    spark: SparkSession,
-    path: str,
-    names: Sequence[str] = ("onset", "imported", "county", "town", "zone_id"),
-) -> DataFrame:
-    """Case line-list; the onset is text like 2023/7/1, unreadable dates give NULL.
+def read_table_dir(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All CSV files below a directory, each row tagged with its lower-cased file stem.
 
-    ``names`` maps the file's columns, in file order, to the library's.
+    Columns are found by name. Files may have different columns: those of ``schema`` that a
+    file lacks are NULL in its rows, and columns not in ``schema`` are left out.
     """
-    cases = _typed_scan(spark, path, ", ".join(f"`{n}` string" for n in names))
-    return cases.withColumn(names[0], F.try_to_date(names[0], "yyyy/M/d"))
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    stem = F.lower(F.split(_file_name(), r"\.")[0]).alias("source_name")
+    parts = []
+    for rows in _scans(spark, path):
+        typed = [
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in fields
+        ]
+        parts.append(rows.select(*typed, stem))
+    return nan_to_null(reduce(DataFrame.unionByName, parts))
 
 
-def read_traps(spark: SparkSession, path: str) -> DataFrame:
-    """Trap observations: ``start_time, x, y, district, avg_eggs``."""
-    traps = _typed_scan(
-        spark, path, "start_time string, x double, y double, district string, avg_eggs double"
-    )
-    return traps.withColumn("start_time", F.try_to_timestamp("start_time"))
+def _by_name(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFrame:
+    """Columns of CSV files under the library's names, in any order and beside any others."""
+    parts = []
+    for rows in _scans(spark, path):
+        absent = [n for n in names if n not in rows.columns]
+        if absent:
+            raise ValueError(f"{path} has no columns {absent}, but {rows.columns}")
+        parts.append(rows.select(*[F.col(f"`{n}`").alias(ours) for n, ours in names.items()]))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _encoding_of_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """File paths by encoding: big5 where some line is not valid UTF-8.
+def read_cases(spark: SparkSession, path: str, names: Mapping[str, str] = CASE_COLUMNS) -> DataFrame:
+    """Case line-list; the onset is text like 2023/7/1, unreadable dates give NULL.
 
-    Only file names reach the driver, which lists them for the scan anyway.
+    ``names`` maps the file's columns to the library's; the first is the onset. Columns are
+    found by name, and one that is absent raises.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
+    cases = _by_name(spark, path, names)
+    onset = next(iter(names.values()))
+    return cases.withColumn(onset, F.try_to_date(onset, "yyyy/M/d"))
+
+
+def read_traps(spark: SparkSession, path: str, names: Mapping[str, str] = TRAP_COLUMNS) -> DataFrame:
+    """Trap observations: ``start_time, x, y, district, avg_eggs``, found by the file's names for them."""
+    traps = _by_name(spark, path, names).withColumns(
+        {
+            "start_time": F.try_to_timestamp("start_time"),
+            **{c: F.col(c).try_cast("double") for c in ("x", "y", "avg_eggs")},
+        }
     )
-    found = lines.groupBy("path").agg(F.bool_and("ok").alias("ok")).orderBy("path").collect()
-    by: dict[str, list[str]] = {}
-    for row in found:
-        by.setdefault("utf-8" if row["ok"] else "big5", []).append(row["path"])
-    return by
+    return nan_to_null(traps)
 
 
-def read_population_by_year(
-    spark: SparkSession, root: str, files: Mapping[str, Sequence[str]] | None = None
-) -> DataFrame:
+def read_population_by_year(spark: SparkSession, root: str) -> DataFrame:
     """Populations of all CSV files below ``root``: ``year, zone_id, p_cnt, m_cnt, f_cnt``.
 
-    The digits before 年 in the file name plus 1911 give the year. ``files`` (encoding to
-    paths) skips the look at the bytes that tells UTF-8 from big5. Counts stay text.
+    The digits before 年 in the file name plus 1911 give the year. There is one scan for each
+    encoding (UTF-8 or big5) and header, however many files there are. Counts stay text. Files
+    in big5 need the session setting ``spark.sql.legacy.javaCharsets`` (``session.prepare``).
     """
-    by_encoding = files if files is not None else _encoding_of_files(spark, root)
-    if any(e.lower() == "big5" for e in by_encoding):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     digits = F.regexp_replace(F.split(_file_name(), "年")[0], r"\D", "")
-    parts = []
-    for encoding, paths in by_encoding.items():
-        for path in paths:
-            rows = spark.read.option("header", True).option("encoding", encoding).csv(path)
-            parts.append(
-                rows.select(
-                    (digits.cast("int") + ROC_OFFSET).alias("year"),
-                    F.col(POPULATION_COLUMNS[0]).alias("zone_id"),
-                    *[F.col(c).alias(c.lower()) for c in POPULATION_COLUMNS[1:]],
-                )
-            )
-    if not parts:
-        raise ValueError(f"no CSV files below {root}")
+    parts = [
+        rows.select(
+            (digits.cast("int") + ROC_OFFSET).alias("year"),
+            F.col(POPULATION_COLUMNS[0]).alias("zone_id"),
+            *[F.col(c).alias(c.lower()) for c in POPULATION_COLUMNS[1:]],
+        )
+        for rows in _scans(spark, root)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_yearly_sheets(spark: SparkSession, paths: Mapping[int, str]) -> DataFrame:
+def read_yearly_sheets(spark: SparkSession, paths: Mapping[int, str], most: int = MAX_SHEETS) -> DataFrame:
     """One exported sheet per year, columns named by position, in one table with ``year``.
 
     Each export starts with a ``row_no`` column (1 for the first data row), so that the
     heading row is left out by a filter and not by file order.
     """
-    if len(paths) > MAX_SHEETS:
-        raise ValueError(f"more than {MAX_SHEETS} sheets cannot be mapped to years")
+    if len(paths) > most:
+        raise ValueError(f"more than {most} sheets cannot be mapped to years")
     parts = []
     for year in sorted(paths):
         sheet = spark.read.option("header", True).csv(paths[year])

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import oriented_sql, signed_area2_sql
 
@@ -36,19 +37,18 @@ def read_zones(
     ``zone`` among them) as properties; 'vertices' reads a parquet table of vertex rows
     beside which the attributes stand on every row.
     """
+    fields = T.StructType.fromDDL(attributes).fields
     if form == "vertices":
         rows = spark.read.parquet(path)
-        names = [f.split()[0].strip("`") for f in attributes.split(",")]
-        extra = [n for n in names if n != zone]
+        extra = [f.name for f in fields if f.name != zone]
         rings = zones_from_vertices(rows, zone)
         if not extra:
             return rings
-        facts = rows.groupBy(zone).agg(*[F.first(n, ignorenulls=True).alias(n) for n in extra])
+        # the attributes of one row, where the rows of a zone differ: the largest set of them
+        facts = rows.groupBy(zone).agg(F.max(F.struct(*extra)).alias("_facts")).select(zone, "_facts.*")
         return facts.join(rings, zone)
-    schema = (
-        f"type string, properties struct<{', '.join(_colon(f) for f in attributes.split(','))}>, "
-        f"geometry struct<type:string, coordinates:string>"
-    )
+    geometry = T.StructType().add("type", "string").add("coordinates", "string")
+    schema = T.StructType().add("type", "string").add("properties", T.StructType(fields)).add("geometry", geometry)
     features = spark.read.text(path).select(F.from_json("value", schema).alias("f"))
     text = F.col("f.geometry.coordinates")
     parts = F.when(
@@ -67,11 +67,6 @@ def read_zones(
     )
 
 
-def _colon(field: str) -> str:
-    name, kind = field.strip().rsplit(" ", 1)
-    return f"{name}:{kind}"
-
-
 def write_zone_layer(
     zones: DataFrame, path: str, attributes: Sequence[str] | None = None
 ) -> None:
