@@ -82,15 +82,50 @@ def test_frequencies_count_all_documents(documents, corpus):
     assert abs(idf[bucket] - np.log2(1 + len(corpus) / holders)) < 0.2
 
 
-def test_buckets_with_several_components(spark):
-    """Likely pairs are found across blocks of a bucket, and only between components."""
-    n = 600
-    samples = [[i % 7] * 24 + [99] * 24 for i in range(n)]
-    classes = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "class_id long, samples array<int>")
-    members = spark.createDataFrame([(5, i, 0) for i in range(n)], "bucket long, class_id long, leader long")
-    labels = spark.createDataFrame([(i, i % 3) for i in range(n)], "node long, component long")
-    got = {(r.u, r.v) for r in near_dedup._rest(members, labels, classes).collect()}
-    assert got == {(a, b) for a in range(n) for b in range(a) if a % 3 != b % 3}
+def _similar_texts(n):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 400, 120)]
+    texts = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 8))):
+            own[at] = rng.choice(["x", f"own{i}", base[0]])
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_blocks_give_the_similarity_of_every_pair():
+    idf = np.linspace(1, 12, near_dedup.WORD_BUCKETS).astype(np.float32)
+    texts = _similar_texts(30) + ["w1 w2", "a a a a a a a a a", "other words only in this text here"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(33)), pa.array(texts)], names=["class_id", "text"])
+    members = [m | {"component": 0} for b in near_dedup._featured([batch], idf) for m in b.to_pylist()]
+    x, y = near_dedup._Block(members[:20]), near_dedup._Block(members[10:])
+    shared = near_dedup._shared_weight(x, y)
+    for i in range(20):
+        for j in range(23):
+            total = x.total[i] + y.total[j] - shared[i, j]
+            assert abs(shared[i, j] / total - near_dedup.similarity(texts[i], texts[10 + j], idf)) < 1e-9
+
+
+def test_buckets_with_several_components(spark, monkeypatch):
+    """Links across blocks of a bucket join the components that they should."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
+    texts = _similar_texts(60)
+    idf = np.full(near_dedup.WORD_BUCKETS, 4, np.float32)
+    table = spark.createDataFrame(list(enumerate(texts)), "class_id long, text string")
+    members = spark.createDataFrame([(5, i, 0) for i in range(60)], "bucket long, class_id long, leader long")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "node long, component long")
+    links = near_dedup._rest(members, labels, table, idf, 0.8)
+    got = links.unionByName(spark.createDataFrame([(i, 0) for i in range(1, 20)], "u long, v long"))
+    found = {r.node: r.component for r in components(got).collect()}
+    expected = {i: 0 if i < 20 else i for i in range(60)}
+    near = [(a, b) for a in range(60) for b in range(a) if near_dedup.similarity(texts[a], texts[b], idf) >= 0.8]
+    for _ in range(60):
+        for a, b in near:
+            low, high = sorted((expected[a], expected[b]))
+            expected = {i: low if c == high else c for i, c in expected.items()}
+    assert len(set(expected.values())) > 1
+    assert {i: found.get(i, i) for i in range(60)} == expected
 
 
 def test_components_of_chains_and_stars(spark):

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
 
 
+def stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a link matrix, the smallest row of their component (all have links)."""
+    rows = np.arange(linked.shape[0])
+    while True:
+        columns = np.where(linked, rows[:, None], linked.shape[0]).min(axis=0)
+        lower = np.where(linked, columns[None, :], linked.shape[0]).min(axis=1)
+        if (lower == rows).all():
+            return rows, columns
+        rows = lower
+
+
 def _minima(edges: DataFrame) -> DataFrame:
     return settled(edges.groupBy("u").agg(F.min("v").alias("low")), "star-minima")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import settled
-from .components import components
+from .components import components, stars
 
 THRESHOLD = 0.95
 DIRECTIONS = 6
@@ -189,17 +189,6 @@ def _block_pairs(boxes: DataFrame, eps: float, fanout: int, count: int) -> DataF
     return pairs
 
 
-def _stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows and columns of a link matrix, the smallest row of their component (all have links)."""
-    rows = np.arange(linked.shape[0])
-    while True:
-        columns = np.where(linked, rows[:, None], linked.shape[0]).min(axis=0)
-        lower = np.where(linked, columns[None, :], linked.shape[0]).min(axis=1)
-        if (lower == rows).all():
-            return rows, columns
-        rows = lower
-
-
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) -> Iterator[pa.RecordBatch]:
     """Weighted link counts and star edges of each pair of blocks."""
     for batch in batches:
@@ -224,7 +213,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) ->
                 continue
             i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
             part = linked[np.ix_(i, j)]
-            rows, columns = _stars(part)
+            rows, columns = stars(part)
             roots = ids[0][i]
             found = [(ids[0][i], part @ copies[1][j], roots[rows])]
             if not same:

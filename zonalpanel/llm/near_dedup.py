@@ -9,8 +9,8 @@ threshold.
 
 Documents with the same words are one class before anything is compared. In a bucket every
 class is verified against the smallest one; only where that leaves a bucket with several
-components are the classes of different components compared, as blocks of samples in numpy,
-and the likely pairs verified. No bucket is capped and no pair list of a bucket is made.
+components are all its classes compared, as products of shingle matrices of two blocks, which
+give star links. No bucket is capped and no list of a bucket's pairs is made.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, settled
-from .components import components
-from .words import MULTIPLIER, Words, mixed, run_hashes, slices
+from .components import components, stars
+from .words import MULTIPLIER, Words, gathered, mixed, run_hashes, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -33,12 +33,12 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
 WORD_BUCKETS = 1 << 16
-#: Share of equal samples below which a pair isn't verified: at 0.8 fewer occur once in ten million pairs.
-LIKELY = 0.5
-BLOCK = 256
+#: Shingles of a block of classes that is compared with others of its bucket.
+BLOCK_SHINGLES = 100_000
 
 _SLOT_BITS = 12
 _LEVELS = 32
+_COLUMNS = 4096
 _SIGNATURES = "row_a long, row_b long, doc_id long, words_a long, words_b long, samples array<int>"
 
 
@@ -205,39 +205,116 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
     return settled(both.mapInArrow(partial(_verify, idf=idf, threshold=threshold), "u long, v long"), label)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in two blocks of a bucket that share enough samples."""
+def _featured(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Shingles (64-bit) and weight levels (8-bit) of each class, as bytes, and how many there are."""
     for batch in batches:
-        for row in batch.to_pylist():
-            x, y = row["x"], row["y"]
-            ids = [np.array([m["class_id"] for m in side], np.int64) for side in (x, y)]
-            label = [np.array([m["component"] for m in side], np.int64) for side in (x, y)]
-            samples = [np.array([m["samples"] for m in side], np.int32) for side in (x, y)]
-            equal = np.zeros((len(x), len(y)), np.int16)
-            for k in range(SAMPLES):
-                equal += samples[0][:, k, None] == samples[1][None, :, k]
-            i, j = np.nonzero((equal >= LIKELY * SAMPLES) & (label[0][:, None] != label[1][None, :]))
-            u, v = np.maximum(ids[0][i], ids[1][j]), np.minimum(ids[0][i], ids[1][j])
+        for rows in slices(batch):
+            words = Words(rows.column("text"), lower=True)
+            text, shingle, level = _features(words, words.hashes(), idf)
+            ends = np.searchsorted(text, np.arange(rows.num_rows + 1))
+            spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("class_id"),
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array([shingle[x:y].tobytes() for x, y in spans], pa.binary()),
+                    pa.array([level[x:y].astype(np.uint8).tobytes() for x, y in spans], pa.binary()),
+                ],
+                names=["class_id", "n", "shingles", "levels"],
+            )
+
+
+class _Block:
+    """Classes of a bucket with their shingles: arrays over all shingles, and over classes."""
+
+    def __init__(self, members: list[dict]):
+        self.ids = np.array([m["class_id"] for m in members], np.int64)
+        self.component = np.array([m["component"] for m in members], np.int64)
+        self.shingle = np.frombuffer(b"".join(m["shingles"] for m in members), np.uint64)
+        self.level = np.frombuffer(b"".join(m["levels"] for m in members), np.uint8).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(members)), [len(m["levels"]) for m in members])
+        self.total = np.bincount(self.owner, np.exp2(self.level / 2), len(members))
+
+
+def _shared_weight(x: _Block, y: _Block) -> np.ndarray:
+    """The sum of the smaller weights over the shingles that two classes share, for all pairs of classes.
+
+    A weight is the sum of its steps above the next lower weight that the shingle has in the two
+    blocks, and a smaller weight the sum of the steps that both reach: a product of matrices.
+    """
+    both = np.intersect1d(x.shingle, y.shingle)
+    result = np.zeros((len(x.ids), len(y.ids)))
+    sides = []
+    for block in (x, y):
+        place = np.minimum(np.searchsorted(both, block.shingle), max(len(both) - 1, 0))
+        known = both[place] == block.shingle if len(both) else np.zeros(len(place), bool)
+        sides.append((block.owner[known], place[known] * _LEVELS + block.level[known]))
+    steps = np.unique(np.concatenate([sides[0][1], sides[1][1]]))
+    weight = np.exp2((steps % _LEVELS) / 2)
+    new = np.append(True, steps[1:] // _LEVELS != steps[:-1] // _LEVELS) if len(steps) else np.zeros(0, bool)
+    weight[~new] -= np.exp2((steps[np.flatnonzero(~new) - 1] % _LEVELS) / 2)
+    cells = []
+    for owner, code in sides:
+        first = np.searchsorted(steps, code // _LEVELS * _LEVELS)
+        reached = np.searchsorted(steps, code, side="right") - first
+        column, row = gathered(first, reached), np.repeat(owner, reached)
+        order = np.argsort(column, kind="stable")
+        cells.append((row[order], column[order]))
+    for low in range(0, len(steps), _COLUMNS):
+        dense = []
+        for (row, column), block in zip(cells, (x, y), strict=True):
+            start, end = np.searchsorted(column, [low, low + _COLUMNS])
+            matrix = np.zeros((len(block.ids), min(_COLUMNS, len(steps) - low)))
+            matrix[row[start:end], column[start:end] - low] = 1
+            dense.append(matrix)
+        result += (dense[0] * weight[low : low + _COLUMNS]) @ dense[1].T
+    return result
+
+
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Star links between the components in two blocks of a bucket, every pair of classes compared."""
+    for batch in batches:
+        for part in range(batch.num_rows):
+            row = batch.slice(part, 1).to_pylist()[0]
+            x, y = _Block(row["x"]), _Block(row["y"])
+            shared = _shared_weight(x, y)
+            linked = shared >= threshold * (x.total[:, None] + y.total[None, :] - shared)
+            linked &= x.component[:, None] != y.component[None, :]
+            if not linked.any():
+                continue
+            i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+            rows, columns = stars(linked[np.ix_(i, j)])
+            u, v = np.concatenate([x.ids[i], y.ids[j]]), x.ids[i][np.concatenate([rows, columns])]
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs in buckets whose classes are not yet all in one component."""
+def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links in buckets whose classes are not yet all in one component."""
     labelled = members.join(labels, F.col("class_id") == F.col("node"), "left").select(
         "bucket", "class_id", F.coalesce("component", "class_id").alias("component")
     )
     labelled = settled(labelled, "labelled-members")
-    mixed_buckets = settled(
+    several = settled(
         labelled.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
-        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
-        "mixed-buckets",
+        .select("bucket"),
+        "open-buckets",
+    )
+    opened = settled(labelled.join(several, "bucket", "left_semi"), "open-members")
+    wanted = settled(opened.select("class_id").distinct(), "open-classes")
+    features = settled(
+        texts.join(wanted, "class_id").mapInArrow(
+            partial(_featured, idf=idf), "class_id long, n long, shingles binary, levels binary"
+        ),
+        "open-features",
     )
-    member = F.struct("class_id", "component", "samples")
+    sized = opened.join(features.select("class_id", "n"), "class_id").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sizes = settled(sized.select("bucket", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "open-sizes")
+    member = F.struct("class_id", "component", "shingles", "levels")
     blocks = settled(
-        labelled.join(mixed_buckets, "bucket")
-        .join(classes.select("class_id", "samples"), "class_id")
+        opened.join(sizes, "bucket")
+        .join(features, "class_id")
         .withColumn("block", F.pmod(F.xxhash64("class_id", "bucket"), F.col("blocks")).cast("int"))
         .groupBy("bucket", "blocks", "block")
         .agg(F.collect_list(member).alias("members")),
@@ -247,7 +324,8 @@ def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
         "bucket", F.col("members").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block")
     )
     right = blocks.select("bucket", "block", F.col("members").alias("y"))
-    return left.join(right, ["bucket", "block"]).select("x", "y").mapInArrow(_likely, "u long, v long").distinct()
+    pairs = left.join(right, ["bucket", "block"]).select("x", "y")
+    return settled(pairs.mapInArrow(partial(_linked, threshold=threshold), "u long, v long").distinct(), "other-links")
 
 
 def _row_keys() -> list:
@@ -310,8 +388,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     links = _verified(pairs, candidates, idf, threshold, "leader-links")
     labels = settled(components(links), "leader-components")
-    more = settled(_rest(members, labels, classes), "likely-pairs")
-    links = links.unionByName(_verified(more, candidates, idf, threshold, "other-links"))
+    links = links.unionByName(_rest(members, labels, candidates, idf, threshold))
     labels = settled(components(links), "components")
 
     named = classes.join(labels, F.col("class_id") == F.col("node"), "left").withColumn(
