@@ -126,6 +126,27 @@ CHECKS: dict[str, str] = {
             CAST(NULL AS VARCHAR) AS problem
         FROM hashed JOIN first USING (hex)
     """,
+    "op4_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS key
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM split WHERE len(words) >= 20)
+        ), first AS (
+            SELECT key, min(struct_pack(doc := doc_id, at := i)) AS source FROM windows GROUP BY key HAVING count(*) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p
+            FROM windows JOIN first USING (key) WHERE NOT (source.doc = doc_id AND source.at = i)
+        ), words AS (
+            SELECT doc_id, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM split
+        ), kept AS (
+            SELECT w.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (WHERE g.p IS NULL) AS kept
+            FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
     "op5_line_dedup": """
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -145,4 +166,21 @@ CHECKS: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op10_embedding_dedup": """
+        WITH RECURSIVE vectors AS MATERIALIZED (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), links AS MATERIALIZED (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach(u, v) AS (
+            SELECT vec_id, vec_id FROM vectors
+            UNION
+            SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v
+        ), component AS (
+            SELECT u, min(v) AS low FROM reach GROUP BY u
+        )
+        SELECT e.vec_id, count(l.v) AS n_links, any_value(c.low) AS component_id, e.vec_id = any_value(c.low) AS kept
+        FROM embeddings e JOIN component c ON c.u = e.vec_id LEFT JOIN links l ON l.u = e.vec_id
+        GROUP BY e.vec_id
+    """,
 }
