@@ -6,15 +6,22 @@ quality words.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import STATISTICS
-from .ordered import exact_quantiles
+from ..session import written
+from .ordered import value_positions
 from .spatial import spatial_join_points
 
+# Histogram bins between a group's extremes in which its median is looked for.
+MEDIAN_BINS = 256
+
+EARTH_RADIUS = 6378137.0
+
 
 def mask_qa_bit(
     pixels: DataFrame, bands: Sequence[str], qa: str = "SummaryQA", bit: int = 1, scale: float = 10000.0
@@ -91,8 +98,7 @@ def zone_image_statistics(
     """One statistic of every band per zone and image, for pixels that know their zone.
 
     Columns ``<band>_<stat>``. All but MEDIAN combine before the shuffle. MEDIAN is
-    exact: bands go to rows and every (zone, image, band) group is cut into value
-    ranges, so a large zone is no single task.
+    exact, see ``_medians``.
     """
     if stat not in STATISTICS:
         raise ValueError(f"unknown statistic {stat}")
@@ -102,17 +108,59 @@ def zone_image_statistics(
         return pixels.groupBy(*keys).agg(
             *[_aggregate(stat, b).alias(f"{b}_{stat}") for b in bands]
         )
-    cells = F.array(
-        *[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in bands]
+    return _medians(pixels, list(bands), keys)
+
+
+def _medians(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
+    """Exact medians without moving every pixel.
+
+    Pixels are written once. Extremes and then a histogram of ``MEDIAN_BINS`` bins between
+    them, per group and band, are counted before they are shuffled; only the values in the
+    bins that hold the middle positions go on to the exact search, which cuts a group of any
+    size into value ranges.
+    """
+    values = [F.col(b).cast("double").alias(f"_v{i}") for i, b in enumerate(bands)]
+    placed = written(pixels.select(*keys, *values), "median-pixels")
+    extremes = [
+        F.struct(F.min(f"_v{i}").alias("low"), F.max(f"_v{i}").alias("high"), F.count(f"_v{i}").alias("n")).alias(f"_e{i}")
+        for i in range(len(bands))
+    ]
+    limits = written(placed.groupBy(*keys).agg(*extremes), "median-limits")
+
+    def cell(i: int) -> Column:
+        low, high, v = F.col(f"_e{i}.low"), F.col(f"_e{i}.high"), F.col(f"_v{i}")
+        share = F.coalesce(F.try_divide(v / 2 - low / 2, high / 2 - low / 2), F.lit(0.0))
+        number = F.least(F.floor(share * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1)).cast("int")
+        return F.struct(F.lit(i).alias("_band"), v.alias("_value"), number.alias("_bin"), F.col(f"_e{i}.n").alias("_total"))
+
+    cells = F.explode(F.array(*[cell(i) for i in range(len(bands))])).alias("_c")
+    long = placed.join(limits, keys).select(*keys, cells).select(*keys, "_c.*").where("_value is not null")
+
+    group = Window.partitionBy(*keys, "_band")  # at most MEDIAN_BINS rows
+    earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        long.groupBy(*keys, "_band", "_bin", "_total")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumns({"_lo": F.expr("(_total - 1) div 2"), "_hi": F.expr("_total div 2")})
+        .where("(_lo >= _before and _lo < _before + _n) or (_hi >= _before and _hi < _before + _n)")
     )
-    long = pixels.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
-    medians = exact_quantiles(long, "value", [0.5], [*keys, "band"])
-    return medians.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("band") == b, F.get("quantiles", F.lit(0)))).alias(f"{b}_MEDIAN")
-            for b in bands
-        ]
+    middle = written(
+        counted.withColumn("_base", F.min("_before").over(group)).select(
+            *keys, "_band", "_bin", (F.col("_lo") - F.col("_base")).alias("_lo"), (F.col("_hi") - F.col("_base")).alias("_hi")
+        ),
+        "median-bins",
     )
+    by = [*keys, "_band"]
+    chosen = long.join(middle.select(*by, "_bin"), [*by, "_bin"]).select(*by, "_value")
+    places = middle.select(*by, "_lo", "_hi").distinct()
+    found = value_positions(chosen, F.col("_value"), by).join(places, by)
+    at = [F.expr(f"max(if({p} >= _before and {p} < _before + _n, _v, null))") for p in ("_lo", "_hi")]
+    medians = found.groupBy(*by).agg((at[0] + (at[1] - at[0]) * 0.5).alias("_median"))
+    wide = medians.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_band") == i, F.col("_median"))).alias(f"{b}_MEDIAN") for i, b in enumerate(bands)]
+    )
+    return limits.select(*keys).join(wide, keys, "left")
 
 
 def zonal_statistics(
@@ -131,6 +179,33 @@ def zonal_statistics(
     return zone_image_statistics(placed, bands, stat, (zone, image))
 
 
+def pixel_area(size: float, y: Column) -> Column:
+    """Square metres of a pixel ``size`` degrees wide and high whose centre is at latitude ``y``."""
+    side = math.radians(size) * EARTH_RADIUS
+    return F.lit(side * side) * F.cos(F.radians(y))
+
+
+def zonal_area_by_class(
+    pixels: DataFrame,
+    zones: DataFrame,
+    size: float,
+    mode: str = "PERCENTAGE",
+    decimals: int = 2,
+    scale: float = 100.0,
+    classes: Sequence[int] | None = None,
+    cell: float | None = None,
+    zone: str = "zone_id",
+    class_col: str = "class_code",
+) -> DataFrame:
+    """Area per zone and class from classified pixels (``x, y`` in degrees) and polygons.
+
+    Pixels belong to the zones that their centres touch; results as in ``zonal_statistics_by_group``.
+    """
+    placed = spatial_join_points(pixels.select("x", "y", class_col), zones.select(zone, "rings"), cell, zone=zone)
+    areas = placed.select(zone, class_col, pixel_area(size, F.col("y")).alias("_pixel_area"))
+    return zonal_statistics_by_group(areas, mode, decimals, scale, classes, zone, class_col, "_pixel_area")
+
+
 def zonal_statistics_by_group(
     pixels: DataFrame,
     mode: str = "PERCENTAGE",

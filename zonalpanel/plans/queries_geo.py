@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lookups import STATISTICS
+from ..functions.lookups import LAND_COVER_CLASSES, STATISTICS
 from ..operators import counts as K
 from ..operators import pixels as X
 from ..operators import spatial as S
@@ -55,6 +55,31 @@ def clip_to_zones(t: Inputs):
     )
 
 
+_CLASS = f"({LAND_COVER_CLASSES})[SummaryQA % 10 + 1]"
+_AREAS = f"""
+SELECT zone_id, {_CLASS} AS class_code, sum(pow(radians(0.25) * 6378137, 2) * cos(radians(y))) AS area
+FROM placed_pixels GROUP BY zone_id, {_CLASS}"""
+
+
+def _class_pixels(t: Inputs):
+    codes = F.array(*[F.lit(c) for c in LAND_COVER_CLASSES])
+    return t.pixels.select("x", "y", F.get(codes, F.col("SummaryQA") % 10).alias("class_code"))
+
+
+@query("placed_pixels", f"SELECT zone_id, class_code, {rd('area / 1e6', 3)} AS square_km FROM ({_AREAS})")
+def zonal_area_by_class(t: Inputs):
+    """Area per zone and class from polygons and classified pixels a quarter of a degree wide."""
+    areas = X.zonal_area_by_class(_class_pixels(t), t.zones, 0.25, mode="SUM", decimals=6)
+    return areas.select("zone_id", "class_code", r(F.col("value") / 1e6, 3).alias("square_km"))
+
+
+@query("placed_pixels", f"""
+SELECT zone_id, {', '.join(f'round(max(share) FILTER (class_code = {c}), 4) AS "Class_{c}"' for c in LAND_COVER_CLASSES)}
+FROM (SELECT zone_id, class_code, area * 100 / sum(area) OVER (PARTITION BY zone_id) AS share FROM ({_AREAS})) GROUP BY zone_id""")
+def zonal_area_by_class_share(t: Inputs):
+    return X.zonal_area_by_class(_class_pixels(t), t.zones, 0.25, decimals=4, classes=LAND_COVER_CLASSES)
+
+
 @query("zones", "SELECT zone_id, x0 + 0.5 AS cx, y0 + 0.5 AS cy FROM zones")
 def polygon_centroid(t: Inputs):
     c = S.polygon_centroid(t.zones)
