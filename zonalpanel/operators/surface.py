@@ -130,8 +130,8 @@ def idw_surface(
     )
 
 
-# Copies of each block, over which the blocks meeting it in a crowded cell are spread.
-BLOCK_SALTS = 8
+# Blocks of a cell that one part takes; a cell with more is met in as many parts as it needs.
+PART_BLOCKS = 4
 
 # Half of the 3 x 3 cells around a cell: with the cell itself, each pair of cells once.
 _HALF = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
@@ -150,7 +150,8 @@ def semivariogram(
     Columns ``lag, pairs, mean_distance, semivariance``; every pair nearer than
     ``max_dist`` counts once. Sites are gridded by ``max_dist`` and each cell is cut into
     blocks of about ``SITE_BLOCK``, more for a crowded cell. Neighbouring blocks meet in
-    an equi-join and each meeting returns its sums per lag.
+    an equi-join, spread over parts by the number of blocks in the cell, and each meeting
+    returns its sums per lag.
     """
     n_lags = int(np.ceil(max_dist / lag))
     sites = written(
@@ -162,8 +163,12 @@ def semivariogram(
         ),
         "sites",
     )
-    crowd = sites.groupBy("cx", "cy").agg(
-        F.ceil(F.count(F.lit(1)) / SITE_BLOCK).alias("n_blocks")
+    n_blocks = F.ceil(F.count(F.lit(1)) / SITE_BLOCK)
+    crowd = written(
+        sites.groupBy("cx", "cy").agg(
+            n_blocks.alias("n_blocks"), F.ceil(n_blocks / PART_BLOCKS).cast("int").alias("parts")
+        ),
+        "site-cells",
     )
     blocks = (
         sites.join(crowd, ["cx", "cy"])
@@ -174,16 +179,24 @@ def semivariogram(
     offsets = F.array(
         *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _HALF]
     )
-    left = blocks.withColumn("o", F.explode(offsets)).select(
-        (F.col("cx") + F.col("o.i")).alias("cx"),
-        (F.col("cy") + F.col("o.j")).alias("cy"),
-        ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same_cell"),
-        F.col("block").alias("a_block"),
-        F.pmod("block", F.lit(BLOCK_SALTS)).cast("int").alias("salt"),
-        *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "n", "m", "ss")],
+    parts = crowd.select("cx", "cy", "parts")
+    left = (
+        blocks.withColumn("o", F.explode(offsets))
+        .select(
+            (F.col("cx") + F.col("o.i")).alias("cx"),
+            (F.col("cy") + F.col("o.j")).alias("cy"),
+            ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same_cell"),
+            F.col("block").alias("a_block"),
+            *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "n", "m", "ss")],
+        )
+        .join(parts, ["cx", "cy"])
+        .withColumn("salt", F.pmod("a_block", F.col("parts")).cast("int"))
+        .drop("parts")
     )
-    right = blocks.withColumn(
-        "salt", F.explode(F.array(*[F.lit(i) for i in range(BLOCK_SALTS)]))
+    right = (
+        blocks.join(parts, ["cx", "cy"])
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .drop("parts")
     )
     meetings = (
         left.join(right, ["cx", "cy", "salt"])
