@@ -34,7 +34,7 @@ BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
 WORD_BUCKETS = 1 << 16
 #: Shingles of a block of classes that is compared with others of its bucket.
-BLOCK_SHINGLES = 100_000
+BLOCK_SHINGLES = 400_000
 
 _SLOT_BITS = 12
 _LEVELS = 32
@@ -289,19 +289,24 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Links in buckets whose classes are not yet all in one component."""
+    """Links in buckets whose classes are not yet all in one component.
+
+    Classes outside a bucket's largest component meet all its classes; within that component
+    nothing is left to find. A bucket of two was settled when its leader was compared.
+    """
     labelled = members.join(labels, F.col("class_id") == F.col("node"), "left").select(
         "bucket", "class_id", F.coalesce("component", "class_id").alias("component")
     )
     labelled = settled(labelled, "labelled-members")
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     several = settled(
-        labelled.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("bucket"),
+        parts.groupBy("bucket")
+        .agg(F.sum("n").alias("members"), F.count("*").alias("components"), F.max_by("component", "n").alias("major"))
+        .where("components > 1 and members > 2")
+        .select("bucket", "major"),
         "open-buckets",
     )
-    opened = settled(labelled.join(several, "bucket", "left_semi"), "open-members")
+    opened = settled(labelled.join(several, "bucket"), "open-members")
     wanted = settled(opened.select("class_id").distinct(), "open-classes")
     features = settled(
         texts.join(wanted, "class_id").mapInArrow(
@@ -309,21 +314,30 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarr
         ),
         "open-features",
     )
-    sized = opened.join(features.select("class_id", "n"), "class_id").groupBy("bucket").agg(F.sum("n").alias("n"))
-    sizes = settled(sized.select("bucket", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "open-sizes")
-    member = F.struct("class_id", "component", "shingles", "levels")
-    blocks = settled(
-        opened.join(sizes, "bucket")
-        .join(features, "class_id")
-        .withColumn("block", F.pmod(F.xxhash64("class_id", "bucket"), F.col("blocks")).cast("int"))
-        .groupBy("bucket", "blocks", "block")
-        .agg(F.collect_list(member).alias("members")),
-        "member-blocks",
+    minor = F.col("component") != F.col("major")
+    sized = opened.join(features.select("class_id", "n"), "class_id").groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum(F.when(minor, F.col("n"))).alias("n_minor")
+    )
+    sizes = settled(
+        sized.select(
+            "bucket",
+            *[F.ceil(F.greatest(c, F.lit(1)) / BLOCK_SHINGLES).cast("int").alias(f"{c}_blocks") for c in ("n", "n_minor")],
+        ),
+        "open-sizes",
     )
-    left = blocks.select(
-        "bucket", F.col("members").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block")
+    full = settled(opened.join(sizes, "bucket").withColumn("minor", minor).drop("major"), "sized-members")
+    member = F.struct("class_id", "component", "shingles", "levels")
+
+    def blocks(rows: DataFrame, count: str) -> DataFrame:
+        """Members with their shingles, gathered by a hash into blocks of about the same size."""
+        number = F.pmod(F.xxhash64("class_id", "bucket"), F.col(count)).cast("int")
+        keyed = rows.join(features, "class_id").withColumn("block", number)
+        return keyed.groupBy("bucket", "block", "n_blocks").agg(F.collect_list(member).alias("members"))
+
+    left = blocks(full.where("minor"), "n_minor_blocks").select(
+        "bucket", F.col("members").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")
     )
-    right = blocks.select("bucket", "block", F.col("members").alias("y"))
+    right = blocks(full, "n_blocks").select("bucket", "block", F.col("members").alias("y"))
     pairs = left.join(right, ["bucket", "block"]).select("x", "y")
     return settled(pairs.mapInArrow(partial(_linked, threshold=threshold), "u long, v long").distinct(), "other-links")
 
