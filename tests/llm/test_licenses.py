@@ -60,3 +60,28 @@ def test_empty_table_and_short_template(documents):
     assert licenses.find_licenses(documents([])).count() == 0
     with pytest.raises(ValueError):
         licenses._Templates((("short", "MIT License"),), 0.8, 0.99)
+
+
+def test_notices_of_the_given_tables(documents):
+    """Each of the five wordings that the tables hold, alone and in a text."""
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+        "All rights reserved.": "all-rights-reserved",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "Released under the MIT License.": "mit",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    }
+    rows, expected = [], []
+    for k, (notice, name) in enumerate(notices.items()):
+        rows += [(10 * k, notice), (10 * k + 1, f"Some words\n{notice}\nand others after them, more than a few")]
+        expected += [(10 * k, name), (10 * k + 1, name)]
+    rows += [(90, "(c) ALL RIGHTS\treserved 2020"), (91, "all rights"), (92, "all rights are reserved")]
+    expected += [(90, "all-rights-reserved")]
+    got = licenses.find_licenses(documents(rows)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == expected
+    places = {r.doc_id: (r.containment, r.start_word, r.n_words) for r in got if r.license == "all-rights-reserved"}
+    assert places == {10: (1.0, 0, 3), 11: (1.0, 2, 3), 90: (1.0, 1, 3)}
+
+
+def test_bands_of_short_templates():
+    assert [licenses.bands_for(n) for n in (3, 4)] == [1, 1]

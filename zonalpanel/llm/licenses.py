@@ -5,7 +5,9 @@ windows, a quarter longer than a template and a quarter apart, so that each noti
 in some window. Windows that share a MinHash band with a template are checked exactly: the
 share of the template's shingles that the window holds. The number of bands follows from the
 smallest similarity that a window holding ``containment`` of a template can have, so that it
-meets the template with a probability of ``certainty`` or more. Nothing is shuffled.
+meets the template with a probability of ``certainty`` or more. A template of fewer than five
+words is one shingle of all its words, and its windows are the runs of so many words. Nothing
+is shuffled.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ from pyspark.sql import functions as F
 from .words import MULTIPLIER, PUNCTUATION, Words, mixed, run_hashes, slices
 
 SHINGLE = 5
+#: Words of the shortest template.
+SHORTEST = 3
 CONTAINMENT = 0.8
 CERTAINTY = 0.9999
 
 #: The wording of public notices.
 TEMPLATES: dict[str, str] = {
-    "all-rights-reserved": "Copyright. All rights reserved. Used with permission.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -40,11 +43,23 @@ TEMPLATES: dict[str, str] = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Notices of fewer words than a shingle has elsewhere.
+SHORT_TEMPLATES: dict[str, str] = {
+    "all-rights-reserved": "All rights reserved.",
+}
+
 _SCHEMA = "doc_id long, license string, containment double, start_word int, n_words int"
 
 
+def shingle_size(words: int) -> int:
+    """Words of a shingle of a template of so many words."""
+    return min(SHINGLE, words)
+
+
 def window_size(words: int) -> tuple[int, int]:
     """Length and distance of the windows for a template of so many words."""
+    if words < SHINGLE:
+        return words, 1
     step = max(1, words // 4)
     return words + step, step
 
@@ -55,9 +70,12 @@ def bands_for(words: int, containment: float = CONTAINMENT, certainty: float = C
     A window that holds the share c of the template's t shingles and has w of its own has a
     Jaccard similarity of at least c t / (t + w - c t).
     """
-    t, w = words - SHINGLE + 1, window_size(words)[0] - SHINGLE + 1
+    shingle = shingle_size(words)
+    t, w = words - shingle + 1, window_size(words)[0] - shingle + 1
     shared = math.ceil(containment * t - 1e-9)
     similarity = shared / (t + w - shared)
+    if similarity == 1:
+        return 1
     return math.ceil(math.log(1 - certainty) / math.log(1 - similarity))
 
 
@@ -69,10 +87,10 @@ class _Templates:
         self.names, self.shingles, sizes = [], [], []
         for name, text in templates:
             words = Words(pa.array([text]), PUNCTUATION, lower=True)
-            if len(words) < SHINGLE:
-                raise ValueError(f"template {name} has fewer than {SHINGLE} words")
+            if len(words) < SHORTEST:
+                raise ValueError(f"template {name} has fewer than {SHORTEST} words")
             self.names.append(name)
-            self.shingles.append(np.unique(run_hashes(words.hashes(), SHINGLE)))
+            self.shingles.append(np.unique(run_hashes(words.hashes(), shingle_size(len(words)))))
             sizes.append(len(words))
         self.classes: list[tuple[int, list[int], list[tuple[np.ndarray, dict[int, list[int]]]]]] = []
         for size in sorted(set(sizes)):
@@ -86,6 +104,10 @@ class _Templates:
                     owners.setdefault(low, []).append(i)
                 bands.append((table, owners))
             self.classes.append((size, members, bands))
+        #: How many bands each shingle size needs.
+        self.bands: dict[int, int] = {}
+        for size, _, bands in self.classes:
+            self.bands[shingle_size(size)] = max(self.bands.get(shingle_size(size), 0), len(bands))
 
 
 def _band(shingles: np.ndarray, band: int) -> np.ndarray:
@@ -100,10 +122,10 @@ def _prepared(templates: tuple[tuple[str, str], ...], containment: float, certai
     return _Templates(templates, containment, certainty)
 
 
-def _windows(words: Words, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(words: Words, shingle: int, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first and last (exclusive) word of every window; the last windows of a text are shorter."""
     counts = np.diff(words.starts)
-    n = np.where(counts >= SHINGLE, (counts - SHINGLE) // step + 1, 0)
+    n = np.where(counts >= shingle, (counts - shingle) // step + 1, 0)
     text = np.repeat(np.arange(len(counts)), n)
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     first = words.starts[text] + nth * step
@@ -115,22 +137,25 @@ def _scan(batches: Iterator[pa.RecordBatch], templates, containment: float, cert
     for batch in batches:
         for rows in slices(batch):
             words = Words(rows.column("text"), PUNCTUATION, lower=True)
-            shingles = run_hashes(words.hashes(), SHINGLE)
-            none = np.uint64(2**64 - 1)
-            values = [np.append(_band(shingles, b), none) for b in range(max(len(c[2]) for c in known.classes))]
+            hashes, none, runs = words.hashes(), np.uint64(2**64 - 1), {}
+            for n, count in known.bands.items():
+                own = run_hashes(hashes, n)
+                runs[n] = own, [np.append(_band(own, b), none) for b in range(count)]
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             for size, _, bands in known.classes:
-                text, first, last = _windows(words, *window_size(size))
+                length = shingle_size(size)
+                shingles, values = runs[length]
+                text, first, last = _windows(words, length, *window_size(size))
                 if not len(first):
                     continue
-                edges = np.minimum(np.stack([first, last - SHINGLE + 1], axis=1).ravel(), len(shingles))
+                edges = np.minimum(np.stack([first, last - length + 1], axis=1).ravel(), len(shingles))
                 meets: set[tuple[int, int]] = set()
                 for band, (table, owners) in enumerate(bands):
                     lows = np.minimum.reduceat(values[band], edges)[::2]
                     for i in np.flatnonzero(table[(lows >> np.uint64(48)).astype(np.int64)]).tolist():
                         meets.update((i, template) for template in owners.get(int(lows[i]), ()))
                 for i, template in sorted(meets):
-                    own = shingles[first[i] : last[i] - SHINGLE + 1]
+                    own = shingles[first[i] : last[i] - length + 1]
                     wanted = known.shingles[template]
                     share = np.isin(wanted, own).sum() / len(wanted)
                     key = (int(text[i]), template)
@@ -160,13 +185,15 @@ def find_licenses(
     """Which texts hold which license notices.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Words are runs of letters, digits
-    and non-ASCII characters, in lower case; shingles are five words. Returns one row per input
+    and non-ASCII characters, in lower case; shingles are five words, or all words of a template
+    with fewer. Returns one row per input
     row and template that some window holds ``containment`` or more of: (doc_id, license,
     containment, start_word, n_words), the first of the windows that hold most of it. Texts that
-    are null, empty or shorter than five words hold none; repeated rows give repeated rows.
-    ``templates`` (name to text of five words or more) are held by every task.
+    are null, empty or shorter than every template's shingles hold none; repeated rows give
+    repeated rows. ``templates`` (name to text of three words or more; else ``TEMPLATES`` and
+    ``SHORT_TEMPLATES``) are held by every task.
     """
-    chosen = tuple(sorted((templates or TEMPLATES).items()))
+    chosen = tuple(sorted((templates or TEMPLATES | SHORT_TEMPLATES).items()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(
         partial(_scan, templates=chosen, containment=containment, certainty=certainty), _SCHEMA
