@@ -128,6 +128,45 @@ def test_buckets_with_several_components(spark, monkeypatch):
     assert {i: found.get(i, i) for i in range(60)} == expected
 
 
+def _stubs(n):
+    """Short texts that share a frame and are no near copies."""
+    frame = "all of these stubs open with the same words and then go on with".split()
+    return [" ".join(frame + [f"own{i}x{k}" for k in range(11)]) for i in range(n)]
+
+
+def _open_blocks(spark, monkeypatch, texts):
+    """Links of one open bucket, and its numbers of blocks."""
+    tables, settled = {}, near_dedup.settled
+    monkeypatch.setattr(near_dedup, "settled", lambda df, label: tables.setdefault(label, settled(df, label)))
+    n, idf = len(texts), np.full(near_dedup.WORD_BUCKETS, 4, np.float32)
+    table = spark.createDataFrame(list(enumerate(texts)), "class_id long, text string")
+    members = spark.createDataFrame([(5, i, 0) for i in range(n)], "bucket long, class_id long, leader long")
+    labels = spark.createDataFrame([(i, 0) for i in range(n // 3)], "node long, component long")
+    links = near_dedup._rest(members, labels, table, idf, 0.8).collect()
+    return {tuple(sorted(r)) for r in links if r.u != r.v}, tables["open-sizes"].collect()
+
+
+def test_blocks_are_bounded_by_members(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
+    texts = _stubs(60) + [t + " end" for t in _stubs(60)]
+    links, sizes = _open_blocks(spark, monkeypatch, texts)
+    assert [(r.n_blocks, r.n_minor_blocks) for r in sizes] == [(18, 12)]
+    assert links == {(i, i + 60) for i in range(60)}
+
+
+def test_matrices_are_bounded_by_members(monkeypatch):
+    shapes, shared_weight = [], near_dedup._shared_weight
+    monkeypatch.setattr(near_dedup, "_shared_weight", lambda x, y: shapes.append((len(x.ids), len(y.ids))) or shared_weight(x, y))
+    idf = np.full(near_dedup.WORD_BUCKETS, 4, np.float32)
+    texts = _stubs(2500) + [_stubs(1)[0] + " end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2501)), pa.array(texts)], names=["class_id", "text"])
+    members = [m | {"component": m["class_id"]} for b in near_dedup._featured([batch], idf) for m in b.to_pylist()]
+    pair = pa.RecordBatch.from_pylist([{"x": members, "y": members}])
+    links = {tuple(sorted(r.values())) for b in near_dedup._linked([pair], 0.8) for r in b.to_pylist()}
+    assert links - {(i, i) for i in range(2501)} == {(0, 2500)}
+    assert len(shapes) == 4 and max(max(s) for s in shapes) <= 2000
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(50, 60)] + [(3, 3), (None, 4), (60, 59), (141, 140), (141, 140)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}

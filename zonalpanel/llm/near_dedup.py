@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, settled
@@ -35,6 +36,8 @@ SAMPLES = BANDS * BAND_ROWS
 WORD_BUCKETS = 1 << 16
 #: Shingles of a block of classes that is compared with others of its bucket.
 BLOCK_SHINGLES = 400_000
+#: Classes of such a block, and of the pieces of it that are multiplied at a time.
+BLOCK_MEMBERS, PIECE_MEMBERS = 8_000, 2_000
 
 _SLOT_BITS = 12
 _LEVELS = 32
@@ -276,16 +279,17 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     for batch in batches:
         for part in range(batch.num_rows):
             row = batch.slice(part, 1).to_pylist()[0]
-            x, y = _Block(row["x"]), _Block(row["y"])
-            shared = _shared_weight(x, y)
-            linked = shared >= threshold * (x.total[:, None] + y.total[None, :] - shared)
-            linked &= x.component[:, None] != y.component[None, :]
-            if not linked.any():
-                continue
-            i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-            rows, columns = stars(linked[np.ix_(i, j)])
-            u, v = np.concatenate([x.ids[i], y.ids[j]]), x.ids[i][np.concatenate([rows, columns])]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            pieces = [[_Block(m[k : k + PIECE_MEMBERS]) for k in range(0, len(m), PIECE_MEMBERS)] for m in (row["x"], row["y"])]
+            for x, y in product(*pieces):
+                shared = _shared_weight(x, y)
+                linked = shared >= threshold * (x.total[:, None] + y.total[None, :] - shared)
+                linked &= x.component[:, None] != y.component[None, :]
+                if not linked.any():
+                    continue
+                i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                rows, columns = stars(linked[np.ix_(i, j)])
+                u, v = np.concatenate([x.ids[i], y.ids[j]]), x.ids[i][np.concatenate([rows, columns])]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -316,15 +320,17 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarr
     )
     minor = F.col("component") != F.col("major")
     sized = opened.join(features.select("class_id", "n"), "class_id").groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.sum(F.when(minor, F.col("n"))).alias("n_minor")
-    )
-    sizes = settled(
-        sized.select(
-            "bucket",
-            *[F.ceil(F.greatest(c, F.lit(1)) / BLOCK_SHINGLES).cast("int").alias(f"{c}_blocks") for c in ("n", "n_minor")],
-        ),
-        "open-sizes",
+        F.sum("n").alias("n"),
+        F.sum(F.when(minor, F.col("n"))).alias("n_minor"),
+        F.count("*").alias("n_members"),
+        F.count_if(minor).alias("n_minor_members"),
     )
+
+    def count(side: str) -> Column:
+        by_size = F.greatest(F.col(side) / BLOCK_SHINGLES, F.col(f"{side}_members") / BLOCK_MEMBERS)
+        return F.greatest(F.ceil(by_size), F.lit(1)).cast("int").alias(f"{side}_blocks")
+
+    sizes = settled(sized.select("bucket", count("n"), count("n_minor")), "open-sizes")
     full = settled(opened.join(sizes, "bucket").withColumn("minor", minor).drop("major"), "sized-members")
     member = F.struct("class_id", "component", "shingles", "levels")
 
