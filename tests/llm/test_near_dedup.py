@@ -74,6 +74,37 @@ def test_samples_agree_as_often_as_texts_are_similar():
     assert abs(np.mean(equal) - np.mean(true)) < 0.02
 
 
+def test_samples_of_long_texts_agree_as_often():
+    """Texts of 200,000 words of a small vocabulary, edited by a rare word: many light shingles beside heavy ones."""
+    rng = np.random.default_rng(11)
+    idf = np.full(near_dedup.WORD_BUCKETS, 1, np.float32)
+    rare = near_dedup._bucket(Words(pa.array(["rare"])).hashes())[0]
+    idf[rare] = 40
+    share, equal, true = np.arange(1, 1501) ** -1.0, [], []
+    for _ in range(4):
+        base = np.array([f"w{i}" for i in rng.choice(1500, 200_000, p=share / share.sum())], object)
+        other = base.copy()
+        other[rng.integers(0, 200_000, 3000)] = "rare"
+        texts = [" ".join(base), " ".join(other)]
+        words = Words(pa.array(texts), lower=True)
+        samples = near_dedup._samples(*near_dedup._features(words, words.hashes(), idf), 2)
+        equal.append((samples[0] == samples[1]).mean())
+        true.append(near_dedup.similarity(*texts, idf))
+    assert abs(np.mean(equal) - np.mean(true)) < 0.08
+
+
+def test_samples_do_not_depend_on_other_texts():
+    idf = np.linspace(1, 12, near_dedup.WORD_BUCKETS).astype(np.float32)
+    texts = ["", "one", *_similar_texts(300), None, "a b c d e f"]
+
+    def samples(part):
+        words = Words(pa.array(part, pa.string()), lower=True)
+        return near_dedup._samples(*near_dedup._features(words, words.hashes(), idf), len(part)).tolist()
+
+    assert samples(texts) == [samples([t])[0] for t in texts]
+    assert samples([""]) == [[0] * near_dedup.SAMPLES]
+
+
 def test_frequencies_count_all_documents(documents, corpus):
     idf = near_dedup.inverse_frequencies(documents(corpus))
     words = Words(pa.array(["changed"]), lower=True)

@@ -1,4 +1,4 @@
-"""Near-equal documents by improved consistent weighted sampling over TF-IDF shingles.
+"""Near-equal documents by consistent weighted sampling over TF-IDF shingles.
 
 A shingle (five words in a row, letters lower-cased) weighs its count in the document times
 the mean inverse document frequency of its words, rounded to a half power of two. Document
@@ -39,7 +39,8 @@ BLOCK_SHINGLES = 400_000
 #: Classes of such a block, and of the pieces of it that are multiplied at a time.
 BLOCK_MEMBERS, PIECE_MEMBERS = 8_000, 2_000
 
-_SLOT_BITS = 12
+#: Shingles that are hashed at a time.
+_CHUNK = 1 << 15
 _LEVELS = 32
 _COLUMNS = 4096
 _SIGNATURES = "row_a long, row_b long, doc_id long, words_a long, words_b long, samples array<int>"
@@ -106,47 +107,46 @@ def _features(words: Words, hashes: np.ndarray, idf: np.ndarray) -> tuple[np.nda
 
 
 @lru_cache(maxsize=1)
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each sample, slot of a shingle and weight level: ln a and the step t of Ioffe's scheme.
-
-    Shingles that share a slot in one sample share its random numbers there (r and c with a
-    Gamma(2, 1) distribution, beta uniform); the slots of the samples are independent.
-    """
+def _factors() -> np.ndarray:
+    """An odd number for each sample."""
     random = np.random.Generator(np.random.PCG64(20240229))
-    slots = 1 << _SLOT_BITS
-    log_a = np.empty((SAMPLES, slots * _LEVELS), np.float32)
-    step = np.empty((SAMPLES, slots * _LEVELS), np.int16)
-    log_weight = np.arange(_LEVELS) * (np.log(2) / 2)
-    for k in range(SAMPLES):
-        u = 1 - random.random((5, slots, 1))
-        r, c, beta = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
-        t = np.floor(log_weight / r + beta)
-        log_a[k] = (np.log(c) - r * (t - beta) - r).astype(np.float32).ravel()
-        step[k] = np.clip(t, -30000, 30000).astype(np.int16).ravel()
-    odd = (random.integers(0, 1 << 62, SAMPLES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-    return log_a, step, odd
+    return (random.integers(0, 1 << 62, SAMPLES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def _samples(text: np.ndarray, shingle: np.ndarray, level: np.ndarray, texts: int) -> np.ndarray:
-    """The samples of each text (zeros for texts without shingles)."""
-    log_a, step, odd = _draws()
+    """The samples of each text (zeros for texts without shingles).
+
+    A weight is the sum of its steps from level to level, and each step of each shingle has an
+    exponential arrival of its own, whose rate is the step's height. The step that comes first
+    is the sample: two texts share it with a probability of their weighted Jaccard similarity.
+    Steps of one height come in the order of a hash, so only the first of them needs a logarithm.
+    """
     result = np.zeros((texts, SAMPLES), np.int32)
-    if not len(text):
-        return result
-    heads = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-    sizes = np.diff(np.append(heads, len(text)))
-    level = level.astype(np.uint64)
-    for k in range(SAMPLES):
-        with np.errstate(over="ignore"):
-            slot = (shingle * odd[k]) >> np.uint64(64 - _SLOT_BITS)
-        slot = (slot * np.uint64(_LEVELS) + level).astype(np.int64)
-        a = log_a[k].take(slot)
-        ties = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, heads), sizes))
-        owner = text[ties]
-        chosen = ties[np.append(True, owner[1:] != owner[:-1])]
+    factors = _factors()
+    best = np.full((texts, SAMPLES), np.inf)
+    for step in range(int(level.max()) + 1 if len(level) else 0):
+        reach = np.flatnonzero(level >= step)
+        lows = np.full((texts, SAMPLES), np.uint64(2**64 - 1))
+        seed = mixed(np.array([step + 1], np.uint64) * MULTIPLIER)[0]
+        for at in range(0, len(reach), _CHUNK):
+            part = reach[at : at + _CHUNK]
+            owner = text[part]
+            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            hashes, product = mixed(shingle[part] ^ seed), np.empty(len(part), np.uint64)
+            for k in range(SAMPLES):
+                with np.errstate(over="ignore"):
+                    np.multiply(hashes, factors[k], out=product)
+                rows = owner[heads]
+                lows[rows, k] = np.minimum(lows[rows, k], np.minimum.reduceat(product, heads))
+        own = np.unique(text[reach])
+        height = 2 ** (step / 2) - (2 ** ((step - 1) / 2) if step else 0)
+        low = lows[own]
+        arrival = -np.log1p(-np.minimum((low.astype(np.float64) + 0.5) / 2.0**64, 1 - 2.0**-53)) / height
         with np.errstate(over="ignore"):
-            value = mixed(shingle[chosen] + step[k].take(slot[chosen]).astype(np.uint64) * MULTIPLIER)
-        result[text[heads], k] = value.view(np.int64).astype(np.int32)
+            value = mixed(low + seed).view(np.int64).astype(np.int32)
+        sooner = arrival < best[own]
+        best[own] = np.where(sooner, arrival, best[own])
+        result[own] = np.where(sooner, value, result[own])
     return result
 
 
