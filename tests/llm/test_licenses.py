@@ -85,3 +85,19 @@ def test_notices_of_the_given_tables(documents):
 
 def test_bands_of_short_templates():
     assert [licenses.bands_for(n) for n in (3, 4)] == [1, 1]
+
+
+def test_every_place_of_a_notice(documents):
+    """A row for each separate place, also for places that hold less than the best one."""
+    filler = " ".join(f"code{i}" for i in range(60))
+    header = licenses.TEMPLATES["mit-permission"]
+    edited = header.replace("documentation files", "documentation folders")
+    text = " ".join([edited, filler, header, filler, header])
+    got = licenses.find_licenses(documents([(1, text), (1, text), (2, header)])).collect()
+    rows = sorted((r.doc_id, r.start_word, r.containment) for r in got if r.license == "mit-permission")
+    assert [r[0] for r in rows] == [1] * 6 + [2]
+    places = [r[1:] for r in rows[:6:2]]
+    assert [share for _, share in places] == [15 / 16, 1.0, 1.0]
+    assert all(at <= begin <= at + 5 for (at, _), begin in zip(places, (0, 80, 160), strict=True))
+    short = licenses.find_licenses(documents([(3, "All rights reserved. " * 3)])).collect()
+    assert [(r.start_word, r.n_words) for r in short] == [(0, 3), (3, 3), (6, 3)]

@@ -132,6 +132,19 @@ def _windows(words: Words, shingle: int, size: int, step: int) -> tuple[np.ndarr
     return text, first, np.minimum(first + size, words.starts[text + 1])
 
 
+def _places(windows: list[tuple[float, int, int]]) -> Iterator[tuple[float, int, int]]:
+    """The first of the best of each run of overlapping windows (share, start, words), which are ordered by start."""
+    best, end = windows[0], windows[0][1] + windows[0][2]
+    for window in windows[1:]:
+        if window[1] >= end:
+            yield best
+            best = window
+        elif window[0] > best[0]:
+            best = window
+        end = window[1] + window[2]
+    yield best
+
+
 def _scan(batches: Iterator[pa.RecordBatch], templates, containment: float, certainty: float) -> Iterator[pa.RecordBatch]:
     known = _prepared(templates, containment, certainty)
     for batch in batches:
@@ -141,7 +154,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates, containment: float, cert
             for n, count in known.bands.items():
                 own = run_hashes(hashes, n)
                 runs[n] = own, [np.append(_band(own, b), none) for b in range(count)]
-            best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            verified: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
             for size, _, bands in known.classes:
                 length = shingle_size(size)
                 shingles, values = runs[length]
@@ -158,19 +171,19 @@ def _scan(batches: Iterator[pa.RecordBatch], templates, containment: float, cert
                     own = shingles[first[i] : last[i] - length + 1]
                     wanted = known.shingles[template]
                     share = np.isin(wanted, own).sum() / len(wanted)
-                    key = (int(text[i]), template)
-                    if share >= containment and share > best.get(key, (0.0, 0, 0))[0]:
+                    if share >= containment:
                         start = int(first[i] - words.starts[text[i]])
-                        best[key] = (float(share), start, int(last[i] - first[i]))
-            if best:
-                keys = sorted(best)
+                        window = float(share), start, int(last[i] - first[i])
+                        verified.setdefault((int(text[i]), template), []).append(window)
+            places = [(*key, *place) for key in sorted(verified) for place in _places(verified[key])]
+            if places:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column("doc_id").take(pa.array([k[0] for k in keys])),
-                        pa.array([known.names[k[1]] for k in keys]),
-                        pa.array([best[k][0] for k in keys]),
-                        pa.array([best[k][1] for k in keys], pa.int32()),
-                        pa.array([best[k][2] for k in keys], pa.int32()),
+                        rows.column("doc_id").take(pa.array([p[0] for p in places])),
+                        pa.array([known.names[p[1]] for p in places]),
+                        pa.array([p[2] for p in places]),
+                        pa.array([p[3] for p in places], pa.int32()),
+                        pa.array([p[4] for p in places], pa.int32()),
                     ],
                     names=[c.split()[0] for c in _SCHEMA.split(", ")],
                 )
@@ -186,12 +199,12 @@ def find_licenses(
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Words are runs of letters, digits
     and non-ASCII characters, in lower case; shingles are five words, or all words of a template
-    with fewer. Returns one row per input
-    row and template that some window holds ``containment`` or more of: (doc_id, license,
-    containment, start_word, n_words), the first of the windows that hold most of it. Texts that
-    are null, empty or shorter than every template's shingles hold none; repeated rows give
-    repeated rows. ``templates`` (name to text of three words or more; else ``TEMPLATES`` and
-    ``SHORT_TEMPLATES``) are held by every task.
+    with fewer. Returns one row per input row, template and place that holds ``containment`` or
+    more of it: (doc_id, license, containment, start_word, n_words). A place is a run of
+    overlapping windows, and its row the first of those that hold most; notices so close that
+    their windows overlap are one place. Texts that are null, empty or shorter than every
+    template's shingles hold none; repeated rows give repeated rows. ``templates`` (name to text
+    of three words or more; else ``TEMPLATES`` and ``SHORT_TEMPLATES``) are held by every task.
     """
     chosen = tuple(sorted((templates or TEMPLATES | SHORT_TEMPLATES).items()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
