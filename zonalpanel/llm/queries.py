@@ -10,11 +10,24 @@ import public_tokenizers
 
 from zonalpanel.session import scratch_dir
 
-from . import bpe, embedding_dedup, licenses, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import (
+    bpe,
+    byte_bpe,
+    embedding_dedup,
+    licenses,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    substring_dedup,
+    toxicity,
+    warc,
+)
 from .common import settled, sha256_text, table
 
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +105,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into byte-level tokens and decoded again, as digests."""
+    path = public_tokenizers.path(BYTE_RANKS)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    result = byte_bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    return result.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dedup,
         op9_quality_rules,
         op10_embedding_dedup,
+        op13_byte_bpe,
     )
 }
 
