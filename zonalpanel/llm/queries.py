@@ -18,6 +18,7 @@ from . import (
     line_dedup,
     near_dedup,
     packing,
+    periodic_runs,
     quality,
     substring_dedup,
     toxicity,
@@ -105,6 +106,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, with runs planted in a tenth of them."""
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(docs)
+    line = F.transform(
+        "runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    )
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        sha256_text(lines).alias("runs_sha256"),
+        sha256_text("collapsed_text").alias("collapsed_sha256"),
+    )
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded into byte-level tokens and decoded again, as digests."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -131,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dedup,
         op9_quality_rules,
         op10_embedding_dedup,
+        op11_periodic_runs,
         op13_byte_bpe,
     )
 }
