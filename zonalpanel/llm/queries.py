@@ -14,6 +14,7 @@ from . import (
     bpe,
     byte_bpe,
     embedding_dedup,
+    lexical,
     licenses,
     line_dedup,
     near_dedup,
@@ -126,6 +127,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded into byte-level tokens and decoded again, as digests."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_embedding_dedup,
         op11_periodic_runs,
+        op12_lexical_search,
         op13_byte_bpe,
     )
 }
@@ -232,4 +239,36 @@ CHECKS: dict[str, str] = {
         FROM embeddings e JOIN component c ON c.u = e.vec_id LEFT JOIN links l ON l.u = e.vec_id
         GROUP BY e.vec_id
     """,
+    "op12_lexical_search": r"""
+        WITH lowered AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), split AS (
+            SELECT r, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM lowered
+        ), totals AS (
+            SELECT count(*) FILTER (WHERE len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM split
+        ), postings AS (
+            SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
+            FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM split) GROUP BY r, term
+        ), held AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM postings GROUP BY term) CROSS JOIN totals
+        ), wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), parts AS (
+            SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words)))) AS part
+            FROM postings JOIN held USING (term) CROSS JOIN totals
+        ), scored AS (
+            SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(part) AS BIGINT) AS score
+            FROM parts JOIN wanted USING (term) GROUP BY item_id, r
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
 }
