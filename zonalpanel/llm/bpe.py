@@ -2,9 +2,10 @@
 
 The file is one of the ``tokenizers`` library whose pre-tokenizer drops white space, so
 that each word between blanks is encoded by itself. A task encodes the distinct words of a
-batch together: an index maps each pair of symbols that has a rank to all its positions in
-the batch; the active ranks are taken in ascending order, every position of a rank is
-merged at once, and the lists of the pairs this makes are extended. The tasks share
+slice of texts together: an index maps each pair of symbols that has a rank to all its positions
+in the slice; the active ranks are taken in ascending order, every position of a rank is
+merged at once, and the lists of the pairs this makes are extended. Words merged before in
+the same worker come from a bounded dictionary and are not indexed again. The tasks share
 nothing and no rows are shuffled.
 """
 
@@ -27,7 +28,9 @@ from .common import without
 from .words import Words, gathered, slices, span_hashes
 
 #: Texts of about so many bytes share one pair index.
-INDEX_BYTES = 12 << 20
+INDEX_BYTES = 2 << 20
+#: The dictionary of merged words starts anew beyond this many.
+KNOWN_WORDS = 1 << 18
 #: Bytes of the characters that the byte-level alphabet shows as themselves (fixed values).
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The published pattern for pre-tokens (a fixed value).
@@ -71,14 +74,14 @@ class Encoder:
         self.kinds = _byte_kinds()
         letters = _alphabet()
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.inner = np.array([vocabulary[c] for c in letters], np.int64)
-        self.final = np.array([vocabulary[c + suffix] for c in letters], np.int64)
+        self.inner = np.array([vocabulary[c] for c in letters], np.int32)
+        self.final = np.array([vocabulary[c + suffix] for c in letters], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.left = np.array([vocabulary[a] for a, _ in merges], np.int64)
-        self.right = np.array([vocabulary[b] for _, b in merges], np.int64)
-        self.made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
-        keys = self.left << 32 | self.right
-        self.order = np.argsort(keys)
+        self.left = np.array([vocabulary[a] for a, _ in merges], np.int32)
+        self.right = np.array([vocabulary[b] for _, b in merges], np.int32)
+        self.made = np.array([vocabulary[a + b] for a, b in merges], np.int32)
+        keys = self.left.astype(np.int64) << 32 | self.right
+        self.order = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.order]
         rank_of = np.full(int(self.made.max()) + 1, -1)
         rank_of[self.made] = np.arange(len(merges))
@@ -86,7 +89,8 @@ class Encoder:
             raise ValueError(f"{path} ranks a merge before one that it needs")
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
-        self.token = np.array([self.library.id_to_token(i) for i in range(self.library.get_vocab_size())], object)
+        self.path = path
+        self.known = _Known()
 
     def pieces(self, words: list[bytes]) -> tuple[list[bytes | int], list[int]]:
         """The pre-tokens (bytes) and special tokens (ids) of words, and how many each has, by the library."""
@@ -105,7 +109,7 @@ class Encoder:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it has none."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[place] == keys, self.order[place], -1)
 
@@ -120,9 +124,9 @@ class Encoder:
         symbol = self.inner[raw]
         symbol[ends - 1] = self.final[raw[ends - 1]]
         count = len(symbol)
-        after = np.arange(1, count + 1)
+        after = np.arange(1, count + 1, dtype=np.int32)
         after[ends - 1] = -1
-        before = np.arange(-1, count - 1)
+        before = np.arange(-1, count - 1, dtype=np.int32)
         before[ends - sizes] = -1
 
         index: dict[int, list[np.ndarray]] = {}
@@ -146,7 +150,7 @@ class Encoder:
                     heapq.heappush(active, key)
                 low = high
 
-        pairs = np.flatnonzero(after >= 0)
+        pairs = np.flatnonzero(after >= 0).astype(np.int32)
         extend(self.ranks(symbol[pairs], symbol[pairs + 1]), pairs)
         while active:
             rank = heapq.heappop(active)
@@ -231,12 +235,14 @@ class Encoder:
         end = end[np.searchsorted(end, begin, side="right")] if len(begin) else begin
 
         hashes = span_hashes(data, begin, end)
-        _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
         check = span_hashes(data, begin, end, _CHECK)
         if (check != check[first][code]).any():
             raise RuntimeError("two different words have the same hash")
-        sizes = (end - begin)[first]
-        ids, n_ids = self.merge(data[gathered(begin[first], sizes)], sizes)
+        new = self.known.missing(distinct, check[first])
+        sizes = (end - begin)[first][new]
+        self.known.add(distinct, check[first], new, *self.merge(data[gathered(begin[first][new], sizes)], sizes))
+        ids, n_ids = self.known.of(distinct)
 
         strange = [words.data[a:b].tobytes() for a, b in zip(words.begin[odd], words.end[odd], strict=True)]
         numbers = {word: i for i, word in enumerate(dict.fromkeys(strange))}
@@ -263,7 +269,52 @@ class Encoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens of the ids with a blank between any two, special tokens included."""
-        return " ".join(self.token[ids].tolist())
+        return " ".join(tokens(self.path)[ids].tolist())
+
+
+class _Known:
+    """Hashes of merged words, sorted, and where their ids are; starts anew beyond ``KNOWN_WORDS``."""
+
+    def __init__(self) -> None:
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def missing(self, hashes: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Which of some words (by sorted hashes) are not known; all, if there would be too many."""
+        place = np.searchsorted(self.hash, hashes)
+        found = place < len(self.hash)
+        found[found] = self.hash[place[found]] == hashes[found]
+        if (self.check[place[found]] != check[found]).any():
+            raise RuntimeError("two different words have the same hash")
+        if len(self.hash) + len(hashes) - found.sum() > KNOWN_WORDS:
+            self.__init__()
+            return np.ones(len(hashes), bool)
+        return ~found
+
+    def add(self, hashes: np.ndarray, check: np.ndarray, new: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put the words marked as new in, with their ids one after the other."""
+        order = np.argsort(both := np.concatenate([self.hash, hashes[new]]), kind="stable")
+        self.hash = both[order]
+        self.check = np.concatenate([self.check, check[new]])[order]
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])[order]
+        self.size = np.concatenate([self.size, sizes])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words, one after the other, and how many each has."""
+        place = np.searchsorted(self.hash, hashes)
+        return self.ids[gathered(self.start[place], self.size[place])], self.size[place]
+
+
+@lru_cache(maxsize=2)
+def tokens(path: str) -> np.ndarray:
+    """The token of each id, all that decoding needs of a file."""
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    found = {i: token for token, i in stored["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"] for t in stored["added_tokens"]}
+    return np.array([found[i] for i in range(len(found))], object)
 
 
 @lru_cache(maxsize=2)
@@ -289,26 +340,29 @@ def _grouped(batch: pa.RecordBatch, values: Iterator[bytes]) -> Iterator[tuple[p
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of each row: token ids as little-endian unsigned 32-bit integers.
 
-    Needs ``doc_id`` and ``text``; other columns are ignored. A null, empty or blank text has
-    no ids; texts of any length are encoded whole; repeated rows stay repeated rows. ``path``
-    is the vocabulary file, at the same place on every executor.
+    Needs ``doc_id`` and ``text``; other columns are ignored, whatever their names. A null, empty
+    or blank text has no ids; texts of any length are encoded whole; repeated rows stay repeated
+    rows; an empty table gives no rows. ``path`` is the vocabulary file, at the same place on
+    every executor.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_encode, path=path), "doc_id long, ids binary")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    merges = encoder(path)
+    token = tokens(path)
     for batch in batches:
         for rows in slices(batch, "ids"):
-            texts = [merges.decode(np.frombuffer(ids or b"", "<u4")) for ids in rows.column("ids").to_pylist()]
+            found = (np.frombuffer(ids or b"", "<u4") for ids in rows.column("ids").to_pylist())
+            texts = [" ".join(token[ids].tolist()) for ids in found]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, "decoded_text"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (with an ``ids`` column) and ``decoded_text``: its tokens, with blanks between them.
 
-    Null or empty ids decode to the empty text. A column named ``decoded_text`` is replaced. Ids
+    Null or empty ids decode to the empty text, ids of any number to one text; repeated rows stay
+    repeated rows and an empty table gives no rows. A column named ``decoded_text`` is replaced. Ids
     that are not in the vocabulary raise an IndexError.
     """
     encoded = without(encoded, "decoded_text")
