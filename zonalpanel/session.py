@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import defaultdict
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,8 @@ def build_session(
 
 # Scratch paths of each application that have not been released.
 _WRITTEN: dict[str, list[str]] = defaultdict(list)
+#: The path of each such table that is still in use.
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def _is_local(spark: SparkSession) -> bool:
@@ -84,7 +87,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    result = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[result] = path
+    return result
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that ``written`` returned and whose last reader is done."""
+    for table in tables:
+        spark = table.sparkSession
+        path = _PATH_OF.pop(table)
+        _WRITTEN[spark.sparkContext.applicationId].remove(path)
+        _remove(spark, path)
 
 
 def release(spark: SparkSession) -> int:
@@ -94,6 +113,5 @@ def release(spark: SparkSession) -> int:
     """
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, name)
     return len(paths)
