@@ -1,4 +1,6 @@
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -8,10 +10,35 @@ from zonalpanel.llm.components import components
 from zonalpanel.llm.words import Words
 
 
-def brute(rows, idf):
+def flat(value):
+    """The same inverse document frequency for every shingle."""
+    return np.full((2, near_dedup.CELLS), value, np.float32)
+
+
+def shingle_counts(text):
+    """Counts of the runs of five words, or of the one run of a shorter text."""
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    size = min(5, len(words))
+    return Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else Counter()
+
+
+def weights_of(texts):
+    """Count times log2(1 + documents / documents with the shingle), counted here without the operator."""
+    counts = [shingle_counts(t) for t in texts]
+    held = Counter(g for c in counts for g in c)
+    return [{g: n * math.log2(1 + len(texts) / held[g]) for g, n in c.items()} for c in counts]
+
+
+def weighted_jaccard(a, b):
+    both = sum(min(w, b[g]) for g, w in a.items() if g in b)
+    total = sum(a.values()) + sum(b.values()) - both
+    return both / total if total else 0.0
+
+
+def brute(rows):
     """The smallest id linked with each row, by comparing all pairs."""
-    texts = [t or "" for _, t in rows]
-    weights = [dict(zip(*map(list, near_dedup._weighted(t, idf)))) for t in texts]
+    weights = weights_of([t for _, t in rows])
     parent = list(range(len(rows)))
 
     def root(x):
@@ -21,9 +48,7 @@ def brute(rows, idf):
 
     for a in range(len(rows)):
         for b in range(a):
-            both = sum(min(w, weights[b][h]) for h, w in weights[a].items() if h in weights[b])
-            total = sum(weights[a].values()) + sum(weights[b].values()) - both
-            if total and both / total >= 0.8:
+            if weighted_jaccard(weights[a], weights[b]) >= 0.8:
                 parent[root(a)] = root(b)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -40,7 +65,7 @@ def test_same_as_all_pairs(documents, corpus):
     rows = [r for r in corpus if r[0] not in (73, 74)]
     table = documents(rows)
     got = near_dedup.near_classes(table).collect()
-    expected = brute(rows, near_dedup.inverse_frequencies(table))
+    expected = brute(rows)
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == sorted(expected, key=str)
 
 
@@ -57,9 +82,14 @@ def test_one_row_of_each_class_stays(documents, corpus):
     assert wordless <= set(named)
 
 
+def samples_of(texts, idf):
+    text, shingle, times = near_dedup._shingles(Words(pa.array(texts, pa.string()), lower=True))
+    return near_dedup._samples(text, shingle, times * near_dedup._idf(shingle, idf), len(texts))
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(5)
-    idf = np.ones(near_dedup.WORD_BUCKETS, np.float32) * 4
+    idf = flat(4)
     equal, true = [], []
     for _ in range(60):
         base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
@@ -67,8 +97,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
         for at in rng.integers(0, 300, 6):
             other[at] = "new"
         texts = [" ".join(base), " ".join(other)]
-        words = Words(pa.array(texts), lower=True)
-        samples = near_dedup._samples(*near_dedup._features(words, words.hashes(), idf), 2)
+        samples = samples_of(texts, idf)
         equal.append((samples[0] == samples[1]).mean())
         true.append(near_dedup.similarity(*texts, idf))
     assert abs(np.mean(equal) - np.mean(true)) < 0.02
@@ -77,40 +106,53 @@ def test_samples_agree_as_often_as_texts_are_similar():
 def test_samples_of_long_texts_agree_as_often():
     """Texts of 200,000 words of a small vocabulary, edited by a rare word: many light shingles beside heavy ones."""
     rng = np.random.default_rng(11)
-    idf = np.full(near_dedup.WORD_BUCKETS, 1, np.float32)
-    rare = near_dedup._bucket(Words(pa.array(["rare"])).hashes())[0]
-    idf[rare] = 40
+    idf = flat(1)
     share, equal, true = np.arange(1, 1501) ** -1.0, [], []
     for _ in range(4):
         base = np.array([f"w{i}" for i in rng.choice(1500, 200_000, p=share / share.sum())], object)
         other = base.copy()
         other[rng.integers(0, 200_000, 3000)] = "rare"
         texts = [" ".join(base), " ".join(other)]
-        words = Words(pa.array(texts), lower=True)
-        samples = near_dedup._samples(*near_dedup._features(words, words.hashes(), idf), 2)
+        samples = samples_of(texts, idf)
         equal.append((samples[0] == samples[1]).mean())
         true.append(near_dedup.similarity(*texts, idf))
     assert abs(np.mean(equal) - np.mean(true)) < 0.08
 
 
 def test_samples_do_not_depend_on_other_texts():
-    idf = np.linspace(1, 12, near_dedup.WORD_BUCKETS).astype(np.float32)
+    idf = varied()
     texts = ["", "one", *_similar_texts(300), None, "a b c d e f"]
+    assert samples_of(texts, idf).tolist() == [samples_of([t], idf)[0].tolist() for t in texts]
+    assert samples_of([""], idf).tolist() == [[0] * near_dedup.SAMPLES]
 
-    def samples(part):
-        words = Words(pa.array(part, pa.string()), lower=True)
-        return near_dedup._samples(*near_dedup._features(words, words.hashes(), idf), len(part)).tolist()
 
-    assert samples(texts) == [samples([t])[0] for t in texts]
-    assert samples([""]) == [[0] * near_dedup.SAMPLES]
+def test_frequencies_are_those_of_shingles(documents, corpus):
+    idf = near_dedup.inverse_frequencies(documents(corpus))
+    held = Counter(g for _, t in corpus for g in shingle_counts(t))
+    text = next(t for i, t in corpus if i == 45)
+    words = Words(pa.array([text]), lower=True)
+    assert len(words) > 100
+    got = near_dedup._weighted(text, idf)[1].sum()
+    expected = sum(n * math.log2(1 + len(corpus) / held[g]) for g, n in shingle_counts(text).items())
+    assert 0.98 * expected < got < 1.000001 * expected  # cells can be shared, which makes weights smaller
 
 
-def test_frequencies_count_all_documents(documents, corpus):
-    idf = near_dedup.inverse_frequencies(documents(corpus))
-    words = Words(pa.array(["changed"]), lower=True)
-    bucket = near_dedup._bucket(words.hashes())[0]
-    holders = sum("changed" in (t or "").split() for _, t in corpus)
-    assert abs(idf[bucket] - np.log2(1 + len(corpus) / holders)) < 0.2
+def test_weights_are_neither_rounded_nor_cut_off(documents):
+    texts = ["a " * 50_000, "a " * 500_000]
+    assert abs(near_dedup.similarity(*texts, flat(3)) - 49_996 / 499_996) < 1e-9
+    kept = near_dedup.drop_near_copies(documents([(1, texts[0]), (2, texts[1])]))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 2]
+    assert near_dedup.similarity("a " * 1000, "a " * 1245, flat(3)) > 0.8 > near_dedup.similarity("a " * 1000, "a " * 1255, flat(3))
+
+
+def test_of_many_equal_rows_one_stays(documents):
+    rows = [(1, "one and the same text in all of these rows")] * 3000 + [(2, " ")] * 20 + [(None, "no id here at all")] * 50
+    kept = near_dedup.drop_near_copies(documents(rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == {rows[0]: 1, (2, " "): 20, rows[-1]: 1}
+
+
+def varied():
+    return np.linspace(1, 12, 2 * near_dedup.CELLS).astype(np.float32).reshape(2, -1)
 
 
 def _similar_texts(n):
@@ -126,12 +168,12 @@ def _similar_texts(n):
 
 
 def test_blocks_give_the_similarity_of_every_pair():
-    idf = np.linspace(1, 12, near_dedup.WORD_BUCKETS).astype(np.float32)
+    idf = varied()
     texts = _similar_texts(30) + ["w1 w2", "a a a a a a a a a", "other words only in this text here"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(33)), pa.array(texts)], names=["class_id", "text"])
-    members = [m | {"component": 0} for b in near_dedup._featured([batch], idf) for m in b.to_pylist()]
-    x, y = near_dedup._Block(members[:20]), near_dedup._Block(members[10:])
-    shared = near_dedup._shared_weight(x, y)
+    members = [m | {"component": 0} for b in near_dedup._featured([batch]) for m in b.to_pylist()]
+    x, y = near_dedup._Block(members[:20], idf), near_dedup._Block(members[10:], idf)
+    shared = near_dedup._shared_weight(x, y, idf)
     for i in range(20):
         for j in range(23):
             total = x.total[i] + y.total[j] - shared[i, j]
@@ -142,7 +184,7 @@ def test_buckets_with_several_components(spark, monkeypatch):
     """Links across blocks of a bucket join the components that they should."""
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
     texts = _similar_texts(60)
-    idf = np.full(near_dedup.WORD_BUCKETS, 4, np.float32)
+    idf = flat(4)
     table = spark.createDataFrame(list(enumerate(texts)), "class_id long, text string")
     members = spark.createDataFrame([(5, i, 0) for i in range(60)], "bucket long, class_id long, leader long")
     labels = spark.createDataFrame([(i, 0) for i in range(20)], "node long, component long")
@@ -169,7 +211,8 @@ def _open_blocks(spark, monkeypatch, texts):
     """Links of one open bucket, and its numbers of blocks."""
     tables, settled = {}, near_dedup.settled
     monkeypatch.setattr(near_dedup, "settled", lambda df, label: tables.setdefault(label, settled(df, label)))
-    n, idf = len(texts), np.full(near_dedup.WORD_BUCKETS, 4, np.float32)
+    monkeypatch.setattr(near_dedup, "discard", lambda *tables: None)
+    n, idf = len(texts), flat(4)
     table = spark.createDataFrame(list(enumerate(texts)), "class_id long, text string")
     members = spark.createDataFrame([(5, i, 0) for i in range(n)], "bucket long, class_id long, leader long")
     labels = spark.createDataFrame([(i, 0) for i in range(n // 3)], "node long, component long")
@@ -187,13 +230,13 @@ def test_blocks_are_bounded_by_members(spark, monkeypatch):
 
 def test_matrices_are_bounded_by_members(monkeypatch):
     shapes, shared_weight = [], near_dedup._shared_weight
-    monkeypatch.setattr(near_dedup, "_shared_weight", lambda x, y: shapes.append((len(x.ids), len(y.ids))) or shared_weight(x, y))
-    idf = np.full(near_dedup.WORD_BUCKETS, 4, np.float32)
+    monkeypatch.setattr(near_dedup, "_shared_weight", lambda x, y, idf: shapes.append((len(x.ids), len(y.ids))) or shared_weight(x, y, idf))
+    idf = flat(4)
     texts = _stubs(2500) + [_stubs(1)[0] + " end"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(2501)), pa.array(texts)], names=["class_id", "text"])
-    members = [m | {"component": m["class_id"]} for b in near_dedup._featured([batch], idf) for m in b.to_pylist()]
+    members = [m | {"component": m["class_id"]} for b in near_dedup._featured([batch]) for m in b.to_pylist()]
     pair = pa.RecordBatch.from_pylist([{"x": members, "y": members}])
-    links = {tuple(sorted(r.values())) for b in near_dedup._linked([pair], 0.8) for r in b.to_pylist()}
+    links = {tuple(sorted(r.values())) for b in near_dedup._linked([pair], idf, 0.8) for r in b.to_pylist()}
     assert links - {(i, i) for i in range(2501)} == {(0, 2500)}
     assert len(shapes) == 4 and max(max(s) for s in shapes) <= 2000
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonalpanel.session import discard
+
 from .common import settled
 
 
@@ -44,9 +46,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _minima(both).select("u", F.least("u", "low").alias("low"))
+        minima = _minima(both)
+        low = minima.select("u", F.least("u", "low").alias("low"))
         large = settled(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "large-stars")
-        joined = large.join(_minima(large), "u").select("u", "v", "low")
+        discard(edges, minima)
+        minima = _minima(large)
+        joined = large.join(minima, "u").select("u", "v", "low")
         small = joined.where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = settled(small.unionByName(joined.select("u", F.col("low").alias("v"))).distinct(), "small-stars")
+        discard(large, minima)
     raise RuntimeError(f"no stars after {rounds} rounds")

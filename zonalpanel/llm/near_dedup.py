@@ -1,16 +1,23 @@
-"""Near-equal documents by consistent weighted sampling over TF-IDF shingles.
+"""Near-equal documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle (five words in a row, letters lower-cased) weighs its count in the document times
-the mean inverse document frequency of its words, rounded to a half power of two. Document
-frequencies are counted over all documents in a fixed number of word buckets, so that what
-is broadcast has one size for any table. Samples are banded; documents that share a band
-meet, and a link counts if the weighted Jaccard similarity of the whole texts reaches the
-threshold.
+its inverse document frequency. Document frequencies are counted over all documents in a
+sketch of two rows of ``CELLS`` cells, of which the smaller one counts. A cell holds about
+(distinct shingles of a document) / ``CELLS`` of all documents beside the shingle's own, so
+frequencies below some hundredths of that share look alike at any size of the table, more
+frequent shingles get their own frequency, and what is sent to tasks has one size.
+
+A sample is the shingle, and the step of its weight, that comes first by random numbers of
+its own (two from Gamma(2, 1), one uniform); two documents share it with a probability of their
+weighted Jaccard similarity (Ioffe, 2010). Samples are banded; documents that share a band
+meet, and a link counts if the weighted Jaccard similarity of the whole texts, with weights as
+they are, reaches the threshold.
 
 Documents with the same words are one class before anything is compared. In a bucket every
 class is verified against the smallest one; only where that leaves a bucket with several
 components are all its classes compared, as products of shingle matrices of two blocks, which
-give star links. No bucket is capped and no list of a bucket's pairs is made.
+give star links. No bucket is capped and no list of a bucket's pairs is made. Joins that carry
+texts or shingles are sort-merge joins at every size, and each table goes after its last reader.
 """
 
 from __future__ import annotations
@@ -21,9 +28,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalpanel.session import discard
+
 from .common import free_name, settled
 from .components import components, stars
 from .words import MULTIPLIER, Words, gathered, mixed, run_hashes, slices
@@ -33,120 +42,126 @@ THRESHOLD = 0.8
 #: Two documents with a similarity of 0.8 share a band with a probability of 0.998.
 BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
-WORD_BUCKETS = 1 << 16
+#: Cells of each of the two rows of the sketch of document frequencies.
+CELLS = 1 << 16
 #: Shingles of a block of classes that is compared with others of its bucket.
 BLOCK_SHINGLES = 400_000
 #: Classes of such a block, and of the pieces of it that are multiplied at a time.
 BLOCK_MEMBERS, PIECE_MEMBERS = 8_000, 2_000
 
 #: Shingles that are hashed at a time.
-_CHUNK = 1 << 15
-_LEVELS = 32
+_CHUNK = 1 << 14
 _COLUMNS = 4096
+_COUNT = (1 << 32) - 1
 _SIGNATURES = "row_a long, row_b long, doc_id long, words_a long, words_b long, samples array<int>"
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64) % WORD_BUCKETS
+def _cells(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each shingle in both rows of the sketch."""
+    spread = mixed(shingle)
+    return (spread >> np.uint64(48)).astype(np.int64), (spread >> np.uint64(32) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, shingle hash and count of each distinct shingle, ordered by text and hash.
+
+    A text of fewer than five words is one shingle.
+    """
+    hashes, counts = words.hashes(), np.diff(words.starts)
+    text, shingle = [], []
+    for size in range(1, SHINGLE + 1):
+        runs = run_hashes(hashes, size)
+        owner = np.repeat(np.arange(len(counts)), counts)[: len(runs)]
+        fits = np.arange(len(runs)) + size <= words.starts[owner + 1]
+        at = np.flatnonzero(fits & ((counts[owner] == size) | (size == SHINGLE)))
+        text.append(owner[at])
+        shingle.append(runs[at])
+    text, shingle = np.concatenate(text), np.concatenate(shingle)
+    order = np.lexsort((shingle, text))
+    text, shingle = text[order], shingle[order]
+    first = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])) if len(text) else [])
+    return text[first], shingle[first], np.diff(np.append(first, len(text)))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of the task's documents hold a word of each bucket; bucket -1 counts documents."""
-    total, docs = np.zeros(WORD_BUCKETS, np.int64), 0
+    """How many of the task's documents hold a shingle of each cell; cell -1 counts documents."""
+    total, docs = np.zeros(2 * CELLS, np.int64), 0
     for batch in batches:
         for rows in slices(batch):
-            words = Words(rows.column("text"), lower=True)
-            text = np.repeat(np.arange(rows.num_rows), np.diff(words.starts))
-            pairs = np.unique(text * WORD_BUCKETS + _bucket(words.hashes()))
-            total += np.bincount(pairs % WORD_BUCKETS, minlength=WORD_BUCKETS)
+            _, shingle, _ = _shingles(Words(rows.column("text"), lower=True))
+            one, two = _cells(shingle)
+            total += np.bincount(np.concatenate([one, CELLS + two]), minlength=2 * CELLS)
             docs += rows.num_rows
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(used, -1)), pa.array(np.append(total[used], docs))], names=["bucket", "n"]
+        [pa.array(np.append(used, -1)), pa.array(np.append(total[used], docs))], names=["cell", "n"]
     )
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log2(1 + documents / documents with the bucket) of each word bucket, over all documents.
+    """log2(1 + documents / documents counted in the cell) of both rows of cells, over all documents.
 
-    The driver holds ``WORD_BUCKETS`` numbers, whatever the size of the table.
+    The driver holds ``2 * CELLS`` numbers, whatever the size of the table.
     """
-    counts = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = {row["bucket"]: row["n"] for row in counts.collect()}
-    total = found.pop(-1, 0)
-    weight = np.full(WORD_BUCKETS, np.log2(2.0 + total))
-    if found:
-        places = np.fromiter(found.keys(), np.int64)
-        weight[places] = np.log2(1 + total / np.fromiter(found.values(), np.float64))
-    return weight.astype(np.float32)
+    counts = docs.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()
+    cell, n = found["cell"].to_numpy(), found["n"].to_numpy()
+    total = int(n[cell < 0].sum())
+    held = np.ones(2 * CELLS)
+    held[cell[cell >= 0]] = n[cell >= 0]
+    return np.log2(1 + total / held).astype(np.float32).reshape(2, CELLS)
 
 
-def _features(words: Words, hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, shingle hash and weight level of each distinct shingle, ordered by text and hash.
-
-    A text of fewer than five words is one shingle.
-    """
-    counts = np.diff(words.starts)
-    weight = np.append(0.0, np.cumsum(idf[_bucket(hashes)], dtype=np.float64))
-    text, shingle, mean = [], [], []
-    for size in range(1, SHINGLE + 1):
-        runs = run_hashes(hashes, size)
-        owner = np.repeat(np.arange(len(counts)), counts)[: len(runs)]
-        fits = np.arange(len(runs)) + size <= words.starts[owner + 1]
-        at = np.flatnonzero(fits & ((counts[owner] == size) | (size == SHINGLE)))
-        text.append(owner[at])
-        shingle.append(runs[at])
-        mean.append((weight[at + size] - weight[at]) / size)
-    text, shingle, mean = np.concatenate(text), np.concatenate(shingle), np.concatenate(mean)
-    order = np.lexsort((shingle, text))
-    text, shingle, mean = text[order], shingle[order], mean[order]
-    first = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])) if len(text) else [])
-    times = np.diff(np.append(first, len(text)))
-    level = np.rint(2 * np.log2(np.maximum(times * mean[first], 1e-9)))
-    return text[first], shingle[first], np.clip(level, 0, _LEVELS - 1).astype(np.int32)
+def _idf(shingle: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The inverse document frequency of each shingle; at least a positive number."""
+    one, two = _cells(shingle)
+    return np.maximum(np.maximum(idf[0][one], idf[1][two]), 1e-6).astype(np.float64)
 
 
 @lru_cache(maxsize=1)
-def _factors() -> np.ndarray:
-    """An odd number for each sample."""
-    random = np.random.Generator(np.random.PCG64(20240229))
-    return (random.integers(0, 1 << 62, SAMPLES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-def _samples(text: np.ndarray, shingle: np.ndarray, level: np.ndarray, texts: int) -> np.ndarray:
+def _randoms() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A seed for each sample; r, 1 / r and log(c) by 16 random bits, r and c from Gamma(2, 1)."""
+    seeds = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, SAMPLES).astype(np.uint64)
+    chance = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    low, high = np.zeros(len(chance)), np.full(len(chance), 64.0)
+    for _ in range(60):  # the chance of at most x is 1 - (1 + x) exp(-x)
+        middle = (low + high) / 2
+        less = 1 - (1 + middle) * np.exp(-middle) < chance
+        low, high = np.where(less, middle, low), np.where(less, high, middle)
+    return seeds, high.astype(np.float32), (1 / high).astype(np.float32), np.log(high).astype(np.float32)
+
+
+def _samples(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
     """The samples of each text (zeros for texts without shingles).
 
-    A weight is the sum of its steps from level to level, and each step of each shingle has an
-    exponential arrival of its own, whose rate is the step's height. The step that comes first
-    is the sample: two texts share it with a probability of their weighted Jaccard similarity.
-    Steps of one height come in the order of a hash, so only the first of them needs a logarithm.
+    With r and c from Gamma(2, 1) and b from U(0, 1), all from a hash of shingle and sample,
+    t = floor(ln(weight) / r + b) and the arrival is ln(c) - r (t - b + 1); the sample is the
+    shingle that arrives first, and its t.
     """
     result = np.zeros((texts, SAMPLES), np.int32)
-    factors = _factors()
-    best = np.full((texts, SAMPLES), np.inf)
-    for step in range(int(level.max()) + 1 if len(level) else 0):
-        reach = np.flatnonzero(level >= step)
-        lows = np.full((texts, SAMPLES), np.uint64(2**64 - 1))
-        seed = mixed(np.array([step + 1], np.uint64) * MULTIPLIER)[0]
-        for at in range(0, len(reach), _CHUNK):
-            part = reach[at : at + _CHUNK]
-            owner = text[part]
-            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            hashes, product = mixed(shingle[part] ^ seed), np.empty(len(part), np.uint64)
-            for k in range(SAMPLES):
-                with np.errstate(over="ignore"):
-                    np.multiply(hashes, factors[k], out=product)
-                rows = owner[heads]
-                lows[rows, k] = np.minimum(lows[rows, k], np.minimum.reduceat(product, heads))
-        own = np.unique(text[reach])
-        height = 2 ** (step / 2) - (2 ** ((step - 1) / 2) if step else 0)
-        low = lows[own]
-        arrival = -np.log1p(-np.minimum((low.astype(np.float64) + 0.5) / 2.0**64, 1 - 2.0**-53)) / height
-        with np.errstate(over="ignore"):
-            value = mixed(low + seed).view(np.int64).astype(np.int32)
-        sooner = arrival < best[own]
-        best[own] = np.where(sooner, arrival, best[own])
-        result[own] = np.where(sooner, value, result[own])
+    best = np.full((texts, SAMPLES), np.inf, np.float32)
+    seeds, gamma, inverse, log_gamma = _randoms()
+    height = np.log(weight).astype(np.float32)
+    for at in range(0, len(text), _CHUNK):
+        part = slice(at, at + _CHUNK)
+        owner, own, log_weight = text[part], shingle[part], height[part]
+        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        sizes, rows = np.diff(np.append(heads, len(owner))), owner[heads]
+        for k in range(SAMPLES):
+            bits = mixed(own ^ seeds[k]).view(np.uint16).reshape(-1, 4)
+            which = bits[:, 0].astype(np.intp)
+            r, b = gamma[which], (bits[:, 1] + np.float32(0.5)) * np.float32(2.0**-16)
+            t = np.floor(log_weight * inverse[which] + b)
+            arrival = log_gamma[bits[:, 2].astype(np.intp)] - r * (t - b + np.float32(1))
+            lows = np.minimum.reduceat(arrival, heads)
+            first = np.flatnonzero(arrival == np.repeat(lows, sizes))
+            if len(first) > len(heads):  # of equal arrivals the first
+                first = first[np.append(True, owner[first][1:] != owner[first][:-1])]
+            with np.errstate(over="ignore"):
+                value = mixed(own[first] + t[first].astype(np.int64).view(np.uint64) * MULTIPLIER)
+            sooner = lows < best[rows, k]
+            best[rows[sooner], k] = lows[sooner]
+            result[rows[sooner], k] = value[sooner].view(np.int64).astype(np.int32)
     return result
 
 
@@ -157,7 +172,8 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Rec
             words = Words(rows.column("text"), lower=True)
             hashes = words.hashes()
             counts = np.diff(words.starts)
-            samples = _samples(*_features(words, hashes, idf), rows.num_rows)
+            text, shingle, times = _shingles(words)
+            samples = _samples(text, shingle, times * _idf(shingle, idf), rows.num_rows)
             digests = []
             for seed in (3, 5):  # sums over words, each mixed with its place in the text
                 place = np.arange(len(hashes)) - np.repeat(words.starts[:-1], counts)
@@ -178,8 +194,8 @@ def _sign(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Rec
 
 def _weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = Words(pa.array([text]), lower=True)
-    _, shingle, level = _features(words, words.hashes(), idf)
-    return shingle, np.exp2(level / 2)
+    _, shingle, times = _shingles(words)
+    return shingle, times * _idf(shingle, idf)
 
 
 def similarity(a: str, b: str, idf: np.ndarray) -> float:
@@ -204,16 +220,15 @@ def _verify(batches: Iterator[pa.RecordBatch], idf: np.ndarray, threshold: float
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, label: str) -> DataFrame:
     """The pairs (u, v) of classes whose texts reach the threshold."""
     side = lambda c: texts.select(F.col("class_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
+    both = pairs.hint("merge").join(side("u"), "u").hint("merge").join(side("v"), "v").select("u", "v", "text_u", "text_v")
     return settled(both.mapInArrow(partial(_verify, idf=idf, threshold=threshold), "u long, v long"), label)
 
 
-def _featured(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Shingles (64-bit) and weight levels (8-bit) of each class, as bytes, and how many there are."""
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles (64-bit) and their counts (32-bit) of each class, as bytes, and how many there are."""
     for batch in batches:
         for rows in slices(batch):
-            words = Words(rows.column("text"), lower=True)
-            text, shingle, level = _features(words, words.hashes(), idf)
+            text, shingle, times = _shingles(Words(rows.column("text"), lower=True))
             ends = np.searchsorted(text, np.arange(rows.num_rows + 1))
             spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -221,67 +236,74 @@ def _featured(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa
                     rows.column("class_id"),
                     pa.array(np.diff(ends), pa.int64()),
                     pa.array([shingle[x:y].tobytes() for x, y in spans], pa.binary()),
-                    pa.array([level[x:y].astype(np.uint8).tobytes() for x, y in spans], pa.binary()),
+                    pa.array([times[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary()),
                 ],
-                names=["class_id", "n", "shingles", "levels"],
+                names=["class_id", "n", "shingles", "counts"],
             )
 
 
 class _Block:
     """Classes of a bucket with their shingles: arrays over all shingles, and over classes."""
 
-    def __init__(self, members: list[dict]):
+    def __init__(self, members: list[dict], idf: np.ndarray):
         self.ids = np.array([m["class_id"] for m in members], np.int64)
         self.component = np.array([m["component"] for m in members], np.int64)
         self.shingle = np.frombuffer(b"".join(m["shingles"] for m in members), np.uint64)
-        self.level = np.frombuffer(b"".join(m["levels"] for m in members), np.uint8).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(members)), [len(m["levels"]) for m in members])
-        self.total = np.bincount(self.owner, np.exp2(self.level / 2), len(members))
+        self.count = np.frombuffer(b"".join(m["counts"] for m in members), "<u4").astype(np.int64)
+        self.owner = np.repeat(np.arange(len(members)), [len(m["counts"]) // 4 for m in members])
+        self.total = np.bincount(self.owner, self.count * _idf(self.shingle, idf), len(members))
 
 
-def _shared_weight(x: _Block, y: _Block) -> np.ndarray:
+def _shared_weight(x: _Block, y: _Block, idf: np.ndarray) -> np.ndarray:
     """The sum of the smaller weights over the shingles that two classes share, for all pairs of classes.
 
-    A weight is the sum of its steps above the next lower weight that the shingle has in the two
-    blocks, and a smaller weight the sum of the steps that both reach: a product of matrices.
+    The counts that a shingle has in the two blocks are steps; a weight is the sum of those up
+    to the class's count, and a smaller weight that of the steps both reach: a product of
+    matrices with a row for each class and a column for each step.
     """
     both = np.intersect1d(x.shingle, y.shingle)
     result = np.zeros((len(x.ids), len(y.ids)))
+    if not len(both):
+        return result
     sides = []
     for block in (x, y):
-        place = np.minimum(np.searchsorted(both, block.shingle), max(len(both) - 1, 0))
-        known = both[place] == block.shingle if len(both) else np.zeros(len(place), bool)
-        sides.append((block.owner[known], place[known] * _LEVELS + block.level[known]))
-    steps = np.unique(np.concatenate([sides[0][1], sides[1][1]]))
-    weight = np.exp2((steps % _LEVELS) / 2)
-    new = np.append(True, steps[1:] // _LEVELS != steps[:-1] // _LEVELS) if len(steps) else np.zeros(0, bool)
-    weight[~new] -= np.exp2((steps[np.flatnonzero(~new) - 1] % _LEVELS) / 2)
-    cells = []
+        place = np.minimum(np.searchsorted(both, block.shingle), len(both) - 1)
+        known = both[place] == block.shingle
+        code = place[known] << 32 | block.count[known]
+        order = np.argsort(code, kind="stable")
+        sides.append((block.owner[known][order], code[order]))
+    steps = np.unique(np.concatenate([code for _, code in sides]))
+    place, count = steps >> 32, steps & _COUNT
+    before = np.append(0, np.where(place[1:] == place[:-1], count[:-1], 0))
+    weight = _idf(both, idf)[place] * (count - before)
+    spans = []
     for owner, code in sides:
-        first = np.searchsorted(steps, code // _LEVELS * _LEVELS)
-        reached = np.searchsorted(steps, code, side="right") - first
-        column, row = gathered(first, reached), np.repeat(owner, reached)
-        order = np.argsort(column, kind="stable")
-        cells.append((row[order], column[order]))
+        last = np.searchsorted(steps, code)
+        spans.append((owner, np.searchsorted(place, code >> 32), last))
     for low in range(0, len(steps), _COLUMNS):
+        high = min(low + _COLUMNS, len(steps))
         dense = []
-        for (row, column), block in zip(cells, (x, y), strict=True):
-            start, end = np.searchsorted(column, [low, low + _COLUMNS])
-            matrix = np.zeros((len(block.ids), min(_COLUMNS, len(steps) - low)))
-            matrix[row[start:end], column[start:end] - low] = 1
+        for (owner, first, last), block in zip(spans, (x, y), strict=True):
+            within = slice(np.searchsorted(last, low), np.searchsorted(first, high))
+            begin = np.maximum(first[within], low) - low
+            size = np.minimum(last[within], high - 1) - low - begin + 1
+            matrix = np.zeros((len(block.ids), high - low))
+            matrix[np.repeat(owner[within], size), gathered(begin, size)] = 1
             dense.append(matrix)
-        result += (dense[0] * weight[low : low + _COLUMNS]) @ dense[1].T
+        result += (dense[0] * weight[low:high]) @ dense[1].T
     return result
 
 
-def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], idf: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """Star links between the components in two blocks of a bucket, every pair of classes compared."""
     for batch in batches:
         for part in range(batch.num_rows):
             row = batch.slice(part, 1).to_pylist()[0]
-            pieces = [[_Block(m[k : k + PIECE_MEMBERS]) for k in range(0, len(m), PIECE_MEMBERS)] for m in (row["x"], row["y"])]
+            pieces = [
+                [_Block(m[k : k + PIECE_MEMBERS], idf) for k in range(0, len(m), PIECE_MEMBERS)] for m in (row["x"], row["y"])
+            ]
             for x, y in product(*pieces):
-                shared = _shared_weight(x, y)
+                shared = _shared_weight(x, y, idf)
                 linked = shared >= threshold * (x.total[:, None] + y.total[None, :] - shared)
                 linked &= x.component[:, None] != y.component[None, :]
                 if not linked.any():
@@ -311,10 +333,11 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarr
         "open-buckets",
     )
     opened = settled(labelled.join(several, "bucket"), "open-members")
+    discard(labelled, several)
     wanted = settled(opened.select("class_id").distinct(), "open-classes")
     features = settled(
-        texts.join(wanted, "class_id").mapInArrow(
-            partial(_featured, idf=idf), "class_id long, n long, shingles binary, levels binary"
+        texts.join(wanted.hint("merge"), "class_id").mapInArrow(
+            _featured, "class_id long, n long, shingles binary, counts binary"
         ),
         "open-features",
     )
@@ -332,25 +355,28 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarr
 
     sizes = settled(sized.select("bucket", count("n"), count("n_minor")), "open-sizes")
     full = settled(opened.join(sizes, "bucket").withColumn("minor", minor).drop("major"), "sized-members")
-    member = F.struct("class_id", "component", "shingles", "levels")
+    member = F.struct("class_id", "component", "shingles", "counts")
 
     def blocks(rows: DataFrame, count: str) -> DataFrame:
         """Members with their shingles, gathered by a hash into blocks of about the same size."""
         number = F.pmod(F.xxhash64("class_id", "bucket"), F.col(count)).cast("int")
-        keyed = rows.join(features, "class_id").withColumn("block", number)
+        keyed = rows.hint("merge").join(features, "class_id").withColumn("block", number)
         return keyed.groupBy("bucket", "block", "n_blocks").agg(F.collect_list(member).alias("members"))
 
     left = blocks(full.where("minor"), "n_minor_blocks").select(
         "bucket", F.col("members").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")
     )
     right = blocks(full, "n_blocks").select("bucket", "block", F.col("members").alias("y"))
-    pairs = left.join(right, ["bucket", "block"]).select("x", "y")
-    return settled(pairs.mapInArrow(partial(_linked, threshold=threshold), "u long, v long").distinct(), "other-links")
+    pairs = left.hint("merge").join(right, ["bucket", "block"]).select("x", "y")
+    compare = partial(_linked, idf=idf, threshold=threshold)
+    links = settled(pairs.mapInArrow(compare, "u long, v long").distinct(), "other-links")
+    discard(opened, wanted, features, sizes, full)
+    return links
 
 
-def _row_keys() -> list:
+def _row_keys(a: str = "row_a", b: str = "row_b") -> list[Column]:
     values = [F.col("doc_id").cast("long"), F.col("text")]
-    return [F.xxhash64(*values).alias("row_a"), F.xxhash64(F.lit("row"), *values).alias("row_b")]
+    return [F.xxhash64(*values).alias(a), F.xxhash64(F.lit("row"), *values).alias(b)]
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -362,19 +388,22 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_id, and of different texts under that id one. ``row_a`` and ``row_b`` hash doc_id and
     text; equal rows have equal hashes and are all keepers or none. Words are runs of anything
     but the blank and bytes 9 to 13; texts with fewer than five are one shingle, and texts
-    without words (null, empty, blank) link with nothing. An empty table gives no rows.
+    without words (null, empty, blank) link with nothing. Texts of any length are compared whole.
+    An empty table gives no rows.
     """
     texts = docs.select(*_row_keys(), F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = inverse_frequencies(texts)
-    signed = settled(texts.mapInArrow(partial(_sign, idf=idf), _SIGNATURES), "signatures")
+    signatures = settled(texts.mapInArrow(partial(_sign, idf=idf), _SIGNATURES), "signatures")
+    signed = settled(signatures.drop("samples"), "signed-rows")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b")
     classes = settled(
-        signed.where("words_a is not null")
+        signatures.where("words_a is not null")
         .groupBy("words_a", "words_b")
         .agg(F.min(order).alias("low"), F.first("samples").alias("samples"))
         .withColumn("class_id", F.monotonically_increasing_id()),
         "word-classes",
     )
+    discard(signatures)
     bands = [
         F.xxhash64(F.lit(b), *[F.col("samples")[b * BAND_ROWS + i] for i in range(BAND_ROWS)]) for b in range(BANDS)
     ]
@@ -391,6 +420,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         members.where("class_id != leader").select(F.col("class_id").alias("u"), F.col("leader").alias("v")).distinct(),
         "leader-pairs",
     )
+    discard(shared)
     wanted = settled(
         members.select("class_id")
         .distinct()
@@ -400,27 +430,33 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     candidates = settled(
         texts.select("row_a", "row_b", "text")
-        .join(wanted, ["row_a", "row_b"])
+        .join(wanted.hint("merge"), ["row_a", "row_b"])
         .groupBy("row_a", "row_b", "class_id")
         .agg(F.first("text").alias("text"))
         .select("class_id", "text"),
         "candidate-texts",
     )
-    links = _verified(pairs, candidates, idf, threshold, "leader-links")
-    labels = settled(components(links), "leader-components")
-    links = links.unionByName(_rest(members, labels, candidates, idf, threshold))
-    labels = settled(components(links), "components")
+    discard(wanted)
+    first = _verified(pairs, candidates, idf, threshold, "leader-links")
+    discard(pairs)
+    labels = settled(components(first), "leader-components")
+    others = _rest(members, labels, candidates, idf, threshold)
+    discard(members, labels, candidates)
+    labels = settled(components(first.unionByName(others)), "components")
+    discard(first, others)
 
     named = classes.join(labels, F.col("class_id") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "class_id")
     )
     named = settled(named.select("component", "words_a", "words_b", "low"), "named-classes")
+    discard(classes, labels)
     lows = settled(named.groupBy("component").agg(F.min("low").alias("first")), "class-lows")
     results = settled(
         named.join(lows, "component").select("words_a", "words_b", "first"),
         "class-results",
     )
-    found = signed.drop("samples").join(results, ["words_a", "words_b"], "left")
+    discard(named, lows)
+    found = signed.join(results, ["words_a", "words_b"], "left")
     alone = F.col("first").isNull()
     keeps = (F.col("row_a") == F.col("first.row_a")) & (F.col("row_b") == F.col("first.row_b"))
     return found.select(
@@ -435,15 +471,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class of near-equal documents, all columns unchanged.
 
-    Documents without words all stay. Of equal rows in a class one stays.
+    Documents without words (null, empty, blank) all stay. Of equal rows of a class one stays, of
+    rows equal in doc_id and text that differ elsewhere any one; a class whose doc_ids are all null
+    keeps one row too. Texts of any length are compared whole; columns of any names are kept; an
+    empty table gives no rows.
     """
-    a, b, nth = (free_name(n, docs.columns) for n in ("row_a", "row_b", "nth"))
+    a, b, whole = (free_name(n, docs.columns) for n in ("row_a", "row_b", "whole"))
     keep = settled(
         near_classes(docs, threshold).where("keeper").select(F.col("row_a").alias(a), F.col("row_b").alias(b)).distinct(),
         "kept-rows",
     )
-    keyed = docs.withColumns(dict(zip((a, b), _row_keys(), strict=True)))
-    number = F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     wordless = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\v\f\r")) == ""
-    rows = keyed.join(keep, [a, b]).withColumn(nth, number).where((F.col(nth) == 1) | wordless)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.where(~wordless).select(*_row_keys(a, b), F.struct(*columns).alias(whole))
+    # one of the equal rows, taken before the shuffle where they stand together
+    single = keyed.groupBy(a, b).agg(F.first(whole).alias(whole))
+    kept = single.join(keep.hint("merge"), [a, b]).select(*[F.col(f"`{whole}`.`{c}`") for c in docs.columns])
+    return kept.unionAll(docs.where(wordless))
