@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from zonalpanel.operators import columns as C
 from zonalpanel.operators import pixels as X
+from zonalpanel.operators import quadtree as Q
 from zonalpanel.operators import spatial as S
 from zonalpanel.operators import surface as U
 from zonalpanel.sources import zones as Z
@@ -80,20 +81,36 @@ def test_join_against_brute_force(spark, cell, broadcast):
 
 
 def test_inner_cells_carry_no_edges(spark):
-    cells = S.zone_cells(layer(spark, [(1, [[(0, 0), (10, 0), (10, 10), (0, 10)]])]), [1.0])
-    inside = cells.where("_inside")
-    assert inside.count() == 81  # a cell row or column is left out where the outline runs along it
+    tree = Q.build(layer(spark, [(1, [[(0, 0), (10, 0), (10, 10), (0, 10)]])]), cell=1.0)
+    inside = tree.leaves.where("_inside")
+    assert inside.count() == 64  # the outline touches the cells on both of its sides
     assert inside.where("_edges is not null").count() == 0
 
 
+@pytest.mark.parametrize(("cell", "leaf_vertices"), [(8.0, 1), (64.0, 3), (None, 1)])
+def test_cut_cells_against_brute_force(spark, monkeypatch, cell, leaf_vertices):
+    """Small leaves, so that cells are cut more than once, with points and corners on edges and vertices."""
+    monkeypatch.setattr(Q, "build", lambda *a, real=Q.build: real(*a, leaf_vertices=leaf_vertices))
+    rng = np.random.default_rng(leaf_vertices)
+    zones = [(z, [star(rng, *rng.uniform(-6, 6, 2), 5, 25), star(rng, *rng.uniform(-6, 6, 2), 1, 5)]) for z in range(8)]
+    zones += [(20, [NOTCHED]), (21, [[(-8, -8), (8, -8), (8, 8), (-8, 8)]]), (22, [[(1, 1), (1, 1)]])]
+    zones += [(23, [[(0, 0), (3, 0), (3, 1), (6, 1), (6, 0), (7, 0), (7, 3), (0, 3)]])]
+    points = [(x / 4, y / 4) for x in range(-36, 37) for y in range(-36, 37)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i int, x double, y double")
+    want = {(i, z) for i, (x, y) in enumerate(points) for z, rings in zones if touches(rings, x, y)}
+    got = [(r.i, r.zone_id) for r in S.spatial_join_points(df, layer(spark, zones), cell).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    clipped = sorted(r.i for r in S.clip_to_zones(df, layer(spark, zones), cell).collect())
+    assert clipped == sorted({i for i, _ in want})
+
+
 def test_one_huge_zone_does_not_multiply_cells(spark):
-    """Zones of very different size fall into classes; points still meet all of them once."""
+    """Zones of very different size have leaves of their own size; points still meet all of them once."""
     small = [(i, [[(i, 0), (i + 1, 0), (i + 1, 1), (i, 1)]]) for i in range(20)]
     huge = (100, [[(-40000, -40000), (40000, -40000), (0, 60000)]])
     zones = layer(spark, [*small, huge, (101, [[(3, 3), (3, 3), (3, 3)]])])
-    sizes = S.cell_sizes(S._size_histogram(zones))
-    assert len(sizes) == 2 and sizes == sorted(sizes, reverse=True)
-    assert S.zone_cells(zones, sizes).count() < 22 * 20 * 20
+    tree = Q.build(zones)
+    assert tree.cut is not None and tree.leaves.count() < 10_000
     points = [(x / 2, y / 2) for x in range(-4, 46) for y in range(-3, 9)] + [(-30000.0, -39000.0), (0.0, 59999.0), (39999.0, 0.0)]
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i int, x double, y double")
     every = [*small, huge, (101, [[(3, 3), (3, 3), (3, 3)]])]
@@ -214,8 +231,8 @@ def test_many_zones_with_one_crowded_spot(spark):
     placed = S.spatial_join_points(points, zones, part_points=500)
     counts = {r["zone_id"]: r["count"] for r in placed.groupBy("zone_id").count().collect()}
     assert counts.pop(20 * 75 + 10) == 20_001 and len(counts) == 5624 and set(counts.values()) == {1}
-    cells = S._point_cells(points, [1.0], [0], "x", "y")
-    parts = S._salted_points(cells, S._crowds(cells, 500)).where("_px = 10 and _py = 20").groupBy("_salt").count().collect()
+    placed = S._located(points, Q.build(zones, cell=1.0), "x", "y")
+    parts = S._salted_points(placed, S._crowds(placed, 500)).where("_px = 10 and _py = 20").groupBy("_salt").count().collect()
     assert len(parts) == 41 and max(p["count"] for p in parts) < 1000
     assert S.clip_to_zones(points, zones, part_points=500).count() == 25_625
 
@@ -227,5 +244,40 @@ def test_polygon_with_very_many_vertices(spark):
     rng = np.random.default_rng(0)
     spots = rng.uniform(-1.2, 1.2, (300, 2))
     points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "i int, x double, y double")
+    tree = Q.build(zones)
+    most = tree.leaves.agg(F.max(F.size("_edges")), F.count_if("_inside"), F.count("*")).first()
+    assert most[0] <= 64 and most[1] > 2000 and most[2] < 100_000
     inside = {r.i for r in S.spatial_join_points(points, zones).collect()}
     assert inside == {i for i, (x, y) in enumerate(spots) if np.hypot(x, y) < 1}
+
+
+def test_plan_of_clip_joins_pixels_once(spark):
+    """Zones in four size classes: one join of the pixels with the leaves, of any level."""
+    rng = np.random.default_rng(4)
+    zones = []
+    for i in range(5000):
+        side = [0.01, 0.4, 9.0, 300.0][i % 4 if i % 400 else 3] if i % 4 < 3 or i % 400 == 3 else 0.4
+        x, y = rng.uniform(0, 1000, 2)
+        zones.append((i, _square(x, y, side)))
+    table = spark.createDataFrame(zones, "zone_id int, rings array<array<struct<x:double,y:double>>>")
+    spots = rng.uniform(0, 1300, (2000, 2))
+    pixels = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "i int, x double, y double")
+    clipped = S.clip_to_zones(pixels, table)
+    plan = clipped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "LeftSemi" not in plan and "LeftAnti" in plan
+    corners = np.array([[r[0][0]["x"], r[0][0]["y"], r[0][2]["x"], r[0][2]["y"]] for _, r in zones])
+    want = [i for i, (x, y) in enumerate(spots) if ((corners[:, 0] <= x) & (corners[:, 1] <= y) & (x <= corners[:, 2]) & (y <= corners[:, 3])).any()]
+    assert sorted(r.i for r in clipped.collect()) == want and 0 < len(want) < 2000
+
+
+def test_many_zones_with_one_outline(spark):
+    """The same vertices over and over do not cut cells."""
+    rng = np.random.default_rng(6)
+    ring = star(rng, 0, 0, 50, 200)
+    zones = layer(spark, [(i, [ring]) for i in range(100)])
+    tree = Q.build(zones)
+    assert tree.cut is None and tree.leaves.count() <= 100 * 66 * 66
+    points = [(x / 2, y / 2) for x in range(-9, 10) for y in range(-9, 10)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i int, x double, y double")
+    inside = sum(touches([ring], x, y) for x, y in points)
+    assert S.spatial_join_points(df, zones).count() == 100 * inside

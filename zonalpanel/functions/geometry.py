@@ -25,34 +25,15 @@ def polygon_edges_sql(rings: str) -> str:
     return f"flatten(transform({rings}, r -> {ring_edges_sql('r')}))"
 
 
-def _side(px: str, py: str) -> str:
-    """Twice the signed area of (edge start, edge end, point); 0 on the edge's line."""
-    return f"((e.x2 - e.x1) * ({py} - e.y1) - ({px} - e.x1) * (e.y2 - e.y1))"
-
-
-def even_odd(edges: str, px: str, py: str) -> Column:
-    """Whether a ray from the point to the right crosses an odd number of edges."""
-    crossed = (
-        f"filter({edges}, e -> (e.y1 > {py}) != (e.y2 > {py}) "
-        f"and ({_side(px, py)} > 0) = (e.y2 > e.y1))"
-    )
-    return F.expr(f"size({crossed}) % 2 = 1")
-
-
-def on_edge(edges: str, px: str, py: str) -> Column:
+def on_edge_sql(edges: str, px: str, py: str) -> str:
     """Whether the point lies on some edge."""
-    return F.expr(
-        f"exists({edges}, e -> {_side(px, py)} = 0 "
-        f"and {px} between least(e.x1, e.x2) and greatest(e.x1, e.x2) "
+    side = f"((e.x2 - e.x1) * ({py} - e.y1) - ({px} - e.x1) * (e.y2 - e.y1))"
+    return (
+        f"exists({edges}, e -> {side} = 0 and {px} between least(e.x1, e.x2) and greatest(e.x1, e.x2) "
         f"and {py} between least(e.y1, e.y2) and greatest(e.y1, e.y2))"
     )
 
 
-def touches(edges: str, px: str, py: str) -> Column:
-    """Point inside the polygon or on its boundary (holes by the even-odd rule)."""
-    return even_odd(edges, px, py) | on_edge(edges, px, py)
-
-
 def signed_area2_sql(ring: str) -> str:
     """Twice the signed area of a ring; positive when it runs counter-clockwise."""
     return (

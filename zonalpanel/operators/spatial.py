@@ -1,148 +1,35 @@
 """Point-in-polygon joins, centroids, nearest donors, grids.
 
-The layer is cut into square cells. A cell row carries only the polygon edges its
-points can see (edges in the cell's band that are not wholly to its left), or none at
-all when the cell lies inside the polygon, so matching is an equi-join on the cell
-followed by a short test.
+The layer is a quadtree over its edges. A leaf's row for a zone carries only the edges that
+touch the leaf, or none at all when the leaf lies inside the polygon, so matching is an
+equi-join on the leaf followed by a short test.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, projection
 from ..session import written
+from . import quadtree
 
-# Points of a cell that one part takes. A cell with more is split into as many parts as its
+# Points of a leaf that one part takes. A leaf with more is split into as many parts as its
 # points need, and only then are its rows copied.
 PART_POINTS = 100_000
 
-# A size class of zones spans this factor (a power of two), and so many cells at most lie
-# along a zone.
-CLASS_SPAN = 16
-
 # Halvings of the layer's extent tried by the nearest-donor search.
 DONOR_LEVELS = 16
 
 
-def _side_sql() -> str:
-    """Longer side of a zone's bounding box."""
-    spans = [
-        f"array_max(transform(flatten(rings), v -> v.{c})) - array_min(transform(flatten(rings), v -> v.{c}))"
-        for c in "xy"
-    ]
-    return f"greatest({spans[0]}, {spans[1]})"
-
-
-def _size_histogram(zones: DataFrame) -> dict[int | None, int]:
-    """Zones by power of two of their size: the one small result that reaches the driver."""
-    exponent = F.expr(f"cast(floor(log2({_side_sql()})) as int)").alias("e")
-    return {r["e"]: r["count"] for r in zones.groupBy(exponent).count().collect()}
-
-
-def cell_sizes(histogram: dict[int | None, int]) -> list[float]:
-    """Cell side of each size class of a layer, largest first.
-
-    A class spans a factor of ``CLASS_SPAN`` in zone size and has cells a
-    ``CLASS_SPAN``-th of its upper end, so no zone covers more than about
-    (CLASS_SPAN + 1) squared cells and one huge zone does not dictate the cells of the
-    small ones. Most layers have one class or two.
-    """
-    found = [e for e in histogram if e is not None]
-    if not found:
-        return [1.0]
-    step = CLASS_SPAN.bit_length() - 1
-    classes = {(max(found) - e) // step for e in found}
-    return [2.0 ** (max(found) + 1 - step * (k + 1)) for k in sorted(classes)]
-
-
-def _layout(zones: DataFrame, cell: float | None) -> list[float]:
-    """Cell sizes for a join with the layer."""
-    return [float(cell)] if cell is not None else cell_sizes(_size_histogram(zones))
-
-
-def _class_sql(sizes: Sequence[float]) -> str:
-    """Size class of a zone: the last one whose span it fits."""
-    cases = " ".join(
-        f"when {_side_sql()} >= {size!r}D then {k}" for k, size in enumerate(sizes[:-1])
-    )
-    return f"case {cases} else {len(sizes) - 1} end" if cases else "0"
-
-
-def _size_of_class(sizes: Sequence[float]) -> str:
-    return f"element_at(array({', '.join(f'{s!r}D' for s in sizes)}), _class + 1)"
-
-
-def zone_cells(
-    zones: DataFrame, sizes: Sequence[float], zone: str = "zone_id"
-) -> DataFrame:
-    """Cells touched by each zone: ``zone, _class, _cx, _cy, _inside, _edges``.
-
-    ``_edges`` is NULL for a cell that lies inside the zone.
-    """
-
-    def index(v: str) -> str:
-        return f"floor(({v}) / _size)"
-
-    edges = zones.select(
-        zone,
-        F.expr(_class_sql(sizes)).alias("_class"),
-        F.expr(geometry.polygon_edges_sql("rings")).alias("_all"),
-    ).select("*", F.expr(_size_of_class(sizes)).alias("_size"))
-    boxes = edges.select(
-        "*",
-        *[
-            F.expr(index(f"array_{f}(transform(_all, e -> e.{c}1))")).alias(f"_{c}{n}")
-            for c in "xy"
-            for n, f in enumerate(("min", "max"))
-        ],
-    )
-    # Rows of cells first, with the edges of that row's band; then the cells of the row.
-    bands = boxes.select(
-        zone, "_class", "_size", "_x0", "_x1", "_all", F.expr("explode(sequence(_y0, _y1))").alias("_cy")
-    ).withColumn(
-        "_all",
-        F.expr(
-            f"filter(_all, e -> {index('least(e.y1, e.y2)')} <= _cy "
-            f"and {index('greatest(e.y1, e.y2)')} >= _cy)"
-        ),
-    )
-    cells = bands.select(
-        zone, "_class", "_size", "_cy", "_all", F.expr("explode(sequence(_x0, _x1))").alias("_cx")
-    ).withColumn("_all", F.expr(f"filter(_all, e -> {index('greatest(e.x1, e.x2)')} >= _cx)"))
-    crossed = F.expr(f"exists(_all, e -> {index('least(e.x1, e.x2)')} <= _cx)")
-    middle_in = geometry.even_odd("_all", "((_cx + 0.5D) * _size)", "((_cy + 0.5D) * _size)")
-    return (
-        cells.select("*", crossed.alias("_crossed"), middle_in.alias("_middle"))
-        .where("_crossed or _middle")
-        .select(
-            zone, "_class", "_cx", "_cy", F.expr("not _crossed").alias("_inside"),
-            F.expr("if(_crossed, _all, null)").alias("_edges"),
-        )
-    )
-
-
-def _point_cells(
-    points: DataFrame, sizes: Sequence[float], classes: Sequence[int], x: str, y: str
-) -> DataFrame:
-    """Points with their cell in each of the size classes, and a number that differs between equal points."""
-    located = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+def _located(points: DataFrame, tree: quadtree.Quadtree, x: str, y: str) -> DataFrame:
+    """Points with the cells they may have a leaf in, and a number that differs between equal points."""
+    numbered = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         "*", F.xxhash64(F.monotonically_increasing_id(), x, y).alias("_draw")
     )
-
-    def place(k: int) -> list[str]:
-        return [str(k), f"floor(`{x}` / {sizes[k]!r}D)", f"floor(`{y}` / {sizes[k]!r}D)"]
-
-    names = ["_pclass", "_px", "_py"]
-    if len(classes) == 1:
-        only = zip(place(classes[0]), names)
-        return located.select("*", *[F.expr(e).alias(n) for e, n in only])
-    places = ", ".join(f"struct({', '.join(place(k))})" for k in classes)
-    return located.select("*", F.expr(f"inline(array({places}))").alias(*names))
+    return quadtree.placed(numbered, tree, x, y)
 
 
 def _crowds(placed: DataFrame, part_points: int) -> DataFrame:
@@ -151,38 +38,38 @@ def _crowds(placed: DataFrame, part_points: int) -> DataFrame:
     Counts are aggregated before they are shuffled; the few rows that remain are written, so
     that Catalyst knows their size.
     """
-    counts = placed.groupBy("_pclass", "_px", "_py").agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed.groupBy("_level", "_px", "_py").agg(F.count(F.lit(1)).alias("_n"))
     parts = F.ceil(F.col("_n") / part_points).cast("int").alias("_parts")
     crowded = counts.where(F.col("_n") > part_points).select(
-        F.col("_pclass").alias("_gclass"), F.col("_px").alias("_gx"), F.col("_py").alias("_gy"), parts
+        F.col("_level").alias("_glevel"), F.col("_px").alias("_gx"), F.col("_py").alias("_gy"), parts
     )
     return written(crowded, "crowded-cells")
 
 
-def _in_crowd(df: DataFrame, crowds: DataFrame, kind: str, cx: str, cy: str) -> DataFrame:
-    same = (df[kind] == crowds["_gclass"]) & (df[cx] == crowds["_gx"]) & (df[cy] == crowds["_gy"])
-    return df.join(crowds, same, "left").drop("_gclass", "_gx", "_gy")
+def _in_crowd(df: DataFrame, crowds: DataFrame, cx: str, cy: str) -> DataFrame:
+    same = (df["_level"] == crowds["_glevel"]) & (df[cx] == crowds["_gx"]) & (df[cy] == crowds["_gy"])
+    return df.join(crowds, same, "left").drop("_glevel", "_gx", "_gy")
 
 
 def _salted_points(placed: DataFrame, crowds: DataFrame) -> DataFrame:
     """Points with their part of a crowded cell, 0 in all other cells."""
     part = F.pmod("_draw", F.coalesce("_parts", F.lit(1))).cast("int")
-    return _in_crowd(placed, crowds, "_pclass", "_px", "_py").withColumn("_salt", part).drop("_draw", "_parts")
+    return _in_crowd(placed, crowds, "_px", "_py").withColumn("_salt", part).drop("_draw", "_parts")
 
 
-def _salted_cells(cells: DataFrame, crowds: DataFrame) -> DataFrame:
-    """Cell rows, once for each part of their cell."""
+def _salted_leaves(leaves: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Leaf rows, once for each part of their cell."""
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    return _in_crowd(cells, crowds, "_class", "_cx", "_cy").withColumn("_zsalt", copies).drop("_parts")
+    salted = _in_crowd(leaves, crowds, "_cx", "_cy").withColumn("_zsalt", copies).drop("_parts")
+    return salted.withColumnRenamed("_level", "_zlevel")
 
 
-def _match(points: DataFrame, cells: DataFrame, x: str, y: str) -> Column:
+def _same_leaf(points: DataFrame, leaves: DataFrame) -> Column:
     return (
-        (points["_pclass"] == cells["_class"])
-        & (points["_px"] == cells["_cx"])
-        & (points["_py"] == cells["_cy"])
-        & (points["_salt"] == cells["_zsalt"])
-        & (cells["_inside"] | geometry.touches("_edges", f"`{x}`", f"`{y}`"))
+        (points["_level"] == leaves["_zlevel"])
+        & (points["_px"] == leaves["_cx"])
+        & (points["_py"] == leaves["_cy"])
+        & (points["_salt"] == leaves["_zsalt"])
     )
 
 
@@ -197,16 +84,17 @@ def spatial_join_points(
 ) -> DataFrame:
     """Points with the zone they touch, inner; a shared boundary matches every zone on it.
 
-    Points of a cell with more than ``part_points`` of them are spread over parts, equal
-    points too; a small job counts the points of each cell first. Another one looks at the
-    sizes of the zones, unless ``cell`` is given.
+    Points of a leaf with more than ``part_points`` of them are spread over parts, equal
+    points too; a small job counts the points of each leaf first. Others build the quadtree;
+    ``cell`` is about the side of its first cells.
     """
-    sizes = _layout(zones, cell)
-    placed = _point_cells(points, sizes, range(len(sizes)), x, y)
+    tree = quadtree.build(zones, zone, cell)
+    placed = _located(points, tree, x, y)
     crowds = _crowds(placed, part_points)
     p = _salted_points(placed, crowds)
-    c = _salted_cells(zone_cells(zones, sizes, zone), crowds)
-    return p.join(c, _match(p, c, x, y), "inner").select(*points.columns, zone)
+    c = _salted_leaves(tree.leaves, crowds)
+    test = F.expr(quadtree.touches_sql("_edges", "_corner", f"`{x}`", f"`{y}`"))
+    return p.join(c, _same_leaf(p, c) & (c["_inside"] | test), "inner").select(*points.columns, zone)
 
 
 def clip_to_zones(
@@ -220,18 +108,20 @@ def clip_to_zones(
 ) -> DataFrame:
     """Pixels whose centre touches some zone, each once.
 
-    One semi join per size class; what a class does not match goes on to the next.
+    A place has one leaf, so with a row for each leaf, whichever its zones, the join finds a
+    pixel at most once: one join for zones of any sizes.
     """
-    sizes = _layout(zones, cell)
-    crowds = _crowds(_point_cells(pixels, sizes, range(len(sizes)), x, y), part_points)
-    c = _salted_cells(zone_cells(zones, sizes, zone), crowds)
-    kept, rest = [], pixels
-    for k in range(len(sizes)):
-        p = _salted_points(_point_cells(rest, sizes, [k], x, y), crowds)
-        kept.append(p.join(c, _match(p, c, x, y), "left_semi").select(*pixels.columns))
-        if k + 1 < len(sizes):
-            rest = p.join(c, _match(p, c, x, y), "left_anti").select(*pixels.columns)
-    return reduce(DataFrame.unionByName, kept)
+    tree = quadtree.build(zones, zone, cell)
+    placed = _located(pixels, tree, x, y)
+    crowds = _crowds(placed, part_points)
+    partly = F.collect_list(F.when(~F.col("_inside"), F.struct("_corner", "_edges")))
+    leaves = tree.leaves.groupBy("_level", "_cx", "_cy", "_xr", "_yt").agg(
+        F.max("_inside").alias("_inside"), partly.alias("_zones")
+    )
+    p = _salted_points(placed, crowds)
+    c = _salted_leaves(leaves, crowds)
+    test = F.expr(f"exists(_zones, z -> {quadtree.touches_sql('z._edges', 'z._corner', f'`{x}`', f'`{y}`')})")
+    return p.join(c, _same_leaf(p, c) & (c["_inside"] | test), "inner").select(*pixels.columns)
 
 
 def polygon_centroid(zones: DataFrame, zone: str = "zone_id") -> DataFrame:
