@@ -12,6 +12,7 @@ from zonalpanel.operators import pixels as X
 from zonalpanel.operators import quadtree as Q
 from zonalpanel.operators import spatial as S
 from zonalpanel.operators import surface as U
+from zonalpanel.sources import pixels as P
 from zonalpanel.sources import zones as Z
 
 LAYER = "zone_id int, rings array<array<struct<x:double,y:double>>>"
@@ -158,6 +159,36 @@ def test_nearest_donor(spark, seed):
     assert {r.missing_id: (pytest.approx(r.distance), r.donor_id) for r in rows} == want
 
 
+def test_far_cluster_of_donors(spark, monkeypatch):
+    """Cells are counted, not their donors compared, until few are left."""
+    rng = np.random.default_rng(12)
+    crowd = 1000 + rng.normal(0, 1, (100_000, 2))
+    lone = rng.uniform(-10, 10, (100, 2))
+    frame = pd.DataFrame(np.vstack([crowd, crowd[:50], lone]), columns=["cx", "cy"]).assign(zone_id=lambda d: d.index)
+    df = spark.createDataFrame(frame)
+    frontiers, real = [], S.written
+
+    def kept(table, label):
+        result = real(table, label)
+        if label.startswith("frontier"):
+            frontiers.append(result.count())
+        return result
+
+    monkeypatch.setattr(S, "written", kept)
+    rows = S.nearest_donor_zone(df, F.col("zone_id") >= 100_050).collect()
+    assert len(rows) == 100 and len(frontiers) >= 2 and max(frontiers) < 2_000
+    for r in rows:
+        d = np.hypot(*(frame[["cx", "cy"]].values[:100_050] - lone[r.missing_id - 100_050]).T)
+        assert (r.donor_id, r.distance) == (int(d.argmin()), pytest.approx(d.min()))
+
+
+def test_donors_of_nothing(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, None, 0.0)], "zone_id int, cx double, cy double")
+    assert S.nearest_donor_zone(df, [1, 2]).count() == 0
+    assert S.nearest_donor_zone(df, []).count() == 0
+    assert [tuple(r) for r in S.nearest_donor_zone(df, [1, 3]).collect()] == [(1, 2, 1.0)]
+
+
 def test_idw(spark):
     zones = layer(spark, [(1, [[(0, 0), (2, 0), (2, 2), (0, 2)]])])
     df = spark.createDataFrame([(2020, 0.0, 0.0, 0.0), (2020, 2.0, 0.0, 10.0)], "year int, x double, y double, v double")
@@ -281,3 +312,16 @@ def test_many_zones_with_one_outline(spark):
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i int, x double, y double")
     inside = sum(touches([ring], x, y) for x, y in points)
     assert S.spatial_join_points(df, zones).count() == 100 * inside
+
+
+def test_first_image_reads_one_folder(spark, tmp_path):
+    rows = [("A", f"2020-0{m}-01", float(i), 0.0, 1.0) for m in range(1, 7) for i in range(3)]
+    df = spark.createDataFrame(rows, "dataset string, image_date string, x double, y double, v double")
+    folder = f"{tmp_path}/pixels"
+    P.write_pixels(df.withColumn("image_date", F.col("image_date").cast("date")), folder)
+    first = P.first_image(spark.read.parquet(folder))
+    assert first.count() == 3
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(image_date" in plan and "subquery" not in plan
+    scan = first._jdf.queryExecution().sparkPlan().collectLeaves().apply(0)
+    assert scan.selectedPartitions().partitionCount() == 1

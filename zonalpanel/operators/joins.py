@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .columns import incidence_rate
 from ..functions import nulls
+from ..session import written
 
 
 def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -101,8 +102,10 @@ def impute_from_donor(
 
     ``donor_map`` has ``missing_id`` and ``donor_id``. A missing zone gets a row for
     each date it lacks and its donor has; of several donor rows on a date the smallest
-    (by its values) is taken, so reruns agree. A second run adds nothing.
+    (by its values) is taken, so reruns agree. A second run adds nothing. The map, which may
+    be a search of its own, is computed once and written.
     """
+    donor_map = written(donor_map.select("missing_id", "donor_id"), "donor-map")
     rest = [c for c in panel.columns if c not in (zone, date)]
     row = F.struct(*[F.col(c) for c in rest])
     donors = donor_map.select(F.col("donor_id").alias(zone)).distinct()

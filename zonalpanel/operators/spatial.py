@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, projection
@@ -20,8 +20,10 @@ from . import quadtree
 # points need, and only then are its rows copied.
 PART_POINTS = 100_000
 
-# Halvings of the layer's extent tried by the nearest-donor search.
-DONOR_LEVELS = 16
+# Sites of a cell that a zone is compared with one by one.
+LEAF_SITES = 64
+# Halvings of the extent down to the finest cells, and of a cell at each step of the search.
+FINEST, STEP = 26, 2
 
 
 def _located(points: DataFrame, tree: quadtree.Quadtree, x: str, y: str) -> DataFrame:
@@ -168,18 +170,48 @@ def grid_coordinates(zones: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
-    """The 3 x 3 cells around (_ix, _iy)."""
-    offsets = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for i in (-1, 0, 1)
-            for j in (-1, 0, 1)
-        ]
+def _sites(donors: DataFrame, extent: dict) -> DataFrame:
+    """Places of donors with their finest cell and the smallest id there."""
+    places = donors.groupBy("_x", "_y").agg(F.min("_id").alias("donor_id"))
+
+    def cell(c: str) -> Column:
+        share = (F.col(f"_{c}") - F.lit(extent[f"{c}0"])) / F.lit(extent["w"])
+        return F.least(F.floor(share * 2.0**FINEST), F.lit(2**FINEST - 1)).cast("long")
+
+    return places.select(
+        "donor_id", F.col("_x").alias("_dx"), F.col("_y").alias("_dy"), cell("x").alias("_ix"), cell("y").alias("_iy")
+    )
+
+
+def _at(level: int, up: str = "_cx", right: str = "_cy") -> list[Column]:
+    return [F.shiftright(i, FINEST - level).alias(c) for i, c in (("_ix", up), ("_iy", right))]
+
+
+def _closer(frontier: DataFrame, sites: DataFrame, level: int) -> DataFrame:
+    """The frontier one step down: children whose box is no further than some donor of the best child can be."""
+    parent = ["_px", "_py"]
+    held = sites.select("*", *_at(level), *_at(level - STEP, *parent))
+    held = held.join(frontier.select(*parent).distinct(), parent, "left_semi")
+    children = held.groupBy(*parent, "_cx", "_cy").agg(
+        F.count("*").alias("_sites"),
+        *[f(c).alias(f"{c}{n}") for c in ("_dx", "_dy") for n, f in ((0, F.min), (1, F.max))],
     )
-    return df.withColumn("_o", F.explode(offsets)).withColumns(
-        {"_ix": F.col("_ix") + F.col("_o.i"), "_iy": F.col("_iy") + F.col("_o.j")}
-    ).drop("_o")
+    reached = frontier.drop("_sites").join(children, parent)
+
+    def along(how: str) -> list[Column]:
+        return [F.expr(how.format(p=f"_{c}", a=f"_d{c}0", b=f"_d{c}1")) for c in "xy"]
+
+    def distance(x: Column, y: Column) -> Column:
+        return F.sqrt(x * x + y * y)
+
+    near = distance(*along("greatest({a} - {p}, {p} - {b}, 0D)"))
+    # each side of a box has a donor on it, so some donor is on the nearer one of two opposite sides
+    (x, y), (far_x, far_y) = along("least(abs({a} - {p}), abs({b} - {p}))"), along("greatest(abs({a} - {p}), abs({b} - {p}))")
+    far = F.least(distance(x, far_y), distance(far_x, y))
+    one = Window.partitionBy("_id", "_x", "_y")
+    bounded = reached.select("*", near.alias("_near"), F.min(far).over(one).alias("_best"))
+    kept = bounded.where(F.col("_near") <= F.col("_best") * (1 + 1e-12))
+    return kept.select("_id", "_x", "_y", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"), "_sites")
 
 
 def nearest_donor_zone(
@@ -188,59 +220,42 @@ def nearest_donor_zone(
     zone: str = "zone_id",
     x: str = "cx",
     y: str = "cy",
-    levels: int = DONOR_LEVELS,
 ) -> DataFrame:
     """For each missing zone the nearest other zone: ``missing_id, donor_id, distance``.
 
-    ``missing`` lists the ids, or is a condition on the columns of ``centroids``.
-    Centroids are gridded at ``levels`` cell sizes, each half of the one before. The
-    finest size at which the 3 x 3 cells around a missing zone hold a donor bounds the
-    distance by 2.83 cells; two sizes coarser, the 3 x 3 cells reach 4 such cells and
-    must hold the nearest donor. So each missing zone meets the donors around it in an
-    equi-join, not all of them. Ties go to the smaller id.
+    ``missing`` lists the ids, or is a condition on the columns of ``centroids``; zones without a
+    centroid take no part. Branch and bound down a pyramid of grid cells: each step
+    counts the donors in the children of the cells still in question and bounds their boxes,
+    and a missing zone goes on only into children that can hold its nearest donor, until no
+    such cell has more than ``LEAF_SITES`` places. Only then are distances taken, to the
+    donors of those cells. Donors on one place count as one. Ties go to the smaller id.
     """
-    extent = centroids.agg(
-        F.struct(
-            F.min(x).alias("x0"),
-            F.min(y).alias("y0"),
-            (F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)) + 1e-9).alias("w"),
-        )
-    ).scalar()
     listed = missing if isinstance(missing, Column) else F.col(zone).isin(*missing)
-    listed = F.coalesce(listed, F.lit(False))
-    placed = centroids.select(
-        F.col(zone).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"),
-        listed.alias("_missing"), extent.alias("_e"),
-    )
-
-    def at_level(df: DataFrame) -> DataFrame:
-        width = F.col("_e.w") / F.pow(F.lit(2.0), F.col("_level"))
-        return df.withColumns(
-            {
-                "_ix": F.floor((F.col("_x") - F.col("_e.x0")) / width),
-                "_iy": F.floor((F.col("_y") - F.col("_e.y0")) / width),
-            }
-        )
-
-    every_level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
-    cell = ["_level", "_ix", "_iy"]
-    donors = at_level(placed.where(~F.col("_missing")).withColumn("_level", every_level)).select(
-        *cell, F.col("_id").alias("donor_id"), F.col("_x").alias("_dx"), F.col("_y").alias("_dy")
+    placed = centroids.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(zone).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+        F.coalesce(listed, F.lit(False)).alias("_missing"),
     )
-    lacking = placed.where("_missing")
-    occupied = donors.select(*cell).distinct()
-    finest = (
-        _neighbours(at_level(lacking.withColumn("_level", every_level)))
-        .join(occupied, cell, "left_semi")
-        .groupBy("_id", "_x", "_y", "_e")
-        .agg(F.greatest(F.max("_level") - 2, F.lit(0)).alias("_level"))
+    placed = written(placed, "centroids")
+    donors = placed.where(~F.col("_missing"))
+    width = F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")) + 1e-9
+    extent = donors.agg(
+        F.min("_x").alias("x0"), F.min("_y").alias("y0"), width.alias("w"), F.count("*").alias("n")
+    ).first().asDict()
+    frontier = placed.where("_missing").select(
+        "_id", "_x", "_y", F.lit(0).cast("long").alias("_px"), F.lit(0).cast("long").alias("_py"), F.lit(0).alias("_sites")
     )
+    sites = _sites(donors, extent if extent["n"] else {"x0": 0.0, "y0": 0.0, "w": 1.0})
+    level, most = 0, extent["n"]
+    if most > LEAF_SITES:
+        sites = written(sites, "sites")
+    while most > LEAF_SITES and level < FINEST:
+        level += STEP
+        frontier = written(_closer(frontier, sites, level), f"frontier-{level}")
+        most = frontier.agg(F.coalesce(F.max("_sites"), F.lit(0))).first()[0]
     dx, dy = F.col("_x") - F.col("_dx"), F.col("_y") - F.col("_dy")
-    distance = F.sqrt(dx * dx + dy * dy)
-    best = F.min(F.struct(distance.alias("distance"), F.col("donor_id").alias("donor_id")))
+    best = F.min(F.struct(F.sqrt(dx * dx + dy * dy).alias("distance"), F.col("donor_id").alias("donor_id")))
     return (
-        _neighbours(at_level(finest))
-        .join(donors, cell, "inner")
+        frontier.join(sites.select("*", *_at(level, "_px", "_py")), ["_px", "_py"])
         .groupBy(F.col("_id").alias("missing_id"))
         .agg(best.alias("_best"))
         .select("missing_id", "_best.donor_id", "_best.distance")

@@ -15,6 +15,8 @@ from ..operators import spatial as S
 from .inputs import MONTHS, POPULATION_YEARS, Inputs, r, rd, text_date
 from .registry import query
 
+MONTH_COLUMNS = [f"{kind}_{m}" for kind in ("Infection", "Death") for m in MONTHS]
+
 
 @query("local_counts population", """
 SELECT c.year, c.zone_id, c.infections, p.p_cnt, p.m_cnt, p.f_cnt
@@ -50,7 +52,7 @@ SELECT n_nationkey AS zone_id, 'Province ' || (n_nationkey % 5) AS p,
 
 
 @query("sheets", f"""
-SELECT z.zone_id, s.year, s.row_no, s.Infection_1 AS january
+SELECT z.zone_id, s.year, s.row_no, s.* EXCLUDE (year, row_no, Province, City, c2)
 FROM ({_PLACES}) z LEFT JOIN
      (SELECT *, CASE WHEN (row_no - 1) % 6 <> 0 THEN City END AS c2 FROM sheets) s
 ON z.p IS NOT DISTINCT FROM s.Province AND z.c IS NOT DISTINCT FROM s.c2""")
@@ -63,11 +65,11 @@ def zones_left_join_cases(t: Inputs):
         F.when(key % 6 != 0, city).alias("NAME_2"),
     )
     sheet = t.sheets.select(
-        "year", "row_no", F.col("Infection_1").alias("january"), "Province",
+        "year", "row_no", *MONTH_COLUMNS, "Province",
         F.when((F.col("row_no") - 1) % 6 != 0, F.col("City")).alias("City"),
     )
     joined = J.zones_left_join_cases(zones, sheet, ("NAME_1", "NAME_2"), ("Province", "City"))
-    return joined.select("zone_id", "year", "row_no", "january")
+    return joined.select("zone_id", "year", "row_no", *MONTH_COLUMNS)
 
 
 _A = "SELECT zone_id, date, price_MEAN, CASE WHEN price_min_MEAN > 100 THEN price_min_MEAN END AS low FROM panel WHERE year(date) <= 1998"
@@ -102,7 +104,7 @@ def merge_panels_outer(t: Inputs):
 
 @query("zones traps", f"""
 SELECT CAST(y.year AS INTEGER) AS year, z.zone_id, z.zone_name, {rd('coalesce(s.avg_eggs, 0)', 2)} AS avg_eggs
-FROM zones z, (SELECT unnest([1994, 1996, 1998, 2000, 2002]) AS year) y LEFT JOIN
+FROM zones z, (SELECT unnest(range(1992, 2003)) AS year) y LEFT JOIN
      (SELECT year(start_time) AS year, zone_id, sum(avg_eggs) AS avg_eggs FROM traps
       GROUP BY ALL) s
 ON s.year = y.year AND s.zone_id = z.zone_id""")
@@ -113,7 +115,7 @@ def year_zone_template(t: Inputs):
         .agg(F.sum("avg_eggs").alias("avg_eggs"))
     )
     filled = J.year_zone_template(
-        t.zone_facts.select("zone_id", "zone_name"), [1994, 1996, 1998, 2000, 2002], sums, ["avg_eggs"]
+        t.zone_facts.select("zone_id", "zone_name"), range(1992, 2003), sums, ["avg_eggs"]
     )
     return filled.withColumn("avg_eggs", r(F.col("avg_eggs"), 2))
 

@@ -80,7 +80,7 @@ def read_traps(t: Inputs):
 
 
 @query("sheets", """
-SELECT CAST(year AS INTEGER) AS year, CAST(row_no AS INTEGER) AS row_no, "Province", "City", Infection_1, Infection_3, Death_12, '31' AS "Population"
+SELECT CAST(year AS INTEGER) AS year, CAST(row_no AS INTEGER) AS row_no, * EXCLUDE (year, row_no), '31' AS "Population"
 FROM sheets WHERE row_no > 1 AND year BETWEEN 1995 AND 2001""")
 def read_yearly_sheets(t: Inputs):
     root = scratch_dir(t.spark, "sheets")
@@ -94,7 +94,7 @@ def read_yearly_sheets(t: Inputs):
         ]
         W.write_panel(t.sheets.where(F.col("year") == year).select(*columns), f"{root}/{year}.csv")
     back = T.read_yearly_sheets(t.spark, {y: f"{root}/{y}.csv" for y in years})
-    return back.select("year", "row_no", "Province", "City", "Infection_1", "Infection_3", "Death_12", "Population")
+    return back.select("year", "row_no", "Province", "City", *months, "Population")
 
 
 _RING = """
@@ -143,7 +143,7 @@ def scan_pixels(t: Inputs):
 SELECT dataset, CAST(image_date AS VARCHAR) AS image_date, x, y, NDVI AS "NDVI" FROM pixels
 WHERE image_date = (SELECT min(image_date) FROM pixels)""")
 def first_image(t: Inputs):
-    return PX.first_image(t.pixels).select(
+    return PX.first_image(t.spark.read.parquet(_pixel_folder(t))).select(
         "dataset", text_date("image_date").alias("image_date"), "x", "y", "NDVI"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify as B
@@ -17,7 +17,9 @@ from ..operators import quality as Q
 from ..operators import reshape as R
 from ..operators import spatial as S
 from ..operators import yearly as Y
-from ..session import written
+from ..session import scratch_dir, written
+from ..sources.pixels import scan_pixels, write_pixels
+from ..sources.sinks import write_panel
 from .inputs import Inputs, r, rd, text_date
 from .queries_statistics import _P_VALUE
 from .registry import query
@@ -38,6 +40,41 @@ def zonal_extraction(
     )
 
 
+def temperature_extraction(
+    spark: SparkSession, folder: str, out: str, dataset: str, zones: DataFrame, start: str, end: str
+) -> DataFrame:
+    """A folder of surface temperature images to a written panel, read back: Date, Doy, zone_id, means in degrees.
+
+    Only the folders of the dataset and the dates are read, poor pixels masked by their quality
+    words, numbers turned to degrees and averaged over each zone.
+    """
+    bands = ["LST_Day", "LST_Night", "LST_Mean"]
+    needed = ["LST_Day_1km", "LST_Night_1km", "QC_Day", "QC_Night"]
+    images = scan_pixels(spark, folder, dataset, start, end, needed)
+    degrees = X.lst_celsius(X.mask_lst_qc(images)).select("image_date", "x", "y", *bands)
+    means = X.zonal_statistics(degrees, zones, bands, "MEAN")
+    panel = means.select(
+        F.date_format("image_date", "yyyy/MM/dd").alias("Date"),
+        F.date_format("image_date", "DDD").alias("Doy"),
+        "zone_id",
+        *[f"{b}_MEAN" for b in bands],
+    )
+    write_panel(panel, out)
+    return spark.read.schema(panel.schema).option("header", True).csv(out)
+
+
+def rainfall_extraction(
+    spark: SparkSession, folder: str, out: str, dataset: str, zones: DataFrame, start: str, end: str, band: str
+) -> DataFrame:
+    """A folder of rainfall images to a panel written by year, read back: zone_id, Date, year, sum per zone and image."""
+    images = scan_pixels(spark, folder, dataset, start, end, [band])
+    placed = S.spatial_join_points(images.select("image_date", "x", "y", band), zones.select("zone_id", "rings"))
+    sums = placed.groupBy("zone_id", F.col("image_date").alias("Date")).agg(F.sum(band).alias(band))
+    panel = C.suffix_bands(sums, [band], "SUM").withColumn("year", F.year("Date"))
+    write_panel(panel, out, fmt="parquet", partition_by=["year"])
+    return spark.read.parquet(out).select(*panel.columns)
+
+
 def climate_panel(parts: Sequence[DataFrame], zones: DataFrame, lacking: Sequence[int]) -> DataFrame:
     """Period files to one panel, zones without data filled from the nearest zone."""
     panel = written(R.union_panels(*parts), "panel")
@@ -160,3 +197,36 @@ def study_bivariate_map(t: Inputs):
     rates = case_incidence(t.cases, t.population, "BUILDING", 1996, 2000).where("year = 1998")
     points = t.points.withColumn("value", F.col("value").cast("decimal(18,2)"))
     return bivariate_map(points, t.zones, rates, 2016, "value").select("zone_id", "egg_code", "rate_code")
+
+
+def _image_folder(t: Inputs) -> str:
+    """The pixels as a folder of surface temperature images."""
+    folder = scratch_dir(t.spark, "temperature-images")
+    numbers = {"LST_Day_1km": F.col("SummaryQA") * 10 + 13000, "LST_Night_1km": F.col("QC_Night") * 8 + 12800}
+    write_pixels(t.pixels.withColumns({c: n.cast("double") for c, n in numbers.items()}), folder)
+    return folder
+
+
+@query("placed_pixels", f"""
+WITH degrees AS (
+    SELECT zone_id, image_date, CASE WHEN QC_Day >> 6 <= 2 THEN (SummaryQA * 10 + 13000) * 0.02::DOUBLE - 273.15 END AS d,
+           CASE WHEN QC_Night >> 6 <= 2 THEN (QC_Night * 8 + 12800) * 0.02::DOUBLE - 273.15 END AS n
+    FROM placed_pixels WHERE dataset = 'B' AND image_date BETWEEN DATE '1994-01-01' AND DATE '1999-12-31')
+SELECT strftime(image_date, '%Y/%m/%d') AS Date, strftime(image_date, '%j') AS Doy, zone_id,
+       {rd('avg(d)')} AS LST_Day_MEAN, {rd('avg(n)')} AS LST_Night_MEAN, {rd('avg((d + n) / 2)')} AS LST_Mean_MEAN
+FROM degrees GROUP BY image_date, zone_id""")
+def study_temperature_extraction(t: Inputs):
+    out = scratch_dir(t.spark, "temperature-panel")
+    panel = temperature_extraction(t.spark, _image_folder(t), out, "B", t.zones, "1994-01-01", "1999-12-31")
+    means = ("LST_Day_MEAN", "LST_Night_MEAN", "LST_Mean_MEAN")
+    return panel.withColumns({c: r(F.col(c)) for c in means})
+
+
+@query("placed_pixels", f"""
+SELECT zone_id, CAST(image_date AS VARCHAR) AS Date, {rd('sum(EVI)')} AS EVI_SUM, CAST(year(image_date) AS INTEGER) AS year
+FROM placed_pixels WHERE dataset = 'B' AND image_date BETWEEN DATE '1995-02-01' AND DATE '2001-12-31'
+GROUP BY zone_id, image_date""")
+def study_rainfall_extraction(t: Inputs):
+    out = scratch_dir(t.spark, "rainfall-panel")
+    panel = rainfall_extraction(t.spark, _image_folder(t), out, "B", t.zones, "1995-02-01", "2001-12-31", "EVI")
+    return panel.select("zone_id", text_date("Date").alias("Date"), r(F.col("EVI_SUM")).alias("EVI_SUM"), "year")

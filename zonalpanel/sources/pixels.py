@@ -27,9 +27,14 @@ def scan_pixels(
 
 
 def first_image(pixels: DataFrame, image: str = "image_date") -> DataFrame:
-    """Pixels of the earliest image."""
-    earliest = pixels.agg(F.min(image)).scalar()
-    return pixels.where(F.col(image) == earliest)
+    """Pixels of the earliest image.
+
+    Its date is looked up at once, which reads no column but ``image``, or only folder names
+    where that is a partition column; the filter is then a constant, so that Spark lists the
+    one folder when it plans.
+    """
+    earliest = pixels.agg(F.min(image)).first()[0]
+    return pixels.where(F.col(image) == F.lit(earliest))
 
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
