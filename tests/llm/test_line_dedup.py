@@ -68,6 +68,29 @@ def test_whole_rows_keep_their_columns(documents):
     assert kept[14].text is None and kept[14].n_chars is None and kept[2].text == "x\nx" and kept[2].n_chars == 3
 
 
+def test_first_places_stream_out_of_sorted_rows(spark):
+    """The sort stays in the plan, above the ranges, and nothing is shuffled between it and the first places."""
+    lines = spark.createDataFrame([(1, 1, 5, 3), (1, 1, 5, 2), (1, 1, 6, 9), (1, 1, None, 0)], "hash long, check long, doc_id long, position int")
+    shared = line_dedup._shared(lines, 3, "last")
+    assert [(r.keeper, r.place) for r in shared.collect()] == [(6, 9)]
+    assert [(r.keeper, r.place) for r in line_dedup._shared(lines, 3, "first").collect()] == [(5, 2)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = line_dedup._shared(lines, 3, "last")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") == 2
+    marks = [plan.index(x) for x in ("Exchange hash", "functions=[first(position", "Sort [", "Exchange range")]
+    assert marks == sorted(marks) and "SortAggregate" not in plan
+
+
+def test_once_keeps_the_first_place_only(documents):
+    line = "a line that is long enough to be shared"
+    rows = [(1, line), (2, f"{line}\nx\n{line}"), (3, f"x\n{line}\n{line}"), (None, line)]
+    got = {r.doc_id: r.kept_text for r in line_dedup.drop_shared_lines(documents(rows), once=True).collect()}
+    assert got == {1: "", 2: "x", 3: f"x\n{line}", None: ""}
+
+
 def test_no_python_in_the_plan(documents):
     plan = line_dedup.drop_shared_lines(documents(LINES))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -1,9 +1,10 @@
 """Lines that many documents share, as compressed keep bitmaps.
 
-Line hashes are range partitioned by (hash, document, position) and sorted, so that a line
-found in a third of all documents fills many partitions and the runs of one hash are counted
-as they stream by; only one row for each hash and partition goes on to the totals. What is
-returned is a bitmap for each document, not its text. All of it is DataFrame operations.
+Line hashes are range partitioned by (hash, document) and sorted by these and position, so that
+a line found in a third of all documents fills many partitions. Its first occurrence in each
+document streams out of the sorted rows, and the occurrences that the partitions name add up
+to how many documents hold the line and where it stays. What is returned is a bitmap for each
+document, not its text. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -30,15 +31,31 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def _shared(lines: DataFrame, min_docs: int, keep: str) -> DataFrame:
+    """(hash, check, keeper, place) of the lines of ``min_docs`` documents: who keeps a line, and its first place there."""
+    ordered = lines.repartitionByRange("hash", "check", "doc_id").sortWithinPartitions(
+        "hash", "check", "doc_id", "position"
+    )
+    # the ranges tell documents apart, so this runs on the sorted rows as they are
+    first = ordered.groupBy("hash", "check", "doc_id").agg(F.first("position").alias("position"))
+    pick, place = (F.max, F.max_by) if keep == "last" else (F.min, F.min_by)
+    found = first.groupBy("hash", "check").agg(
+        F.count("*").alias("n_docs"), pick("doc_id").alias("keeper"), place("position", "doc_id").alias("place")
+    )
+    return found.where(F.col("n_docs") >= min_docs).drop("n_docs")
+
+
 def keep_bitmaps(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: str = "last"
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: str = "last", once: bool = False
 ) -> DataFrame:
     """Which lines of each document stay when each shared line stays in one document only.
 
     Needs ``doc_id`` and ``text``. A line is shared if its key has ``min_chars`` code points
     or more and is found in ``min_docs`` documents (distinct doc_ids) or more; it stays in the
     largest doc_id (``keep="last"``) or the smallest one (``"first"``), as often as it stands
-    there. Null doc_ids count as one document, which never is the one that keeps a line.
+    there, or with ``once`` only at its first place there. Null doc_ids count as one document,
+    which never is the one that keeps a line. Null and empty texts have one empty line, which
+    is too short to be shared; lines of any length count whole; an empty table gives no rows.
 
     Returns (doc_id, text_key, holes) for the documents that lose lines. ``holes`` is the
     bitmap, compressed: bit i of ``bits`` in the entry for ``word`` w is set if line 64 w + i
@@ -65,21 +82,12 @@ def keep_bitmaps(
     )
     lines = settled(lines, "line-hashes")
 
-    pick = F.max("doc_id") if keep == "last" else F.min("doc_id")
-    ordered = lines.repartitionByRange("hash", "check", "doc_id").sortWithinPartitions(
-        "hash", "check", "doc_id", "position"
-    )
-    shared = (
-        ordered.groupBy("hash", "check", "doc_id")
-        .agg(F.first("position"))
-        .groupBy("hash", "check")
-        .agg(F.count("*").alias("n_docs"), pick.alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-        .select("hash", "check", "keeper")
-    )
     # written, so that neither side of the join is an aggregate and Spark can split hot keys
-    shared = settled(shared, "shared-lines")
-    gone = lines.join(shared, ["hash", "check"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    shared = settled(_shared(lines, min_docs, keep), "shared-lines")
+    stays = F.col("doc_id").eqNullSafe(F.col("keeper"))
+    if once:
+        stays &= F.col("position") == F.col("place")
+    gone = lines.join(shared, ["hash", "check"]).where(~stays)
     word = F.floor(F.col("position") / WORD_BITS).cast("int")
     bit = F.expr(f"shiftleft(1L, position % {WORD_BITS})")
     return (
