@@ -74,6 +74,16 @@ def test_fixed_bins_never_cost_a_bin():
         assert fixed + optimum(rest, capacity) == optimum(lengths, capacity)
 
 
+def test_sets_of_three_are_fixed():
+    counts = np.bincount([6, 6, 3, 3, 1, 1], minlength=11)
+    assert packing.reduce_by_dominance(counts, 10) == [([(6, 1), (3, 1), (1, 1)], 2)]
+    assert not counts.any()
+    counts = np.bincount([7, 7, 2, 2, 2, 2, 2, 2, 2, 2], minlength=12)  # two equal ones beside the largest
+    assert packing.reduce_by_dominance(counts, 11)[0] == ([(7, 1), (2, 2)], 2)
+    counts = np.bincount([10, 5, 4, 4, 1], minlength=21)  # 4 and 4 weigh more than 5 and fit only without it
+    assert packing._third(counts, 10, 5, 8) is None
+
+
 @pytest.mark.parametrize("capacity", [2048, 7])
 def test_pieces_of_a_table(documents, corpus, capacity):
     rows = [(i, t) for i, t in corpus if capacity > 7 or i not in (73, 74)]

@@ -79,7 +79,9 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[list[tu
     For a piece ``a`` and the room beside it, a bin dominates all others that hold ``a`` if
     nothing fits beside ``a``, or if the largest single piece ``b`` that fits weighs as much
     as any set of pieces that fits: the set can then change places with ``b`` in any packing.
-    Fixing bins only takes sets away, so one test covers as many bins as ``a`` and ``b`` last.
+    Where no three pieces fit, ``a``, ``b`` and the largest ``c`` beside them dominate if any two
+    that fit can change places with ``b`` and ``c``, one for one or both for ``b``.
+    Fixing bins only takes sets away, so one test covers as many bins as the pieces last.
     """
     fixed: list[tuple[list[tuple[int, int]], int]] = []
     for a in range(capacity, 0, -1):
@@ -93,15 +95,40 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[list[tu
                 counts[a] = 0
                 break
             b = int(beside[-1])
+            chosen = [a, b]
             if b < room and _heaviest(counts, a, room) > b:
-                break
-            bins = int(counts[a]) // 2 if a == b else min(int(counts[a]), int(counts[b]))
-            fixed.append(([(a, 2)] if a == b else [(a, 1), (b, 1)], bins))
-            counts[a] -= bins
-            counts[b] -= bins
+                c = _third(counts, a, b, room)
+                if c is None:
+                    break
+                chosen.append(c)
+            per = {length: chosen.count(length) for length in chosen}
+            bins = min(int(counts[length]) // n for length, n in per.items())
+            fixed.append((list(per.items()), bins))
+            for length, n in per.items():
+                counts[length] -= bins * n
     return fixed
 
 
+def _third(counts: np.ndarray, a: int, b: int, room: int) -> int | None:
+    """The length that with ``a`` and ``b`` (the largest that fits) dominates all bins with ``a``, if there is one."""
+    left = counts[: room + 1].copy()
+    if a <= room:
+        left[a] -= 1
+    lengths = np.flatnonzero(left > 0)
+    smallest = np.repeat(lengths[:3], np.minimum(left[lengths[:3]], 3))[:3]
+    if len(smallest) == 3 and smallest.sum() <= room:
+        return None
+    beside = lengths[(lengths <= room - b) & ((lengths != b) | (left[b] > 1))] if b <= room else lengths[:0]
+    if not len(beside):
+        return None
+    c = int(beside[-1])
+    for q in lengths[(lengths > c) & (2 * lengths <= room)].tolist():  # the smaller one of two that fit
+        others = lengths[(lengths >= q) & (lengths <= room - q) & ((lengths != q) | (left[q] > 1))]
+        if len(others) and q + int(others[-1]) > b:
+            return None
+    return c
+
+
 def _heaviest(counts: np.ndarray, a: int, room: int) -> int:
     """The largest total of any set of pieces, besides one of length ``a``, that fits into ``room``."""
     reach, full = 1, (1 << (room + 1)) - 1
