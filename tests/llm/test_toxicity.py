@@ -49,6 +49,48 @@ def test_counterfactuals_lower_the_weight_of_identities(spark, documents):
     assert gap(100.0) < 0.3 * gap(0.0)
 
 
+def test_gradient_of_the_loss():
+    """By finite differences, with texts of both classes and pairs; the loss by its plain definition."""
+    rng = np.random.default_rng(3)
+    rows = [{"label": int(i % 3 == 0), "plus": sorted(rng.choice(12, 4, replace=False).tolist()), "minus": []} for i in range(20)]
+    rows += [{"label": None, "plus": [1, 5], "minus": [2]}, {"label": None, "plus": [], "minus": [7]}, {"label": None, "plus": [3], "minus": []}]
+    value = toxicity.objective(rows, {0: 1.0, 1: 2.5}, 12, 0.7, 0.01)
+    weight = rng.normal(size=13)
+    loss, gradient = value(weight)
+    plain = total = 0.0
+    for r in rows[:20]:
+        share = 2.5 if r["label"] else 1.0
+        score = 1 / (1 + np.exp(-(weight[r["plus"]].sum() + weight[12])))
+        plain -= share * np.log(score if r["label"] else 1 - score)
+        total += share
+    changes = [weight[r["plus"]].sum() - weight[r["minus"]].sum() for r in rows[20:]]
+    assert np.isclose(loss, plain / total + 0.005 * (weight[:12] ** 2).sum() + 0.7 * np.mean(np.square(changes)))
+    for k in range(13):
+        step = np.zeros(13)
+        step[k] = 1e-6
+        assert np.isclose((value(weight + step)[0] - value(weight - step)[0]) / 2e-6, gradient[k], atol=1e-6)
+
+
+def test_terms_are_placed_where_none_is_named(spark, documents):
+    terms = ["gay", "women"]
+    pairs = toxicity.placements("Nobody spoke. Women did! 12\n...", terms)
+    assert [a for a, _ in pairs] == ["Nobody spoke", " 12"]
+    for a, b in pairs:
+        added = [t for t in terms if f" {t}" in b]
+        assert len(added) == 1 and b.replace(f" {added[0]}", "", 1) == a
+    docs, labels = labelled(120)
+    docs = [(i, t.replace("muslims", "w1").replace("women", "w2")) for i, t in docs]
+    model = toxicity.fit(documents(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), max_features=3)
+    assert model.pairs >= 90
+    terms = {b for t in toxicity._swaps(toxicity.IDENTITY_GROUPS) for b in toxicity._buckets(t)[:1]}
+    assert len(set(model.buckets) - terms) <= 3 and terms <= set(model.buckets)
+
+
+def test_the_given_tables_give_pairs(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    assert toxicity.fit(docs, labels).pairs > 1000
+
+
 def test_swaps_keep_to_their_group():
     swaps = toxicity._swaps([("women", "men"), ("gay", "straight", "lesbian")])
     text = "Women spoke. Nobody else. A straight line and gay men!"

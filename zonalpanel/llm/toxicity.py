@@ -1,20 +1,22 @@
 """A toxicity classifier that does not react to who a sentence is about.
 
 A logistic regression on words and word beginnings is fitted to labelled texts. Sentences of
-these texts that name an identity are rewritten with another identity of the same group, and
-the squared difference of the scores (before the logistic function) of a sentence and its
-counterfactual is part of the loss, so that naming a group does not raise a score.
+these texts that name an identity are rewritten with another identity of the same group; a
+sentence that names none gets one placed in it. The squared difference of the scores (before
+the logistic function) of a sentence and its counterfactual is part of the loss, so that
+neither naming a group nor which one it is raises a score. The terms themselves are always
+among the model's features, so that the penalty has pairs on any table.
 
 The fit uses a bounded sample of labelled rows (``PER_CLASS`` of each class, chosen by a hash
-of the id) and keeps at most ``MAX_FEATURES`` features; scoring streams over the whole table
-and shuffles nothing.
+of the id) and keeps at most ``MAX_FEATURES`` features beside those of the terms; scoring
+streams over the whole table and shuffles nothing.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -37,7 +39,7 @@ ROUNDS = 300
 HASH_BUCKETS = 1 << 20
 PREFIXES = range(3, 9)
 FOLDS = 5
-#: Terms within a group stand for one another.
+#: Terms within a group stand for one another; English, French, German and Spanish.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("women", "men"),
     ("woman", "man"),
@@ -50,6 +52,27 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("disabled", "deaf", "blind"),
     ("old", "young"),
     ("africans", "americans", "europeans", "mexicans"),
+    ("femmes", "hommes"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "transgenres"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("africains", "américains", "européens", "mexicains"),
+    ("frauen", "männer"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("einwanderer", "flüchtlinge", "bürger"),
+    ("afrikaner", "amerikaner", "europäer", "mexikaner"),
+    ("mujeres", "hombres"),
+    ("chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("homosexuales", "heterosexuales", "lesbianas", "transexuales"),
+    ("inmigrantes", "refugiados", "ciudadanos"),
+    ("africanos", "americanos", "europeos", "mexicanos"),
 )
 
 _WORD = re.compile(r"\w+")
@@ -105,13 +128,29 @@ def counterfactuals(text: str, swaps: dict[str, str]) -> list[tuple[str, str]]:
     return pairs
 
 
+def placements(text: str, terms: list[str]) -> list[tuple[str, str]]:
+    """The sentences of a text that name no identity, each with one placed in it.
+
+    Which of the terms it is, and after which word it comes, depends on the sentence alone.
+    """
+    pairs, named = [], set(terms)
+    for sentence in _SENTENCE.findall(text):
+        words = list(_WORD.finditer(sentence))
+        if words and terms and not any(m[0].lower() in named for m in words):
+            draw = zlib.crc32(sentence.encode())
+            end = words[draw % len(words)].end()
+            pairs.append((sentence, f"{sentence[:end]} {terms[draw // len(words) % len(terms)]}{sentence[end:]}"))
+    return pairs
+
+
 @dataclass(frozen=True)
 class Model:
-    """Hash buckets of the features, their weights, and the constant."""
+    """Hash buckets of the features, their weights, the constant, and how many counterfactual pairs were used."""
 
     buckets: list[int]
     weights: np.ndarray
     bias: float
+    pairs: int = 0
 
     def score(self, found: Iterable[int]) -> float:
         """Between 0 and 1, from the features' numbers."""
@@ -133,11 +172,12 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _rows(batches: Iterator[pa.RecordBatch], buckets: list[int], swaps: dict[str, str]) -> Iterator[pa.RecordBatch]:
     """Feature numbers of labelled texts, and those that only one of a sentence and its counterfactual has."""
     features = _Features({b: i for i, b in enumerate(buckets)})
+    terms = sorted(swaps)
     for batch in batches:
         rows: list[dict] = []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             rows.append({"label": label, "plus": sorted(features(text or "")), "minus": []})
-            for sentence, other in counterfactuals(text or "", swaps):
+            for sentence, other in counterfactuals(text or "", swaps) + placements(text or "", terms):
                 a, b = features(sentence), features(other)
                 if a != b:
                     rows.append({"label": None, "plus": sorted(a - b), "minus": sorted(b - a)})
@@ -151,8 +191,14 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in lists for i in x], np.int64), np.repeat(np.arange(len(lists)), sizes)
 
 
-def _descend(rows: list, weights_of: dict[int, float], size: int, fairness: float, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights and constant by full-batch gradient descent with Adam's steps."""
+def objective(
+    rows: list[dict], weights_of: dict[int, float], size: int, fairness: float, l2: float
+) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The loss of weights (the constant last) and its gradient.
+
+    The loss is the weighted mean logistic loss of the texts, half of ``l2`` times the squared
+    weights, and ``fairness`` times the mean squared score change of the pairs.
+    """
     texts = [r for r in rows if r["label"] is not None]
     pairs = [r for r in rows if r["label"] is None]
     feature, owner = _flat([r["plus"] for r in texts])
@@ -162,16 +208,28 @@ def _descend(rows: list, weights_of: dict[int, float], size: int, fairness: floa
     plus, plus_of = _flat([r["plus"] for r in pairs])
     minus, minus_of = _flat([r["minus"] for r in pairs])
 
-    weight = np.zeros(size + 1)
-    mean, square = np.zeros(size + 1), np.zeros(size + 1)
-    for step in range(1, rounds + 1):
+    def value(weight: np.ndarray) -> tuple[float, np.ndarray]:
         total = np.bincount(owner, weight[feature], len(texts)) + weight[-1]
+        loss = (share * (np.logaddexp(0, total) - label * total)).sum() + l2 / 2 * (weight[:-1] ** 2).sum()
         slope = (1 / (1 + np.exp(-np.clip(total, -60, 60))) - label) * share
         gradient = np.append(np.bincount(feature, slope[owner], size) + l2 * weight[:-1], slope.sum())
         if pairs:
             gap = np.bincount(plus_of, weight[plus], len(pairs)) - np.bincount(minus_of, weight[minus], len(pairs))
+            loss += fairness * (gap**2).mean()
             gap *= 2 * fairness / len(pairs)
             gradient[:-1] += np.bincount(plus, gap[plus_of], size) - np.bincount(minus, gap[minus_of], size)
+        return float(loss), gradient
+
+    return value
+
+
+def _descend(rows: list, weights_of: dict[int, float], size: int, fairness: float, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and constant by full-batch gradient descent with Adam's steps."""
+    value = objective(rows, weights_of, size, fairness, l2)
+    weight = np.zeros(size + 1)
+    mean, square = np.zeros(size + 1), np.zeros(size + 1)
+    for step in range(1, rounds + 1):
+        _, gradient = value(weight)
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         weight -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -191,14 +249,17 @@ def fit(
     per_class: int = PER_CLASS,
     identity_groups: Iterable[Iterable[str]] = IDENTITY_GROUPS,
     fairness: float = FAIRNESS,
+    max_features: int = MAX_FEATURES,
 ) -> Model:
     """Fit to labelled rows that are not held out.
 
     ``labels`` has doc_id and ``label`` (0 or 1; other values and nulls are skipped). At most
     ``per_class`` rows of each class are used, those with the smallest hashes of doc_id, and
     weighted so that the classes count as in all labelled rows. Where a doc_id repeats in
-    ``docs`` one of its texts is used. Without rows of both classes the model is a constant.
+    ``docs`` one of its texts is used; null and empty texts have no features, texts of any length
+    all of theirs. Without rows of both classes, or of any documents, the model is a constant.
     """
+    swaps = _swaps(identity_groups)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         "doc_id is not null and label in (0, 1)"
     )
@@ -234,16 +295,17 @@ def fit(
         .select("bucket", F.abs((odds("toxic", sizes[1]) - odds("clean", sizes[0])) / error).alias("z"))
         .where(F.col("z") >= MIN_Z)
         .orderBy(F.desc("z"), "bucket")
-        .limit(MAX_FEATURES)
+        .limit(max_features)
     )
-    buckets = [r["bucket"] for r in strong.collect()]
+    found = [r["bucket"] for r in strong.collect()]
+    buckets = list(dict.fromkeys([*found, *(_buckets(term)[0] for term in sorted(swaps))]))
     featured = sample.select("text", "label").mapInArrow(
-        partial(_rows, buckets=buckets, swaps=_swaps(identity_groups)), "label int, plus array<int>, minus array<int>"
+        partial(_rows, buckets=buckets, swaps=swaps), "label int, plus array<int>, minus array<int>"
     )
     rows = featured.collect()
     weights_of = {c: totals[c] / sizes[c] for c in (0, 1)}
     weights, bias = _descend(rows, weights_of, len(buckets), fairness, L2, ROUNDS)
-    return Model(buckets, weights, bias)
+    return Model(buckets, weights, bias, sum(r["label"] is None for r in rows))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
