@@ -232,6 +232,40 @@ def test_semivariogram(spark, monkeypatch, block):
         assert r.mean_distance == pytest.approx(d[near][lag == r.lag].mean())
 
 
+def test_blocks_of_far_sites_do_not_meet(spark, monkeypatch):
+    """Clusters in one cell and its neighbours: only blocks within reach are paired, each pair once."""
+    monkeypatch.setattr(U, "SITE_BLOCK", 20)
+    rng = np.random.default_rng(2)
+    centres = [(0.05, 0.05), (0.95, 0.95), (1.95, 0.05), (1.9, 1.9), (-0.5, 0.5)]
+    xy = np.vstack([rng.normal(c, 0.01, (200, 2)) for c in centres])
+    sites = spark.createDataFrame([(float(x), float(y), 1.0, 0.0, 0.0) for x, y in xy], "x double, y double, n double, m double, ss double")
+    blocks = U._blocks(sites, 1.0)
+    rows = blocks.collect()
+    assert sum(len(r.x) for r in rows) == 1000 and max(len(r.x) for r in rows) <= 20
+    got = [frozenset((r.a, r.b)) for r in U._meetings(blocks, 1.0).collect()]
+    assert len(got) == len(set(got))
+    near = {frozenset((p.block, q.block)) for p in rows for q in rows
+            if np.hypot(np.subtract.outer(p.x, q.x), np.subtract.outer(p.y, q.y)).min() < 1}
+    assert near <= set(got) and len(got) < 0.5 * len(rows) * (len(rows) + 1) / 2
+
+
+@pytest.mark.parametrize("sites", [5, 2048])
+def test_years_are_spread_by_their_sites(spark, monkeypatch, sites):
+    """One year has nearly all sites; the surface does not depend on how they are spread."""
+    monkeypatch.setattr(U, "PART_SITES", sites)
+    rng = np.random.default_rng(5)
+    pts = pd.DataFrame({"year": np.where(np.arange(300) < 290, 2001, 2002), "x": rng.uniform(0, 4, 300), "y": rng.uniform(0, 4, 300), "v": rng.normal(5, 2, 300)})
+    zones = layer(spark, [(1, [[(0, 0), (4, 0), (4, 4), (0, 4)]])])
+    surface = U.idw_surface(spark.createDataFrame(pts), zones, "v", n=4)
+    assert "Expand" not in surface._jdf.queryExecution().optimizedPlan().toString()
+    got = surface.toPandas()
+    assert len(got) == 32
+    for r in got.itertuples():
+        part = pts[pts.year == r.year]
+        w = 1 / ((part.x - r.gx * 4 / 3) ** 2 + (part.y - r.gy * 4 / 3) ** 2)
+        assert r.value == pytest.approx((w * part.v).sum() / w.sum(), rel=1e-9)
+
+
 def test_zone_statistics_with_missing_pixels(spark):
     rows = [(1, "2020-01-01", v, None) for v in (1.0, 2.0, 4.0, None)] + [(2, "2020-01-01", None, 3.0)]
     df = spark.createDataFrame(rows, "zone_id int, image_date string, a double, b double")

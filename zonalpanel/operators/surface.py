@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 from ..session import written
 from .spatial import layer_bounds
 
-# Grid nodes handled together, and the parts the sites of one year are spread over.
+# Grid nodes handled together, and sites of one year that a part takes: a year has as many
+# parts as its sites need.
 NODE_TILE = 16384
-SITE_PARTS = 8
+PART_SITES = 2048
 
-# Sites weighted against a tile at a time, which bounds the matrix in memory.
+# Sites weighted against a tile at a time, which bounds the matrix in memory, and nodes of
+# all years together that a task holds before it returns their sums.
 SITE_STEP = 256
+GRID_NODES = 4_000_000
 
-# Aimed number of sites in one semivariogram block. A meeting of two blocks is one row
-# with both, and Arrow sends such rows by the thousand, so blocks are kept small.
+# Most sites in one semivariogram block. A meeting of two blocks is one row with both, and
+# Arrow sends such rows by the thousand, so blocks are kept small.
 SITE_BLOCK = 128
 
 
@@ -54,26 +57,25 @@ def idw_surface(
 ) -> DataFrame:
     """Inverse-distance-weighted mean of all points at each node of an n x n grid, per year.
 
-    The grid spans the bounds of ``zones`` as in ``grid_coordinates``. Its nodes are cut
-    into tiles; a task adds its sites into one (weighted value, weight) pair per node of
-    a tile and returns those, and the parts are added up per node. The work is spread by
-    (year, tile, part of the sites), so a year with most of the sites is many tasks. A
-    node on a site counts that distance as 1e-10.
+    The grid spans the bounds of ``zones`` as in ``grid_coordinates``. Sites are spread by
+    (year, part), no row more than once; a small job counts the sites of each year first. A
+    task adds its sites into a whole grid of (weighted value, weight) pairs per year, tile
+    by tile, and returns those sums, which are added up per node. A node on a site counts that
+    distance as 1e-10.
     """
     spark = points.sparkSession
     rows_per_tile = max(1, NODE_TILE // n)
-    n_tiles = -(-n // rows_per_tile)
     bounds = layer_bounds(zones).select(F.struct("minx", "miny", "maxx", "maxy")).scalar()
     key_type = points.schema[key].dataType.simpleString()
 
+    sites = written(_sites(points.where(F.col(key).isNotNull()), [key], x, y, value), "year-sites")
+    parts = sites.groupBy(key).agg(F.ceil(F.count("*") / PART_SITES).cast("int").alias("parts"))
     work = (
-        _sites(points.where(F.col(key).isNotNull()), [key], x, y, value)
-        .select(F.col(key).alias("k"), "x", "y", "n", "m", bounds.alias("b"))
-        .select("k", "x", "y", "n", "m", "b.*")
-        .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
-        .withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(SITE_PARTS)))
+        sites.join(written(parts, "site-parts"), key)
+        .select(F.col(key).alias("k"), F.pmod(F.xxhash64("x", "y"), "parts").alias("part"), "x", "y", "n", "m", bounds.alias("b"))
+        .select("k", "part", "x", "y", "n", "m", "b.*")
         # The number is given so that AQE, which goes by bytes, keeps the tasks apart.
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "tile", "part")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "part")
     )
 
     def nodes_along(low: float, high: float) -> np.ndarray:
@@ -82,44 +84,34 @@ def idw_surface(
         return at
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+        spot = np.arange(n * n)
 
         def release() -> Iterator[pd.DataFrame]:
-            for (k, tile), (num, den) in sums.items():
-                first = tile * rows_per_tile
-                spot = np.arange(num.size)
-                yield pd.DataFrame(
-                    {
-                        "k": k,
-                        "gx": (spot % n).astype("int32"),
-                        "gy": (first + spot // n).astype("int32"),
-                        "num": num,
-                        "den": den,
-                    }
-                )
+            for k, (num, den) in sums.items():
+                gx, gy = (spot % n).astype("int32"), (spot // n).astype("int32")
+                yield pd.DataFrame({"k": k, "gx": gx, "gy": gy, "num": num.ravel(), "den": den.ravel()})
             sums.clear()
 
         for batch in batches:
-            for (k, tile), part in batch.groupby(["k", "tile"], sort=False):
+            for k, part in batch.groupby("k", sort=False):
                 box = part.iloc[0]
-                gx = nodes_along(box.minx, box.maxx)
-                first = tile * rows_per_tile
-                gy = nodes_along(box.miny, box.maxy)[first : first + rows_per_tile]
-                num, den = sums.setdefault(
-                    (k, tile), (np.zeros(gx.size * gy.size), np.zeros(gx.size * gy.size))
-                )
+                gx, gy = nodes_along(box.minx, box.maxx), nodes_along(box.miny, box.maxy)
+                num, den = sums.setdefault(k, (np.zeros((n, n)), np.zeros((n, n))))
                 px, py = part["x"].to_numpy(), part["y"].to_numpy()
-                count, mean = part["n"].to_numpy(), part["m"].to_numpy()
+                count, mean = part["n"].to_numpy()[:, None, None], part["m"].to_numpy()[:, None, None]
                 for i in range(0, len(part), SITE_STEP):
                     cut = slice(i, i + SITE_STEP)
                     dx2 = (px[cut, None] - gx[None, :]) ** 2
-                    dy2 = (py[cut, None] - gy[None, :]) ** 2
-                    dist = np.sqrt(dy2[:, :, None] + dx2[:, None, :]).reshape(len(dx2), -1)
-                    dist[dist == 0] = 1e-10
-                    weight = count[cut, None] / dist**power
-                    num += (weight * mean[cut, None]).sum(axis=0)
-                    den += weight.sum(axis=0)
-            if len(sums) > 64:
+                    for first in range(0, n, rows_per_tile):
+                        tile = slice(first, first + rows_per_tile)
+                        dy2 = (py[cut, None] - gy[None, tile]) ** 2
+                        dist = np.sqrt(dy2[:, :, None] + dx2[:, None, :])
+                        dist[dist == 0] = 1e-10
+                        weight = count[cut] / dist**power
+                        num[tile] += (weight * mean[cut]).sum(axis=0)
+                        den[tile] += weight.sum(axis=0)
+            if len(sums) * n * n > GRID_NODES:
                 yield from release()
         yield from release()
 
@@ -131,11 +123,86 @@ def idw_surface(
 
 
 # Blocks of a cell that one part takes; a cell with more is met in as many parts as it needs.
-PART_BLOCKS = 4
+PART_BLOCKS = 1024
 
 # Half of the 3 x 3 cells around a cell: with the cell itself, each pair of cells once.
 _HALF = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
 
+# Halvings of a cell's sides along which its sites are sorted.
+_FINE = 10
+_SITE = ("x", "y", "n", "m", "ss")
+
+
+def _blocks(sites: DataFrame, max_dist: float) -> DataFrame:
+    """Runs of up to ``SITE_BLOCK`` sites of a cell that lie close together, with their bounding boxes, as a table.
+
+    Sites are sorted by cell (``max_dist`` wide) and, in a cell, along a space-filling curve, in ranges
+    that Spark cuts where it likes, so a crowded cell is many ranges.
+    """
+
+    def fine(c: str) -> str:
+        return f"least(cast(({c} / {max_dist!r}D - c{c}) * {1 << _FINE} as bigint), {(1 << _FINE) - 1})"
+
+    bits = [f"shiftleft(shiftright({fine(c)}, {i}) & 1, {2 * i + k})" for i in range(_FINE) for k, c in enumerate("xy")]
+    cells = sites.withColumns({f"c{c}": F.expr(f"floor({c} / {max_dist!r}D)") for c in "xy"})
+    curve = cells.withColumn("z", F.expr(" | ".join(bits)))
+    order = ["cx", "cy", "z", "x", "y"]
+    ranged = curve.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    most = SITE_BLOCK
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, rest = 0, None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch])
+            cell = rows[["cx", "cy"]].to_numpy()
+            starts = np.append(0, 1 + np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)))
+            ends = np.append(starts[1:], len(rows))
+            runs = [(i, min(i + most, b)) for a, b in zip(starts, ends) for i in range(a, b, most)]
+            done = len(runs) - 1  # the last run may go on in the next batch
+            yield from _rows(rows, runs[:done], number)
+            number += done
+            rest = rows.iloc[runs[-1][0] :]
+        if rest is not None and len(rest):
+            yield from _rows(rest, [(0, len(rest))], number)
+
+    def _rows(rows: pd.DataFrame, runs: list[tuple[int, int]], number: int) -> Iterator[pd.DataFrame]:
+        if runs:
+            found = []
+            for k, (a, b) in enumerate(runs):
+                part = rows.iloc[a:b]
+                box = [part["x"].min(), part["x"].max(), part["y"].min(), part["y"].max()]
+                key = int(part["range"].iloc[0]) << 40 | number + k
+                found.append([key, part["cx"].iloc[0], part["cy"].iloc[0], *box, *(part[c].to_numpy() for c in _SITE)])
+            yield pd.DataFrame(found, columns=["block", "cx", "cy", "x0", "x1", "y0", "y1", *_SITE])
+
+    arrays = ", ".join(f"{c} array<double>" for c in _SITE)
+    schema = f"block long, cx long, cy long, x0 double, x1 double, y0 double, y1 double, {arrays}"
+    return written(ranged.mapInPandas(cut, schema), "site-blocks")
+
+
+def _meetings(blocks: DataFrame, max_dist: float) -> DataFrame:
+    """(a, b) of the blocks whose boxes are nearer than ``max_dist``, each pair once, also a = b: ids only."""
+    boxes = blocks.select("block", "cx", "cy", "x0", "x1", "y0", "y1")
+    count = boxes.groupBy("cx", "cy").agg(F.ceil(F.count("*") / PART_BLOCKS).cast("int").alias("parts"))
+    count = written(count, "block-cells")
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _HALF])
+    left = (
+        boxes.withColumn("o", F.explode(offsets))
+        .select(
+            (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"),
+            ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same"),
+            *[F.col(c).alias(f"a_{c}") for c in ("block", "x0", "x1", "y0", "y1")],
+        )
+        .join(count, ["cx", "cy"])
+        .withColumn("salt", F.pmod(F.xxhash64("a_block"), "parts").cast("int"))
+    )
+    right = boxes.join(count, ["cx", "cy"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    gaps = [F.greatest(F.col(f"a_{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"a_{c}1"), F.lit(0.0)) for c in "xy"]
+    near = gaps[0] * gaps[0] + gaps[1] * gaps[1] <= F.lit(max_dist) * max_dist * (1 + 1e-12)
+    once = ~F.col("same") | (F.col("a_block") <= F.col("block"))
+    pairs = left.drop("parts").join(right.drop("parts"), ["cx", "cy", "salt"]).where(once & near)
+    return pairs.select(F.col("a_block").alias("a"), F.col("block").alias("b"))
+
 
 def semivariogram(
     points: DataFrame,
@@ -148,64 +215,18 @@ def semivariogram(
     """Half the mean squared difference of values by distance lag, up to ``max_dist``.
 
     Columns ``lag, pairs, mean_distance, semivariance``; every pair nearer than
-    ``max_dist`` counts once. Sites are gridded by ``max_dist`` and each cell is cut into
-    blocks of about ``SITE_BLOCK``, more for a crowded cell. Neighbouring blocks meet in
-    an equi-join, spread over parts by the number of blocks in the cell, and each meeting
-    returns its sums per lag.
+    ``max_dist`` counts once. Sites are cut into blocks of neighbours; blocks whose boxes are
+    near enough are paired as ids, then joined with their sites, and each meeting returns its
+    sums per lag.
     """
     n_lags = int(np.ceil(max_dist / lag))
-    sites = written(
-        _sites(points, [], x, y, value).withColumns(
-            {
-                "cx": F.floor(F.col("x") / max_dist),
-                "cy": F.floor(F.col("y") / max_dist),
-            }
-        ),
-        "sites",
-    )
-    n_blocks = F.ceil(F.count(F.lit(1)) / SITE_BLOCK)
-    crowd = written(
-        sites.groupBy("cx", "cy").agg(
-            n_blocks.alias("n_blocks"), F.ceil(n_blocks / PART_BLOCKS).cast("int").alias("parts")
-        ),
-        "site-cells",
-    )
-    blocks = (
-        sites.join(crowd, ["cx", "cy"])
-        .withColumn("block", F.pmod(F.xxhash64("x", "y"), F.col("n_blocks")))
-        .groupBy("cx", "cy", "block")
-        .agg(*[F.collect_list(c).alias(c) for c in ("x", "y", "n", "m", "ss")])
-    )
-    offsets = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _HALF]
-    )
-    parts = crowd.select("cx", "cy", "parts")
-    left = (
-        blocks.withColumn("o", F.explode(offsets))
-        .select(
-            (F.col("cx") + F.col("o.i")).alias("cx"),
-            (F.col("cy") + F.col("o.j")).alias("cy"),
-            ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same_cell"),
-            F.col("block").alias("a_block"),
-            *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "n", "m", "ss")],
-        )
-        .join(parts, ["cx", "cy"])
-        .withColumn("salt", F.pmod("a_block", F.col("parts")).cast("int"))
-        .drop("parts")
-    )
-    right = (
-        blocks.join(parts, ["cx", "cy"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .drop("parts")
-    )
-    meetings = (
-        left.join(right, ["cx", "cy", "salt"])
-        .where(~F.col("same_cell") | (F.col("a_block") <= F.col("block")))
-        .select(
-            (F.col("same_cell") & (F.col("a_block") == F.col("block"))).alias("same"),
-            *[f"a_{c}" for c in ("x", "y", "n", "m", "ss")],
-            *[c for c in ("x", "y", "n", "m", "ss")],
-        )
+    sites = written(_sites(points, [], x, y, value), "sites")
+    blocks = _blocks(sites, max_dist)
+    pairs = written(_meetings(blocks, max_dist), "block-pairs")
+    a = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _SITE])
+    b = blocks.select(F.col("block").alias("b"), *_SITE)
+    meetings = pairs.join(a, "a").join(b, "b").select(
+        (F.col("a") == F.col("b")).alias("same"), *[f"a_{c}" for c in _SITE], *_SITE
     )
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
