@@ -280,6 +280,22 @@ def test_zone_statistics_with_missing_pixels(spark):
     assert got[("SUM", 2)] == (None, 3.0)
 
 
+def test_medians_of_any_values(spark):
+    """Signs, zeros, extremes, values that nearly agree, one group with most rows; pixels meet the bins in one join."""
+    rng = np.random.default_rng(1)
+    kinds = {
+        1: rng.normal(0, 5, 401), 2: 101_325 + rng.normal(0, 1e-3, 300), 3: np.array([0.0, -0.0, 5e-324, -5e-324]), 4: rng.integers(-2, 3, 5000).astype(float),
+        5: np.array([1e308, -1e308, 1e-308, 7.0]), 6: np.repeat(3.25, 50), 7: -np.exp(rng.uniform(-300, 300, 99)), 8: np.array([1.0, np.inf, 2.0]),
+    }
+    rows = [(z, "2020-01-01", float(v), None if i % 3 else float(-v)) for z, vs in kinds.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "zone_id int, image_date string, a double, b double").repartition(7)
+    got = {r.zone_id: r for r in X.zone_image_statistics(df, ["a", "b"], "MEDIAN").collect()}
+    for z, vs in kinds.items():
+        for band, values in (("a", vs), ("b", -vs[::3])):
+            low, high = np.sort(values)[[(len(values) - 1) // 2, len(values) // 2]]
+            assert got[z][f"{band}_MEDIAN"] == low + (high - low) * 0.5, (z, band)
+
+
 def _square(x0, y0, side):
     corners = [(x0, y0), (x0 + side, y0), (x0 + side, y0 + side), (x0, y0 + side)]
     return [[{"x": float(a), "y": float(b)} for a, b in corners]]

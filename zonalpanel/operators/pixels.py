@@ -17,8 +17,10 @@ from ..session import written
 from .ordered import value_positions
 from .spatial import spatial_join_points
 
-# Histogram bins between a group's extremes in which its median is looked for.
-MEDIAN_BINS = 256
+# Bins of a factor of two in the histograms that say where a median is; a double's logarithm
+# is within +-_LOG_RANGE.
+OCTAVE_BINS = 128
+_LOG_RANGE = 1100
 
 EARTH_RADIUS = 6378137.0
 
@@ -111,42 +113,46 @@ def zone_image_statistics(
     return _medians(pixels, list(bands), keys)
 
 
+def _octave_bin(v: Column) -> Column:
+    """A bin number that grows with the value and whose bins are some thousandths of it wide."""
+
+    def size(w: Column) -> Column:
+        return F.floor(F.least(F.log2(w), F.lit(float(_LOG_RANGE))) * OCTAVE_BINS) + 2 * _LOG_RANGE * OCTAVE_BINS
+
+    return F.when(v > 0, size(v)).when(v < 0, -size(-v)).when(v == 0, F.lit(0)).cast("int")
+
+
 def _medians(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
     """Exact medians without moving every pixel.
 
-    Pixels are written once. Extremes and then a histogram of ``MEDIAN_BINS`` bins between
-    them, per group and band, are counted before they are shuffled; only the values in the
-    bins that hold the middle positions go on to the exact search, which cuts a group of any
-    size into value ranges.
+    Pixels are written once and read twice. The first time each group and band gets a
+    histogram of bins that are the same for all groups, so that it is counted before it is
+    shuffled, like a sum. It says which bin, or which two, hold the middle positions and how
+    many values come before. The second time only values in those bins go on to the exact
+    search, which cuts a group of any size into value ranges.
     """
     values = [F.col(b).cast("double").alias(f"_v{i}") for i, b in enumerate(bands)]
     placed = written(pixels.select(*keys, *values), "median-pixels")
-    extremes = [
-        F.struct(F.min(f"_v{i}").alias("low"), F.max(f"_v{i}").alias("high"), F.count(f"_v{i}").alias("n")).alias(f"_e{i}")
-        for i in range(len(bands))
-    ]
-    limits = written(placed.groupBy(*keys).agg(*extremes), "median-limits")
 
     def cell(i: int) -> Column:
-        low, high, v = F.col(f"_e{i}.low"), F.col(f"_e{i}.high"), F.col(f"_v{i}")
-        share = F.coalesce(F.try_divide(v / 2 - low / 2, high / 2 - low / 2), F.lit(0.0))
-        number = F.least(F.floor(share * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1)).cast("int")
-        return F.struct(F.lit(i).alias("_band"), v.alias("_value"), number.alias("_bin"), F.col(f"_e{i}.n").alias("_total"))
+        v = F.col(f"_v{i}")
+        return F.struct(F.lit(i).alias("_band"), v.alias("_value"), _octave_bin(v).alias("_bin"))
 
     cells = F.explode(F.array(*[cell(i) for i in range(len(bands))])).alias("_c")
-    long = placed.join(limits, keys).select(*keys, cells).select(*keys, "_c.*").where("_value is not null")
+    long = placed.select(*keys, cells).select(*keys, "_c.*")
+    counted = written(long.groupBy(*keys, "_band", "_bin").agg(F.count(F.lit(1)).alias("_n")), "median-counts")
 
-    group = Window.partitionBy(*keys, "_band")  # at most MEDIAN_BINS rows
+    group = Window.partitionBy(*keys, "_band")  # as many rows as there are bins
     earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counted = (
-        long.groupBy(*keys, "_band", "_bin", "_total")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    middle = (
+        counted.where("_bin is not null")
+        .withColumns({"_total": F.sum("_n").over(group), "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0))})
         .withColumns({"_lo": F.expr("(_total - 1) div 2"), "_hi": F.expr("_total div 2")})
         .where("(_lo >= _before and _lo < _before + _n) or (_hi >= _before and _hi < _before + _n)")
+        .withColumn("_base", F.min("_before").over(group))
     )
     middle = written(
-        counted.withColumn("_base", F.min("_before").over(group)).select(
+        middle.select(
             *keys, "_band", "_bin", (F.col("_lo") - F.col("_base")).alias("_lo"), (F.col("_hi") - F.col("_base")).alias("_hi")
         ),
         "median-bins",
@@ -160,7 +166,7 @@ def _medians(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
     wide = medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_band") == i, F.col("_median"))).alias(f"{b}_MEDIAN") for i, b in enumerate(bands)]
     )
-    return limits.select(*keys).join(wide, keys, "left")
+    return counted.select(*keys).distinct().join(wide, keys, "left")
 
 
 def zonal_statistics(
