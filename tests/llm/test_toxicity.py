@@ -53,7 +53,7 @@ def test_gradient_of_the_loss():
     """By finite differences, with texts of both classes and pairs; the loss by its plain definition."""
     rng = np.random.default_rng(3)
     rows = [{"label": int(i % 3 == 0), "plus": sorted(rng.choice(12, 4, replace=False).tolist()), "minus": []} for i in range(20)]
-    rows += [{"label": None, "plus": [1, 5], "minus": [2]}, {"label": None, "plus": [], "minus": [7]}, {"label": None, "plus": [3], "minus": []}]
+    rows += [{"label": None, "plus": p, "minus": m, "n": n} for p, m, n in [([1, 5], [2], 1), ([], [7], 3), ([3], [], 2)]]
     value = toxicity.objective(rows, {0: 1.0, 1: 2.5}, 12, 0.7, 0.01)
     weight = rng.normal(size=13)
     loss, gradient = value(weight)
@@ -63,7 +63,7 @@ def test_gradient_of_the_loss():
         score = 1 / (1 + np.exp(-(weight[r["plus"]].sum() + weight[12])))
         plain -= share * np.log(score if r["label"] else 1 - score)
         total += share
-    changes = [weight[r["plus"]].sum() - weight[r["minus"]].sum() for r in rows[20:]]
+    changes = [weight[r["plus"]].sum() - weight[r["minus"]].sum() for r in rows[20:] for _ in range(r["n"])]
     assert np.isclose(loss, plain / total + 0.005 * (weight[:12] ** 2).sum() + 0.7 * np.mean(np.square(changes)))
     for k in range(13):
         step = np.zeros(13)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -170,19 +171,23 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _rows(batches: Iterator[pa.RecordBatch], buckets: list[int], swaps: dict[str, str]) -> Iterator[pa.RecordBatch]:
-    """Feature numbers of labelled texts, and those that only one of a sentence and its counterfactual has."""
+    """Feature numbers of labelled texts, and those that only one of a sentence and its counterfactual has, with counts."""
     features = _Features({b: i for i, b in enumerate(buckets)})
     terms = sorted(swaps)
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("label", pa.int32()), ("plus", ints), ("minus", ints), ("n", pa.int64())])
+    pairs: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()
     for batch in batches:
         rows: list[dict] = []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            rows.append({"label": label, "plus": sorted(features(text or "")), "minus": []})
+            rows.append({"label": label, "plus": sorted(features(text or "")), "minus": [], "n": 1})
             for sentence, other in counterfactuals(text or "", swaps) + placements(text or "", terms):
                 a, b = features(sentence), features(other)
                 if a != b:
-                    rows.append({"label": None, "plus": sorted(a - b), "minus": sorted(b - a)})
-        ints = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("label", pa.int32()), ("plus", ints), ("minus", ints)]))
+                    pairs[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+        yield pa.RecordBatch.from_pylist(rows, schema)
+    found = [{"label": None, "plus": list(a), "minus": list(b), "n": n} for (a, b), n in pairs.items()]
+    yield pa.RecordBatch.from_pylist(found, schema)
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +212,8 @@ def objective(
     share /= share.sum()
     plus, plus_of = _flat([r["plus"] for r in pairs])
     minus, minus_of = _flat([r["minus"] for r in pairs])
+    times = np.array([r["n"] for r in pairs], np.float64)
+    times /= max(times.sum(), 1)
 
     def value(weight: np.ndarray) -> tuple[float, np.ndarray]:
         total = np.bincount(owner, weight[feature], len(texts)) + weight[-1]
@@ -215,8 +222,8 @@ def objective(
         gradient = np.append(np.bincount(feature, slope[owner], size) + l2 * weight[:-1], slope.sum())
         if pairs:
             gap = np.bincount(plus_of, weight[plus], len(pairs)) - np.bincount(minus_of, weight[minus], len(pairs))
-            loss += fairness * (gap**2).mean()
-            gap *= 2 * fairness / len(pairs)
+            loss += fairness * (times * gap**2).sum()
+            gap *= 2 * fairness * times
             gradient[:-1] += np.bincount(plus, gap[plus_of], size) - np.bincount(minus, gap[minus_of], size)
         return float(loss), gradient
 
@@ -300,12 +307,15 @@ def fit(
     found = [r["bucket"] for r in strong.collect()]
     buckets = list(dict.fromkeys([*found, *(_buckets(term)[0] for term in sorted(swaps))]))
     featured = sample.select("text", "label").mapInArrow(
-        partial(_rows, buckets=buckets, swaps=swaps), "label int, plus array<int>, minus array<int>"
+        partial(_rows, buckets=buckets, swaps=swaps), "label int, plus array<int>, minus array<int>, n long"
     )
-    rows = featured.collect()
+    featured = settled(featured, "labelled-features")
+    # equal pairs are one row: the terms' features, and the few that sentences share with them
+    pairs = featured.where("label is null").groupBy("label", "plus", "minus").agg(F.sum("n").alias("n"))
+    rows = featured.where("label is not null").unionByName(pairs).collect()
     weights_of = {c: totals[c] / sizes[c] for c in (0, 1)}
     weights, bias = _descend(rows, weights_of, len(buckets), fairness, L2, ROUNDS)
-    return Model(buckets, weights, bias, sum(r["label"] is None for r in rows))
+    return Model(buckets, weights, bias, sum(r["n"] for r in rows if r["label"] is None))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
