@@ -14,6 +14,7 @@ from zonalpanel.operators import counts as K
 from zonalpanel.operators import joins as J
 from zonalpanel.operators import reshape as R
 from zonalpanel.operators import yearly as Y
+from zonalpanel.sources import moments as MO
 from zonalpanel.sources import pixels as PX
 from zonalpanel.sources import sinks as W
 from zonalpanel.sources import tables as T
@@ -200,3 +201,28 @@ def test_write_panel_formats(spark, tmp_path):
     assert (tmp_path / "p" / "year=2019").is_dir()
     with pytest.raises(ValueError):
         W.write_panel(df, str(tmp_path / "x"), fmt="orc")
+
+
+def test_moments_by_period(spark, tmp_path):
+    """Added one by one, rerun with late rows, they equal the statistics of the whole panel; a new period reads no old one."""
+    rng = np.random.default_rng(3)
+    rows = [(int(z), day(int(d)), None if k % 9 == 0 else 1e9 + float(v)) for k, (z, d, v) in enumerate(zip(rng.integers(0, 4, 600), rng.integers(0, 900, 600), rng.normal(0, 1, 600)))]
+    rows += [(9, day(3), 5.0), (10, day(3), None), (None, day(3), 1.0), (1, None, 1.0)]
+    df = spark.createDataFrame(rows, PANEL)
+    root, cut = f"{tmp_path}/moments", [day(0), day(250), day(500), day(900)]
+    parts = [df.where((F.col("date") >= a) & (F.col("date") < b)) for a, b in zip(cut, cut[1:])]
+    MO.write_period(parts[1].limit(20), root, "2021", ["v"])
+    MO.write_period(parts[0], root, "2020", ["v"])
+    MO.write_period(parts[1], root, "2021", ["v"])
+    before = {r.zone_id for r in MO.yearly_zone_stats(spark, root, ["v"]).collect()}
+    files = sorted(Path(root).glob("period=202*/*.parquet"))
+    MO.write_period(parts[2], root, "2022", ["v"])
+    assert set(files) < set(Path(root).glob("period=202*/*.parquet")) and 9 in before
+    got = {(r.year, r.zone_id): (r.v_mean, r.v_std) for r in MO.yearly_zone_stats(spark, root, ["v"]).collect()}
+    want = {(r.year, r.zone_id): (r.v_mean, r.v_std) for r in Y.yearly_zone_stats(df, ["v"]).collect()}
+    assert got.keys() == want.keys() and got[2020, 9] == (5.0, None) and got[2020, 10] == (None, None)
+    for k, (mean, std) in want.items():
+        assert got[k][0] == (None if mean is None else pytest.approx(mean, rel=1e-14))
+        assert got[k][1] == (None if std is None else pytest.approx(std, rel=1e-6))
+    with pytest.raises(ValueError):
+        MO.write_period(parts[0], root, "a/b", ["v"])
