@@ -5,7 +5,11 @@ their projections. Vectors are sorted by the cells (eps wide) of their projectio
 leading principal directions, the sorted sequence is cut into blocks, and intervals of blocks
 are joined recursively: starting with the whole sequence against itself, a pair of intervals
 whose bounding boxes are further apart than eps is dropped, any other is replaced by the pairs
-of their parts. Only the pairs of blocks that are left are multiplied, in double precision.
+of their parts. Spark does so down to blocks of ``BLOCK`` vectors, and a task that has two
+blocks goes on down to leaves of ``LEAF``. There a pair of vectors is left out if the product of
+their projections and of the lengths of what is left of them together stay under t, which
+bounds their cosine; only rows and columns of a leaf pair with some pair left are multiplied
+in full, in double precision.
 
 Equal vectors are one row with a count before they are compared. A block pair gives counts and
 a spanning forest of its links, never the pairs themselves.
@@ -28,7 +32,11 @@ from .components import components, stars
 
 THRESHOLD = 0.95
 DIRECTIONS = 6
-BLOCK = 1024
+#: Directions by which pairs of vectors are bounded.
+BOUND_DIRECTIONS = 16
+#: Vectors of a block, and the bytes of a vector for which that many are sent.
+BLOCK, BLOCK_BYTES = 8192, 2 << 20
+LEAF = 512
 FANOUT = 8
 SLACK = 1e-9
 
@@ -126,11 +134,12 @@ def _block_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         for dim, rows in _by_dim(batch):
             if held and held[0].column("dim")[0].as_py() != dim:
                 yield from block()
+            most = max(1, min(size, BLOCK_BYTES // (8 * dim)))
             while rows.num_rows:
-                room = size - sum(h.num_rows for h in held)
+                room = most - sum(h.num_rows for h in held)
                 held.append(rows.slice(0, room))
                 rows = rows.slice(room)
-                if sum(h.num_rows for h in held) == size:
+                if sum(h.num_rows for h in held) == most:
                     yield from block()
     if held:
         yield from block()
@@ -189,40 +198,91 @@ def _block_pairs(boxes: DataFrame, eps: float, fanout: int, count: int) -> DataF
     return pairs
 
 
-def _compare(batches: Iterator[pa.RecordBatch], threshold: float, dtype: str) -> Iterator[pa.RecordBatch]:
-    """Weighted link counts and star edges of each pair of blocks."""
+class _Side:
+    """The vectors of a block: as they are, of length 1, on the leading directions, and how long the rest of each is."""
+
+    def __init__(self, row: dict, dtype: str, axes: np.ndarray):
+        self.raw = np.frombuffer(row["vectors"], dtype).reshape(-1, row["dim"]).astype(np.float64)
+        self.unit = _unit(self.raw)
+        self.place = self.unit @ axes
+        self.rest = np.sqrt(np.maximum(1 - (self.place * self.place).sum(axis=1), 0))
+        self.corner = np.column_stack([self.place, self.rest])
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.copies = np.frombuffer(row["copies"], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _leaves(x: _Side, y: _Side, same: bool, eps: float) -> Iterator[tuple[slice, slice]]:
+    """Pairs of intervals of up to ``LEAF`` vectors whose boxes are near enough, each once.
+
+    The lengths of the rests are one more coordinate: two vectors are at least as far apart
+    as their projections and these lengths together.
+    """
+    open_pairs = [((0, len(x)), (0, len(y)))]
+    while open_pairs:
+        a, b = open_pairs.pop()
+        p, q = x.corner[a[0] : a[1]], y.corner[b[0] : b[1]]
+        gap = np.maximum(np.maximum(p.min(axis=0) - q.max(axis=0), q.min(axis=0) - p.max(axis=0)), 0)
+        if gap @ gap > eps * eps + SLACK:
+            continue
+        if max(len(p), len(q)) <= LEAF:
+            yield slice(*a), slice(*b)
+            continue
+        (a1, a2), (b1, b2) = (((r[0], sum(r) // 2), (sum(r) // 2, r[1])) for r in (a, b))
+        if same and a == b:
+            open_pairs += [(a1, a1), (a1, a2), (a2, a2)]
+        elif len(p) >= len(q):
+            open_pairs += [(a1, b), (a2, b)]
+        else:
+            open_pairs += [(a, b1), (a, b2)]
+
+
+def _linked_pairs(x: _Side, y: _Side, i: slice, j: slice, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which vectors of two leaves have links, and the link matrix of these."""
+    most = x.place[i] @ y.place[j].T + np.outer(x.rest[i], y.rest[j])
+    able = most >= threshold - SLACK
+    rows, columns = (n.start + np.flatnonzero(able.any(axis=k)) for k, n in ((1, i), (0, j)))
+    cosine = x.unit[rows] @ y.unit[columns].T
+    linked = cosine >= threshold
+    for k, m in np.argwhere(np.abs(cosine - threshold) < 1e-12).tolist():  # as the plain formula rounds
+        p, q = x.raw[rows[k]], y.raw[columns[m]]
+        linked[k, m] = p @ q / (np.sqrt(p @ p) * np.sqrt(q @ q)) >= threshold
+    return rows, columns, linked
+
+
+def _compare(
+    batches: Iterator[pa.RecordBatch], threshold: float, dtype: str, eps: float, axes: dict[int, np.ndarray]
+) -> Iterator[pa.RecordBatch]:
+    """Weighted link counts and star edges of the leaves of each pair of blocks."""
     for batch in batches:
-        for row in batch.to_pylist():
-            same = row["a"] == row["b"]
-            raw, unit, ids, copies = [], [], [], []
-            for side in ("x", "y"):
-                raw.append(np.frombuffer(row[side]["vectors"], dtype).reshape(-1, row[side]["dim"]).astype(np.float64))
-                unit.append(_unit(raw[-1]))
-                ids.append(np.frombuffer(row[side]["ids"], np.int64))
-                copies.append(np.frombuffer(row[side]["copies"], np.int64))
-            if raw[0].shape[1] != raw[1].shape[1]:
-                continue
-            cosine = unit[0] @ unit[1].T
-            linked = cosine >= threshold
-            for i, j in np.argwhere(np.abs(cosine - threshold) < 1e-12).tolist():  # as the plain formula rounds
-                p, q = raw[0][i], raw[1][j]
-                linked[i, j] = p @ q / (np.sqrt(p @ p) * np.sqrt(q @ q)) >= threshold
-            if same:
-                np.fill_diagonal(linked, False)
-            if not linked.any():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if row["x"]["dim"] != row["y"]["dim"]:
                 continue
-            i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-            part = linked[np.ix_(i, j)]
-            rows, columns = stars(part)
-            roots = ids[0][i]
-            found = [(ids[0][i], part @ copies[1][j], roots[rows])]
-            if not same:
-                found.append((ids[1][j], copies[0][i] @ part, roots[columns]))
-            else:  # rows and columns are the same vectors: their stars must be tied together
-                found.append((ids[1][j], np.zeros(len(j), np.int64), roots[columns]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["class_id", "n_links", "root"]
-            )
+            same = row["a"] == row["b"]
+            x = _Side(row["x"], dtype, axes[row["x"]["dim"]])
+            y = x if same else _Side(row["y"], dtype, axes[row["y"]["dim"]])
+            for i, j in _leaves(x, y, same, eps):
+                rows, columns, linked = _linked_pairs(x, y, i, j, threshold)
+                itself = same and i == j
+                if itself:
+                    linked &= rows[:, None] != columns[None, :]
+                if not linked.any():
+                    continue
+                some, others = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                part, rows, columns = linked[np.ix_(some, others)], rows[some], columns[others]
+                upper, lower = stars(part)
+                roots = x.ids[rows]
+                found = [(roots, part @ y.copies[columns], roots[upper])]
+                if not itself:
+                    found.append((y.ids[columns], x.copies[rows] @ part, roots[lower]))
+                else:  # rows and columns are the same vectors: their stars must be tied together
+                    found.append((y.ids[columns], np.zeros(len(columns), np.int64), roots[lower]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["class_id", "n_links", "root"]
+                )
 
 
 def _valid(vector: F.Column, kind: T.DataType) -> F.Column:
@@ -267,7 +327,8 @@ def near_vectors(
         grouped.withColumn("class_id", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vector-classes"
     )
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    axes = _directions(classes.select("dim", "copies", "vector"), directions)
+    bounding = _directions(classes.select("dim", "copies", "vector"), max(directions, BOUND_DIRECTIONS))
+    axes = {dim: found[:, :directions] for dim, found in bounding.items()}
 
     thin = classes.select("class_id", "copies", "dim", "vector")
     schema = T.StructType([*thin.schema.fields, T.StructField("place", T.ArrayType(T.DoubleType()))])
@@ -292,7 +353,7 @@ def near_vectors(
     compared = (
         pairs.join(blocks.select(F.col("seq").alias("b"), whole.alias("y")), "b")
         .join(blocks.select(F.col("seq").alias("a"), whole.alias("x")), "a")
-        .mapInArrow(partial(_compare, threshold=threshold, dtype=dtype), _LINKS)
+        .mapInArrow(partial(_compare, threshold=threshold, dtype=dtype, eps=eps, axes=bounding), _LINKS)
     )
     links = settled(compared, "vector-links")
 
