@@ -5,6 +5,12 @@ DataFrame with the columns of documents, the last one the packed pieces. Each st
 all that its predecessor kept: toxic documents go; lines that many documents share stay in one
 of them; of near-equal documents one stays; runs of words seen earlier are cut out of texts;
 and what is left is packed.
+
+Every stage bears nulls in any column, empty and very long texts, repeated rows, empty tables and
+further columns with any names: a row whose text is null, empty or blank is never dropped by
+the stages before the last and counts there as one end-of-text id; rows that repeat a doc_id
+are rows of their own until near_dedup, which keeps one of equal texts with words; an empty table
+stays empty. Columns other than text (and n_chars, counted anew) are never changed.
 """
 
 from __future__ import annotations
@@ -22,32 +28,39 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to the labelled ones, does not call toxic."""
+    """Documents that the classifier, fitted to the labelled ones, does not call toxic.
+
+    A text without features (null, empty) has the score of the constant alone. Without labels of
+    both classes that constant decides for all, and stays under the limit unless most are toxic.
+    """
     prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that three or more hold, but for the last of these."""
+    """Documents without lines that three or more hold, but for the last of these.
+
+    Null doc_ids count as one document that keeps no shared line; null texts stay null.
+    """
     prepare(spark)
     return line_dedup.without_shared_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; of equal rows one, of texts without words all."""
     prepare(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of twenty words or more that begin earlier elsewhere."""
+    """Documents without runs of twenty words or more that begin earlier elsewhere; shorter texts stay as they are."""
     prepare(spark)
     return substring_dedup.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2048 tokens."""
+    """The documents' pieces in sequences of at most 2048 tokens; a null or empty text is one piece of one id."""
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 

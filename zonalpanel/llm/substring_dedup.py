@@ -268,7 +268,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
 def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """``docs`` with the texts of ``remove_repeats`` where words go; all else is unchanged.
 
-    A text that loses no word keeps its white space. A column ``n_chars`` is counted anew.
+    A text that loses no word keeps its white space, so null, empty and blank texts stay as they
+    are; of equal windows the earliest stays, of equal rows (same doc_id and text) all lose the
+    same words; texts of any length are taken whole; columns of any names are kept. A column
+    ``n_chars`` is counted anew. An empty table stays empty.
     """
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     id_name, text_name = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))

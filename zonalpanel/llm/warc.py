@@ -132,7 +132,9 @@ def write_archive(
     Needs ``page_id``, ``url`` and ``html``; other columns are ignored. The payload is the html
     in UTF-8, null being empty. Of pages with equal payloads of ``min_revisit_bytes`` or more,
     those with the smallest page_id are responses and the others revisits of it; a null page_id
-    counts as larger than any. Equal rows give equal records, record id included.
+    counts as larger than any. Equal rows give equal records, record id included. Null urls
+    are written as empty ones; payloads of any length are cut into segments of ``segment_bytes``;
+    an empty table gives an archive without records.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -305,7 +307,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Returns (record_id, record_type, page_id, target_uri, refers_to_id, payload, payload_bytes,
     payload_digest, problem). Revisits have no payload of their own: see ``resolved``. Memory of
-    a task follows the size of an archive file and of the longest record.
+    a task follows the size of an archive file and of the longest record. Empty payloads come
+    back empty, equal records as equal rows, an archive without records as no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
     names = ("record_id", "record_type", "page_id", "target_uri", "refers_to_id", "declared_digest", "problem", "block")
