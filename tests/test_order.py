@@ -115,6 +115,31 @@ def test_every_nth_counts_copies(spark):
     assert got == values[::5]
 
 
+def test_numbers_take_one_shuffle(spark, monkeypatch):
+    """A third of the rows are copies of one; they fill ranges like other rows, and no range has them all."""
+    plans, tables, real = [], [], O.written
+
+    def kept(df, label):
+        plans.append(df)
+        tables.append(real(df, label))
+        return tables[-1]
+
+    monkeypatch.setattr(O, "written", kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    values = [None] * 3 + list(range(600)) + [250] * 300
+    df = spark.createDataFrame([(v, "x") for v in values], "v int, w string").repartition(6)
+    got = O.numbered(df, ["v"])
+    rows = sorted((r._number, r.v) for r in got.collect())
+    assert [n for n, _ in rows] == list(range(len(values)))
+    assert [v for _, v in rows] == sorted(values, key=lambda v: -1 if v is None else v)
+    assert plans[0]._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in tables[0].groupBy(F.shiftright("_id", 33)).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 300
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert O.numbered(df.limit(0), ["v"]).count() == 0
+
+
 def test_rolling_mean(spark):
     s = pd.Series([1.0, None, 3.0, 10.0, 5.0, 6.0, 7.0, 8.0, 9.0, None])
     days = pd.date_range("2019-12-28", periods=len(s))

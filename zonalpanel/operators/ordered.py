@@ -132,13 +132,30 @@ def ordered_positions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return value_positions(df, row).select("_v.*", "_n", "_before", "_total")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], number: str = "_number") -> DataFrame:
+    """Rows with their place, from 0, in the order of ``keys`` (other columns break ties).
+
+    One shuffle: rows are cut into ranges, sorted and written with their place in the range;
+    how many rows each range has, one number for each shuffle partition, then shifts the
+    places where the rows are. Copies of a row have different places and are spread over
+    ranges like other rows.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    drawn = df.withColumn("_draw", F.xxhash64(F.monotonically_increasing_id()))
+    order = [*keys, *rest, "_draw"]
+    ranged = drawn.repartitionByRange(*order).sortWithinPartitions(*order)
+    # partition and place in one number, the place in its lower 33 bits
+    placed = written(ranged.select(*df.columns, F.monotonically_increasing_id().alias("_id")), "numbered-rows")
+    part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for k in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    start = F.element_at(F.lit(starts).cast("array<bigint>"), part + 1)
+    return placed.select(*df.columns, (start + place).alias(number))
+
+
 def every_nth(df: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
     """Rows 0, n, 2n, ... in the order of ``keys``; copies of a row count one by one."""
-    placed = ordered_positions(df, keys)
-    first = F.ceil(F.col("_before") / n)
-    last = F.floor((F.col("_before") + F.col("_n") - 1) / n)
-    return (
-        placed.where(last >= first)
-        .withColumn("_pick", F.explode(F.sequence(first, last)))
-        .select(*df.columns)
-    )
+    return numbered(df, keys).where(F.col("_number") % n == 0).drop("_number")
