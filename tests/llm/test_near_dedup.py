@@ -27,7 +27,7 @@ def weights_of(texts):
     """Count times log2(1 + documents / documents with the shingle), counted here without the operator."""
     counts = [shingle_counts(t) for t in texts]
     held = Counter(g for c in counts for g in c)
-    return [{g: n * math.log2(1 + len(texts) / held[g]) for g, n in c.items()} for c in counts]
+    return [{g: n * math.log2(1 + len(texts) / max(held[g], len(texts) / 100)) for g, n in c.items()} for c in counts]
 
 
 def weighted_jaccard(a, b):
@@ -137,6 +137,19 @@ def test_frequencies_are_those_of_shingles(documents, corpus):
     assert 0.98 * expected < got < 1.000001 * expected  # cells can be shared, which makes weights smaller
 
 
+def test_copies_do_not_make_their_own_shingles_light(spark):
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    rows = [(i, words(f"own{i}x", 12)) for i in range(600)] + [(1000 + i, words("copied", 12)) for i in range(5)]
+    rows += [(2000 + i, words("common", 8) + " " + words(f"end{i}x", 5)) for i in range(300)]
+    idf = near_dedup.inverse_frequencies(spark.createDataFrame(rows, "doc_id long, text string"))
+    own, copied, common = (np.sort(near_dedup._weighted(t, idf)[1]) for t in (rows[0][1], rows[600][1], rows[-1][1]))
+    rare = np.log2(101)
+    assert np.allclose(own, rare, atol=0.1) and np.allclose(copied, rare, atol=0.1)
+    assert np.allclose(common[:4], np.log2(1 + 905 / 300), atol=0.1) and np.allclose(common[4:], rare, atol=0.1)
+
+
 def test_weights_are_neither_rounded_nor_cut_off(documents):
     texts = ["a " * 50_000, "a " * 500_000]
     assert abs(near_dedup.similarity(*texts, flat(3)) - 49_996 / 499_996) < 1e-9

@@ -3,9 +3,10 @@
 A shingle (five words in a row, letters lower-cased) weighs its count in the document times
 its inverse document frequency. Document frequencies are counted over all documents in a
 sketch of two rows of ``CELLS`` cells, of which the smaller one counts. A cell holds about
-(distinct shingles of a document) / ``CELLS`` of all documents beside the shingle's own, so
-frequencies below some hundredths of that share look alike at any size of the table, more
-frequent shingles get their own frequency, and what is sent to tasks has one size.
+(distinct shingles of a document) / ``CELLS`` of all documents beside the shingle's own, so what
+is sent to tasks has one size for any table. Shingles of less than ``RARE`` of the documents
+weigh alike, which that error does not reach: common passages count for little, but a group
+of copies does not make its own shingles light.
 
 A sample is the shingle, and the step of its weight, that comes first by random numbers of
 its own (two from Gamma(2, 1), one uniform); two documents share it with a probability of their
@@ -44,6 +45,8 @@ BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
 #: Cells of each of the two rows of the sketch of document frequencies.
 CELLS = 1 << 16
+#: Share of documents below which a shingle is as heavy as one found once.
+RARE = 0.01
 #: Shingles of a block of classes that is compared with others of its bucket.
 BLOCK_SHINGLES = 400_000
 #: Classes of such a block, and of the pieces of it that are multiplied at a time.
@@ -99,7 +102,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log2(1 + documents / documents counted in the cell) of both rows of cells, over all documents.
+    """log2(1 + documents / documents counted in the cell, ``RARE`` of all at least) of both rows of cells, over all documents.
 
     The driver holds ``2 * CELLS`` numbers, whatever the size of the table.
     """
@@ -109,6 +112,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     total = int(n[cell < 0].sum())
     held = np.ones(2 * CELLS)
     held[cell[cell >= 0]] = n[cell >= 0]
+    held = np.maximum(held, RARE * total)
     return np.log2(1 + total / held).astype(np.float32).reshape(2, CELLS)
 
 
