@@ -13,6 +13,7 @@ from zonalpanel import session
 from zonalpanel.operators import counts as K
 from zonalpanel.operators import joins as J
 from zonalpanel.operators import reshape as R
+from zonalpanel.operators import spatial as S
 from zonalpanel.operators import yearly as Y
 from zonalpanel.sources import moments as MO
 from zonalpanel.sources import pixels as PX
@@ -203,6 +204,17 @@ def test_write_panel_formats(spark, tmp_path):
         W.write_panel(df, str(tmp_path / "x"), fmt="orc")
 
 
+def test_donor_search_runs_once(spark, tmp_path):
+    """The plan of the filled panel reads the written map and nothing of what the map was made from."""
+    spark.createDataFrame([(i, float(i), 0.0) for i in range(6)], "zone_id int, cx double, cy double").write.parquet(f"{tmp_path}/centroids")
+    panel = spark.createDataFrame([(i, day(0), 1.0 * i) for i in (0, 1, 4, 5)], PANEL)
+    donors = S.nearest_donor_zone(spark.read.parquet(f"{tmp_path}/centroids"), [2, 3])
+    filled = J.impute_from_donor(panel, donors)
+    plan = filled._jdf.queryExecution().optimizedPlan().toString() + str(filled.inputFiles())
+    assert "centroids" not in plan and all("donor-map" in f for f in filled.inputFiles())
+    assert sorted((r.zone_id, r.v) for r in filled.collect() if r.zone_id in (2, 3)) == [(2, 1.0), (3, 4.0)]
+
+
 def test_moments_by_period(spark, tmp_path):
     """Added one by one, rerun with late rows, they equal the statistics of the whole panel; a new period reads no old one."""
     rng = np.random.default_rng(3)
