@@ -110,7 +110,7 @@ def test_one_huge_zone_does_not_multiply_cells(spark):
     small = [(i, [[(i, 0), (i + 1, 0), (i + 1, 1), (i, 1)]]) for i in range(20)]
     huge = (100, [[(-40000, -40000), (40000, -40000), (0, 60000)]])
     zones = layer(spark, [*small, huge, (101, [[(3, 3), (3, 3), (3, 3)]])])
-    tree = Q.build(zones)
+    tree = Q.build(zones, leaf_vertices=10)
     assert tree.cut is not None and tree.leaves.count() < 10_000
     points = [(x / 2, y / 2) for x in range(-4, 46) for y in range(-3, 9)] + [(-30000.0, -39000.0), (0.0, 59999.0), (39999.0, 0.0)]
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)], "i int, x double, y double")
