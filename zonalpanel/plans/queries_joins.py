@@ -233,14 +233,15 @@ def missing_zone_ids(t: Inputs):
 def _wide_zonal(t: Inputs):
     """Daily sums per customer in the wide export layout, both date spellings."""
     months = [(y, m) for y in range(1995, 2002) for m in MONTHS]
-    year, month = F.year("o_orderdate"), F.month("o_orderdate")
-    aggs = []
-    for y, m in months:
-        token = f"{y}{m:02d}01" if m % 2 else f"{y}_{m:02d}_01"
-        hit = (year == y) & (month == m)
-        aggs.append(F.max(F.when(hit, F.col("o_totalprice"))).alias(f"{token}_NDVI"))
-        aggs.append(F.min(F.when(hit, F.col("o_totalprice"))).alias(f"{token}_EVI"))
-    wide = t.table("orders").groupBy(F.col("o_custkey").alias("zone_id")).agg(*aggs)
+    tokens = [f"{y}{m:02d}01" if m % 2 else f"{y}_{m:02d}_01" for y, m in months]
+    spelling = F.when(F.month("o_orderdate") % 2 == 1, F.date_format("o_orderdate", "yyyyMM'01'")).otherwise(
+        F.date_format("o_orderdate", "yyyy'_'MM'_01'")
+    )
+    orders = t.table("orders").select(F.col("o_custkey").alias("zone_id"), spelling.alias("token"), "o_totalprice")
+    # a customer's months first, then their columns
+    wide = orders.groupBy("zone_id").pivot("token", tokens).agg(
+        F.max("o_totalprice").alias("NDVI"), F.min("o_totalprice").alias("EVI")
+    )
     return R.wide_zonal_to_long(wide, ["NDVI", "EVI"])
 
 
