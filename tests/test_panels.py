@@ -142,6 +142,17 @@ def test_case_and_trap_columns_by_name(spark, tmp_path):
         T.read_cases(spark, str(tmp_path))
 
 
+def test_headers_are_found_without_sorting_lines(spark, tmp_path):
+    for i, text in enumerate(["a,b\n1,2\n", "a,b\n3,4\n", "b,a\n5,6\n", ""]):
+        (tmp_path / f"{i}.csv").write_text(text)
+    (tmp_path / "4.csv").write_bytes("a,b\n1,中\n".encode("big5"))
+    files = T._files(spark, str(tmp_path))
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan and "ObjectHash" not in plan
+    groups = [(code, [Path(p).name for p in paths]) for code, paths in T._same_headers(spark, str(tmp_path))]
+    assert groups == [("utf-8", ["0.csv", "1.csv"]), ("utf-8", ["2.csv"]), ("big5", ["4.csv"])]
+
+
 def test_scratch_is_released(spark):
     table = session.written(spark.range(3), "some")
     folder = Path(urlparse(table.inputFiles()[0]).path).parent

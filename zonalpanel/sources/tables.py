@@ -45,11 +45,11 @@ def _file_name() -> Column:
     return F.when(last.rlike(_PART_FILE), F.element_at(path, -2)).otherwise(last)
 
 
-def _same_headers(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
-    """CSV files below ``path`` in groups of one encoding and header: (encoding, header, paths).
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files below ``path``: ``path, ok`` (all lines are valid UTF-8), ``header`` (128 bits of the first line's hash).
 
-    A file is big5 where some line is not valid UTF-8. One scan looks at all files; only their
-    names and headers reach the driver, which lists them for the scans anyway.
+    Longs and booleans fit Spark's hash aggregate, which holds one row for each file; with texts as
+    values it would sort all lines of a task first.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
@@ -57,17 +57,24 @@ def _same_headers(spark: SparkSession, path: str) -> list[tuple[str, str, list[s
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("path"),
-            F.col("value"),
             F.is_valid_utf8("value").alias("ok"),
+            F.xxhash64("value").alias("a"),
+            F.xxhash64(F.lit(1), "value").alias("b"),
             F.monotonically_increasing_id().alias("place"),
         )
     )
-    files = lines.groupBy("path").agg(F.bool_and("ok").alias("ok"), F.min_by("value", "place").alias("header"))
-    groups = files.groupBy("ok", F.hex("header").alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return [
-        ("utf-8" if g["ok"] else "big5", g["header"], g["paths"])
-        for g in groups.orderBy(F.desc("ok"), "header").collect()
-    ]
+    first = F.struct(*[F.min_by(h, "place").alias(h) for h in ("a", "b")])
+    return lines.groupBy("path").agg(F.bool_and("ok").alias("ok"), first.alias("header"))
+
+
+def _same_headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """CSV files below ``path`` in groups of one encoding and header: (encoding, paths).
+
+    A file is big5 where some line is not valid UTF-8. One scan looks at all files; only their
+    names reach the driver, which lists them for the scans anyway.
+    """
+    groups = _files(spark, path).groupBy("ok", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [("utf-8" if g["ok"] else "big5", g["paths"]) for g in groups.orderBy(F.desc("ok"), "paths").collect()]
 
 
 def _scans(spark: SparkSession, path: str) -> list[DataFrame]:
@@ -75,7 +82,7 @@ def _scans(spark: SparkSession, path: str) -> list[DataFrame]:
     found = _same_headers(spark, path)
     if not found:
         raise ValueError(f"no CSV files below {path}")
-    return [spark.read.option("header", True).option("encoding", e).csv(paths) for e, _, paths in found]
+    return [spark.read.option("header", True).option("encoding", e).csv(paths) for e, paths in found]
 
 
 def read_table_dir(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
