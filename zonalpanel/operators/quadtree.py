@@ -10,7 +10,9 @@ that the way from the point to the corner crosses say so: first to the right as
 corner, then up. The way stays in the cell, so no edge elsewhere matters.
 
 Corners are found like points, from the corner of the larger cell, so each step needs only
-the edges of the cells being cut. Ties are broken as if every point lay a little to the
+the edges of the cells being cut. Unless a place must have one leaf for all zones, only rows with
+short or many edges are cut: a zone that is large beside the cell would be in a good part of the smaller
+cells, and stays with its row of the larger one. Ties are broken as if every point lay a little to the
 right and, much less, above where it is; the same test of a side is used for points and
 corners, and cell sides are powers of two, so that both agree to the last bit.
 """
@@ -32,6 +34,8 @@ LEAF_VERTICES = 48
 BASE, FAN = 64, 16
 #: Cuts below the first cells, whose sides are then less than a billionth of the layer's.
 CUTS = 6
+#: Edges that are tested in generated code; a row with no more, one of them at least a side / ``WIDE`` long, gains little by a cut.
+FEW, WIDE = 4, 4
 
 _EDGE = "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2)"
 
@@ -71,6 +75,40 @@ def touches_sql(edges: str, corner: str, px: str, py: str) -> str:
     return f"({geometry.on_edge_sql(edges, px, py)} or {inside_sql(edges, corner, px, py)})"
 
 
+def few_edges(which: range, xr: str = "_xr", yt: str = "_yt") -> list[Column]:
+    """Some of the at most ``FEW`` edges of a row as plain columns; what is missing is NaN and touches nothing.
+
+    The start, the direction turned upwards (a level edge counts points above it as right of it), the box,
+    and for the way up to the corner whether the edge spans its line (_u) and has the corner on its right (_k).
+    """
+    columns = []
+    for i in which:
+        e = f"get(_edges, {i})"
+        turn = f"if({e}.y2 > {e}.y1, 1D, -1D)"
+        parts = {
+            "x": f"{e}.x1", "y": f"{e}.y1",
+            "dx": f"if({e}.y1 = {e}.y2, -1D, {turn} * ({e}.x2 - {e}.x1))", "dy": f"abs({e}.y2 - {e}.y1)",
+            "lx": f"least({e}.x1, {e}.x2)", "hx": f"greatest({e}.x1, {e}.x2)",
+            "ly": f"least({e}.y1, {e}.y2)", "hy": f"greatest({e}.y1, {e}.y2)",
+        }
+        columns += [F.expr(f"coalesce({v}, double('NaN'))").alias(f"_{n}{i}") for n, v in parts.items()]
+        flags = {"u": f"({e}.x1 > {xr}) != ({e}.x2 > {xr})", "k": right_of(xr, yt, f"{e}.")}
+        columns += [F.expr(f"coalesce({v}, false)").alias(f"_{n}{i}") for n, v in flags.items()]
+    return columns
+
+
+def touches_few_sql(corner: str, px: str, py: str, xr: str = "_xr") -> str:
+    """``touches_sql`` by the columns of ``few_edges``: short and without lambdas, so that Spark compiles it into the join."""
+    on, turns = [], corner
+    for i in range(FEW):
+        across = f"_dx{i} * ({py} - _y{i})"
+        point, end = (f"{across} - ({at} - _x{i}) * _dy{i}" for at in (px, xr))
+        on.append(f"({py} >= _ly{i} and {py} <= _hy{i} and {px} >= _lx{i} and {px} <= _hx{i} and {point} = 0)")
+        crossed = f"({py} >= _ly{i} and {py} < _hy{i} and ({point} <= 0) != ({end} <= 0))"
+        turns = f"({turns} != ({crossed} != (_u{i} and ({end} <= 0) != _k{i})))"
+    return f"({' or '.join(on)} or {turns})"
+
+
 def _range(low: str, high: str, first: str, count: str) -> str:
     """The numbers from low to high that are among ``count`` ones from ``first`` on."""
     low, high = f"greatest(cast({low} as bigint), {first})", f"least(cast({high} as bigint), {first} + {count} - 1)"
@@ -157,17 +195,29 @@ def _full(vertices: DataFrame, size: float, leaf_vertices: int) -> DataFrame:
     return counts.where(F.col("_vertices") > leaf_vertices).select("_cx", "_cy")
 
 
+def _stays(side: float) -> Column:
+    """Whether a row has no edges, or few and a long one."""
+    long = f"exists(_edges, e -> greatest(abs(e.x2 - e.x1), abs(e.y2 - e.y1)) >= {side / WIDE!r}D)"
+    return F.expr(f"size(_edges) = 0 or (size(_edges) <= {FEW} and {long})")
+
+
 def build(
-    zones: DataFrame, zone: str = "zone_id", cell: float | None = None, leaf_vertices: int = LEAF_VERTICES
+    zones: DataFrame,
+    zone: str = "zone_id",
+    cell: float | None = None,
+    one_leaf: bool = True,
+    leaf_vertices: int = LEAF_VERTICES,
 ) -> Quadtree:
     """The quadtree of a layer; ``cell`` is about the side of its first cells.
 
-    Runs a few jobs over the edges of the layer for each level. A zone without area has the
+    With ``one_leaf`` all zones of a place have their rows in the same leaf. Runs a few jobs over the edges of the layer for each level. A zone without area has the
     cells that its edges touch; zones without rings have none.
     """
     edges = zones.select(zone, F.expr(f"inline({geometry.polygon_edges_sql('rings')})")).where(
         "x1 is not null and y1 is not null and x2 is not null and y2 is not null"
     )
+    # a small file of many zones is one task, whatever its edges cost: as a table of their own they are dealt out
+    edges = written(edges.repartition(int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "edges")
     reach = [(f, F.least, "low") if f is F.min else (f, F.greatest, "high") for f in (F.min, F.max)]
     extent = edges.agg(*[f(g(f"{c}1", f"{c}2")).alias(c + end) for c in "xy" for f, g, end in reach]).first()
     if extent["xlow"] is None:
@@ -186,9 +236,15 @@ def build(
     for level in range(CUTS + 1):
         side = size / FAN**level
         cells = _cut(edges, parents, zone, side, level)
-        full = written(_full(vertices, side, leaf_vertices), f"full-cells-{level}")
+        full = _full(vertices, side, leaf_vertices)
+        going = cells if one_leaf else cells.where(~_stays(side))
+        if not one_leaf:
+            full = full.join(going.select("_cx", "_cy").distinct(), ["_cx", "_cy"], "left_semi")
+        full = written(full, f"full-cells-{level}")
         last = level == CUTS or full.isEmpty()
-        done = cells if last else cells.join(full, ["_cx", "_cy"], "left_anti")
+        done = cells if last else going.join(full, ["_cx", "_cy"], "left_anti")
+        if not (last or one_leaf):
+            done = done.unionByName(cells.where(_stays(side)))
         leaves.append(
             done.select(
                 zone, F.lit(level).alias("_level"), "_cx", "_cy", (F.size("_edges") == 0).alias("_inside"), "_corner",
@@ -196,23 +252,23 @@ def build(
                 ((F.col("_cx") + 1) * F.lit(side)).alias("_xr"), ((F.col("_cy") + 1) * F.lit(side)).alias("_yt"),
             )
         )
-        if level:
+        if level or not one_leaf:
             base = [F.shiftright(c, level * (FAN.bit_length() - 1)).alias(b) for c, b in (("_cx", "_bx"), ("_cy", "_by"))]
             below.append(done.select(*base, F.lit(level).alias("_level")))
         if last:
             break
         within = {"_c0": F.col("_cx") * FAN, "_r0": F.col("_cy") * FAN, "_n": F.lit(FAN).cast("long")}
-        parents = cells.join(full, ["_cx", "_cy"], "left_semi").withColumns(within)
+        parents = going.join(full, ["_cx", "_cy"], "left_semi").withColumns(within)
         edges = parents.select(zone, *within, F.expr("inline(_edges)"))
     tree = leaves[0]
     for more in leaves[1:]:
         tree = tree.unionByName(more)
-    if not below:
+    if len(leaves) == 1:
         return Quadtree(tree, None, size)
     cut = below[0]
     for more in below[1:]:
         cut = cut.unionByName(more)
-    levels = cut.groupBy("_bx", "_by").agg(F.collect_set("_level").alias("_levels"))
+    levels = cut.groupBy("_bx", "_by").agg(F.collect_set("_level").alias("_levels")).where(F.array_max("_levels") > 0)
     return Quadtree(tree, written(levels, "cut-cells"), size)
 
 

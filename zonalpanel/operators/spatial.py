@@ -90,13 +90,25 @@ def spatial_join_points(
     points too; a small job counts the points of each leaf first. Others build the quadtree;
     ``cell`` is about the side of its first cells.
     """
-    tree = quadtree.build(zones, zone, cell)
+    tree = quadtree.build(zones, zone, cell, False)
     placed = _located(points, tree, x, y)
     crowds = _crowds(placed, part_points)
-    p = _salted_points(placed, crowds)
-    c = _salted_leaves(tree.leaves, crowds)
-    test = F.expr(quadtree.touches_sql("_edges", "_corner", f"`{x}`", f"`{y}`"))
-    return p.join(c, _same_leaf(p, c) & (c["_inside"] | test), "inner").select(*points.columns, zone)
+    few = F.col("_inside") | (F.size("_edges") <= quadtree.FEW)
+    # in two steps: Java does not compile the generated code of one that makes all columns
+    half, at = quadtree.FEW // 2, ("_corner", f"`{x}`", f"`{y}`")
+    flat = _salted_leaves(tree.leaves.where(few).select("*", *quadtree.few_edges(range(half))), crowds)
+    flat = flat.select("*", *quadtree.few_edges(range(half, quadtree.FEW))).drop("_edges")
+    kinds = [
+        (flat, quadtree.touches_few_sql(*at)),
+        (_salted_leaves(tree.leaves.where(~few), crowds), quadtree.touches_sql("_edges", *at)),
+    ]
+    found = []
+    for c, test in kinds:
+        p = _salted_points(placed, crowds)
+        # leaves first: a row of theirs is read once, and a zone's matches come one after another
+        joined = c.join(p, _same_leaf(p, c) & (c["_inside"] | F.expr(test)), "inner")
+        found.append(joined.select(*[p[n] for n in points.columns], c[zone]))
+    return found[0].unionByName(found[1])
 
 
 def clip_to_zones(
