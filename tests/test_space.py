@@ -364,6 +364,22 @@ def test_many_zones_with_one_outline(spark):
     assert S.spatial_join_points(df, zones).count() == 100 * inside
 
 
+def test_large_overlapping_zones_are_not_cut_small(spark, monkeypatch):
+    """400 overlapping boxes with different corners: few rows for each, tested in compiled code, equal to brute force."""
+    rng = np.random.default_rng(8)
+    zones = [(i, [[(x, y), (x + w, y), (x + w, y + w), (x, y + w)]]) for i, (x, y, w) in enumerate(rng.integers(1, 100, (400, 3)) / 4)]
+    zones += [(500 + i, [[(x, y), (x + w, y + 1), (x, y + w)]]) for i, (x, y, w) in enumerate(rng.integers(1, 100, (40, 3)) / 4)]
+    zones += [(600 + i, [star(rng, *rng.uniform(0, 40, 2), 6, 30)]) for i in range(5)]
+    built = []
+    monkeypatch.setattr(Q, "build", lambda *a, real=Q.build: built.append(real(*a, leaf_vertices=4)) or built[-1])
+    spots = np.concatenate([rng.integers(0, 200, (600, 2)) / 4, rng.uniform(0, 50, (600, 2))])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "i int, x double, y double")
+    placed = S.spatial_join_points(points, layer(spark, zones), 8.0)
+    want = sorted((i, z) for i, (x, y) in enumerate(spots) for z, rings in zones if touches(rings, x, y))
+    assert sorted((r.i, r.zone_id) for r in placed.collect()) == want
+    assert built[0].cut is not None and built[0].leaves.where("zone_id < 400").count() < 400 * 20
+
+
 def test_first_image_reads_one_folder(spark, tmp_path):
     rows = [("A", f"2020-0{m}-01", float(i), 0.0, 1.0) for m in range(1, 7) for i in range(3)]
     df = spark.createDataFrame(rows, "dataset string, image_date string, x double, y double, v double")
