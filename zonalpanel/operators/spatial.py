@@ -98,17 +98,16 @@ def spatial_join_points(
     half, at = quadtree.FEW // 2, ("_corner", f"`{x}`", f"`{y}`")
     flat = _salted_leaves(tree.leaves.where(few).select("*", *quadtree.few_edges(range(half))), crowds)
     flat = flat.select("*", *quadtree.few_edges(range(half, quadtree.FEW))).drop("_edges")
-    kinds = [
-        (flat, quadtree.touches_few_sql(*at)),
-        (_salted_leaves(tree.leaves.where(~few), crowds), quadtree.touches_sql("_edges", *at)),
-    ]
+    kinds, many = [(flat, quadtree.touches_few_sql(*at))], tree.leaves.where(~few)
+    if not many.isEmpty():  # else the points are read and shuffled once
+        kinds.append((_salted_leaves(many, crowds), quadtree.touches_sql("_edges", *at)))
     found = []
     for c, test in kinds:
         p = _salted_points(placed, crowds)
         # leaves first: a row of theirs is read once, and a zone's matches come one after another
         joined = c.join(p, _same_leaf(p, c) & (c["_inside"] | F.expr(test)), "inner")
         found.append(joined.select(*[p[n] for n in points.columns], c[zone]))
-    return found[0].unionByName(found[1])
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def clip_to_zones(
